@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, repetition
+from . import decontamination, language, licenses, packing, repetition, toxicity
 
 QUERIES = {
     "op1_repetition": repetition.op1_repetition,
     "op2_packing": packing.op2_packing,
     "op3_decontamination": decontamination.op3_decontamination,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op7_licenses": licenses.op7_licenses,
+    "op9_language": language.op9_language,
 }
 
 ORACLE_SQL = {**decontamination.ORACLE}

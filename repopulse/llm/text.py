@@ -102,8 +102,8 @@ class Tokens:
     ``row``: row of each word; ``hash``: 64-bit hash of each word.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False, spaced: bool = True) -> None:
-        data, self.offsets = string_buffers(column)
+    def __init__(self, column: pa.Array | tuple[np.ndarray, np.ndarray], lower: bool = False, spaced: bool = True) -> None:
+        data, self.offsets = column if isinstance(column, tuple) else string_buffers(column)
         self.data = LOWER[data] if lower else data
         n = len(self.data)
         inside = (_SPACE_WORD if spaced else _ALNUM_WORD)[self.data]
