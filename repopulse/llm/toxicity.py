@@ -13,7 +13,8 @@ folded into one weight for each letter triple (``Model.weights``); scoring a wor
 not touch the landmarks again.
 
 Training rows: at most ``TRAIN_ROWS`` labelled documents, those with the smallest hash of
-their text.  Nothing else is sampled, and every text is scored whole.
+their text, of each the first ``TRAIN_CHARS`` characters; of their clean words the
+``CLEAN_WORDS`` most frequent.  Nothing else is sampled, and every text is scored whole.
 
 Other signs inside a word are dropped (``i.d-i*o't``), and single letters in a row are
 read as one word (``i d i o t``).
@@ -27,6 +28,7 @@ rows get equal scores.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -40,7 +42,8 @@ from . import text as t
 DECAY = 0.6
 REACH = 7
 TRAIN_ROWS = 5000
-TRAIN_CHARS = 10_000
+TRAIN_CHARS = 6_000
+CLEAN_WORDS = 40_000
 LANDMARKS = 160
 THRESHOLD = 0.3
 LETTERS = 58  # a-z, and 32 for the continuation bytes of other letters
@@ -96,27 +99,35 @@ def coded(words: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {n: (np.array(ix), _CODE[np.frombuffer(b"".join(words[i] for i in ix), np.uint8).reshape(-1, n)]) for n, ix in groups.items() if n}
 
 
-def embed(words: list[bytes]) -> np.ndarray:
-    """Normalised subsequence weights of a few words: rows of the kernel's feature space."""
-    out = np.zeros((len(words), LETTERS**3), np.float32)
-    for index, codes in coded(words).values():
-        for key, weight in triples(codes):
-            np.add.at(out, (index, key), weight)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
-
-
-def kernel_rows(words: list[bytes], base: np.ndarray) -> np.ndarray:
-    """Normalised kernel of each word with each landmark (rows of ``base``)."""
-    by_key = np.ascontiguousarray(base.T)
-    out = np.zeros((len(words), len(base)), np.float32)
-    for index, codes in coded(words).values():
-        for i in range(0, len(index), 4000):
-            some = codes[i : i + 4000]
-            total = np.zeros((len(some), len(base)), np.float32)
-            for key, weight in triples(some):
-                total += np.float32(weight) * by_key[key]
-            out[index[i : i + 4000]] = total / np.maximum(norms(some), 1e-12)[:, None]
-    return out
+class Landmarks:
+    """Landmark words as rows of normalised weights over the triples that they have."""
+
+    def __init__(self, words: list[bytes]) -> None:
+        rows, keys, values = [], [], []
+        for index, codes in coded(words).values():
+            for key, weight in triples(codes):
+                rows.append(index)
+                keys.append(key)
+                values.append(np.full(len(key), weight))
+        self.keys, column = np.unique(np.concatenate(keys), return_inverse=True)
+        base = np.zeros((len(words), len(self.keys)))
+        np.add.at(base, (np.concatenate(rows), column), np.concatenate(values))
+        self.base = base / np.maximum(np.linalg.norm(base, axis=1, keepdims=True), 1e-12)
+        self.column = np.full(LETTERS**3, len(self.keys), np.int32)
+        self.column[self.keys] = np.arange(len(self.keys))
+
+    def kernel(self, words: list[bytes]) -> np.ndarray:
+        """Normalised kernel of each word with each landmark."""
+        by_key = np.vstack([self.base.T, np.zeros(len(self.base))]).astype(np.float32)
+        out = np.zeros((len(words), len(self.base)), np.float32)
+        for index, codes in coded(words).values():
+            for i in range(0, len(index), 2000):
+                some = codes[i : i + 2000]
+                total = np.zeros((len(some), len(self.base)), np.float32)
+                for key, weight in triples(some):
+                    total += np.float32(weight) * by_key[self.column[key]]
+                out[index[i : i + 2000]] = total / np.maximum(norms(some), 1e-12)[:, None]
+        return out
 
 
 def units(text: str) -> list[bytes]:
@@ -146,7 +157,8 @@ class Model:
         self.trained = 0 < self.share < 1
         if not self.trained:
             return
-        sentences = [[s for s in map(units, _SENTENCE.split(x)) if s] for x, _ in rows]
+        seen: dict[bytes, bytes] = {}
+        sentences = [[[seen.setdefault(w, w) for w in s] for s in map(units, _SENTENCE.split(x)) if s] for x, _ in rows]
         toxic, clean = Counter(), Counter()
         for doc, y in zip(sentences, label, strict=True):
             (toxic if y else clean).update({w for s in doc for w in s})
@@ -155,11 +167,12 @@ class Model:
         z = {w: (toxic[w] - self.share * n[w]) / np.sqrt(n[w] * self.share * (1 - self.share)) for w in toxic}
         telling = sorted((w for w in toxic if len(w) > 2 and z[w] > 3 and p[w] > 0.5 and toxic[w] > 1), key=lambda w: (-z[w], w))
         common = sorted((w for w in clean if len(w) > 2), key=lambda w: (-clean[w], w))
-        base = embed(list(dict.fromkeys([*telling[: LANDMARKS // 2], *common]))[:LANDMARKS])
-        if not len(base):
+        chosen = list(dict.fromkeys([*telling[: LANDMARKS // 2], *common]))[:LANDMARKS]
+        if not chosen:
             self.trained = False
             return
-        gram, vec = np.linalg.eigh((base @ base.T).astype(float))
+        landmarks = Landmarks(chosen)
+        gram, vec = np.linalg.eigh(landmarks.base @ landmarks.base.T)
         ok = gram > 1e-5
         fold = vec[:, ok] / np.sqrt(gram[ok])  # Nystroem map: kernel with the landmarks -> vector
         # a sentence of a toxic document stands for its most telling word, one of a clean document for each of its words
@@ -168,16 +181,19 @@ class Model:
             for s in doc if y else ():
                 if found := known.intersection(s):
                     best[max(found, key=lambda w: (z[w], w))] += 1
-        near = [w for w in clean if w not in known]
+        near = sorted((w for w in clean if w not in known), key=lambda w: (-clean[w], zlib.crc32(w)))[:CLEAN_WORDS]
         words = [*best, *near]
         y = np.r_[np.ones(len(best)), -np.ones(len(near))]
         weight = np.array([min(best[w], 50) if w in best else min(clean[w], 200) for w in words], float)
         weight[y > 0] *= 0.3 * (weight[y < 0].sum() + 1) / max(weight[y > 0].sum(), 1e-9)
-        coef, self.bias = squared_hinge(kernel_rows(words, base) @ fold, y, weight)
-        self.weights = (base.T @ (fold @ coef)).astype(np.float32)
-        margin, many, n_words = self.evidence(pa.array([x for x, _ in rows]))
+        coef, self.bias = squared_hinge(landmarks.kernel(words) @ fold, y, weight)
+        self.weights[landmarks.keys] = landmarks.base.T @ (fold @ coef)
+        del sentences, seen, clean
+        found = [self.evidence(pa.array([x for x, _ in rows[i : i + 500]])) for i in range(0, len(rows), 500)]
+        margin, many, n_words = (np.concatenate(x) for x in zip(*found, strict=True))
         self.usual = many[label == 0].sum(0) / max(n_words[label == 0].sum(), 1)
         self.curve = logistic(self.features(margin, many, n_words), label)
+        self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0)
 
     def margins(self, words: list[bytes]) -> np.ndarray:
         out = np.full(len(words), FLOOR)
