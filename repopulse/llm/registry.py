@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, licenses, packing, repetition, toxicity
+from . import decontamination, language, licenses, packing, repetition, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_repetition": repetition.op1_repetition,
     "op2_packing": packing.op2_packing,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_licenses": licenses.op7_licenses,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_language": language.op9_language,
 }
 
-ORACLE_SQL = {**decontamination.ORACLE}
+ORACLE_SQL = {**decontamination.ORACLE, **substring_dedup.ORACLE}

@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Suffix array by prefix doubling over integer names.
+def suffix_array(names: np.ndarray, limit: int | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Suffix array by prefix doubling over integer names; with a limit, suffixes that
+    share so many names keep the order of their positions.
 
     Returns the suffix order, each suffix's place in it, and for each level k the
     classes of equal substrings of length 2**k.  Only suffixes that still share a
@@ -24,10 +25,10 @@ def suffix_array(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.nda
     active = order[np.repeat(size > 1, size)]
     levels = [cls.copy()]
     step = 1
-    while len(active):
+    while len(active) and not (limit and step >= limit):
         ahead = cls[np.minimum(active + step, n)] + 1
         old = cls[active]
-        by = np.lexsort((ahead, old))
+        by = np.argsort(old * (n + 1) + ahead, kind="stable")
         active, old, ahead = active[by], old[by], ahead[by]
         new_old = np.r_[True, old[1:] != old[:-1]]
         head_mask = new_old | np.r_[True, ahead[1:] != ahead[:-1]]
@@ -41,9 +42,9 @@ def suffix_array(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.nda
         size = np.diff(np.r_[heads, len(active)])
         active = active[np.repeat(size > 1, size)]
         step *= 2
-    place = levels[-1][:n]
-    order = np.empty(n, np.int64)
-    order[place] = np.arange(n)
+    order = np.argsort(levels[-1][:n], kind="stable")
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
     return order, place, levels
 
 
@@ -109,10 +110,11 @@ def previous_factors(order: np.ndarray, levels: list[np.ndarray]) -> tuple[np.nd
 
     The longest earlier match of position i starts at one of its two neighbours in
     suffix order among positions smaller than i: the previous and the next smaller
-    value.  The same with larger values gives the longest later match.
+    value.  The same with larger values gives the longest later match.  ``order`` may be
+    part of a suffix order; matches are then exact within its runs of neighbours.
     """
     n = len(order)
-    earlier, later = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    earlier, later = np.zeros((2, len(levels[0]) - 1), np.int64)
     for out, values in ((earlier, order), (later, -order)):
         for reverse in (False, True):
             near = _previous_smaller(values[::-1] if reverse else values)
