@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, licenses, packing, repetition, substring_dedup, suffix_dedup, toxicity
+from . import decontamination, language, licenses, near_duplicates, packing, repetition, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_repetition": repetition.op1_repetition,
     "op2_packing": packing.op2_packing,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_jaccard_join": near_duplicates.op5_jaccard_join,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_licenses": licenses.op7_licenses,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
