@@ -130,19 +130,47 @@ def decontaminate(
     item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per document: words, hit words, items found, and hit spans of the original."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
+    blocks = list(_blocks(benchmark, item_col, item_text_col, block_bytes))
     out = t.text_frame(docs, id_col, text_col)
     state = "doc_id long, text string, state struct<hit:binary,items:array<string>>"
-    for k in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k) if blocks > 1 else items
-        block = spark.sparkContext.broadcast([tuple(r) for r in rows.collect()])
-        out = out.mapInArrow(_scan_block(block, uuid.uuid4().hex, k == blocks - 1, window), SCHEMA if k == blocks - 1 else state)
+    for k, (block, key) in enumerate(blocks):
+        last = k == len(blocks) - 1
+        out = out.mapInArrow(_scan_block(block, key, last, window), SCHEMA if last else state)
     return out
 
 
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple]:
+    """Broadcast blocks of the benchmark, each of a checked size, with a key for the workers' caches."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-size // block_bytes))
+    for k in range(n):
+        rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k) if n > 1 else items
+        yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in rows.collect()]), uuid.uuid4().hex
+
+
+def _clean(block, key: str, size: int, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key not in _automata:
+            _automata.clear()
+            _automata[key] = automaton(block.value, size)
+        for part in t.pieces(batches, text):
+            texts = part.column(part.schema.get_field_index(text)).to_pylist()
+            yield part.filter(pa.array([not scan(_automata[key], x)[1].any() for x in texts], pa.bool_()))
+
+    return run
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The documents without any benchmark window, all their columns unchanged."""
+    for block, key in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        docs = docs.mapInArrow(_clean(block, key, window, text_col), docs.schema)
+    return docs
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
