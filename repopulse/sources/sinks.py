@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def write_rollup(rollup: DataFrame, path: str) -> None:
     """Replaces the hours that are in the frame and leaves others; a replay changes nothing."""
     rows = rollup.withColumn("hour_key", F.date_format("hour", "yyyy-MM-dd-HH"))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour_key").parquet(path)
+    # one file an hour; without this every task would write a file into every hour
+    rows.repartition("hour_key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour_key").parquet(path)
 
 
 def as_json(rows: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def csv_rows(rows: DataFrame, scores: list[str] = ()) -> DataFrame:
         if f.dataType.typeName() == "array":
             c = F.concat_ws(";", c)
         elif f.name in scores:
-            c = F.format_string("%.1f", c)
+            c = F.replace(F.format_number(c, 1), F.lit(","), F.lit(""))  # rounds the exact value, as C does
         out.append(c.alias(f.name))
     return rows.select(*out)
 
