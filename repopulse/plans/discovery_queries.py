@@ -10,7 +10,7 @@ from ..operators import events as ev
 from ..operators import health, scoring, tiers
 from ..sources import archive
 from ..sources.views import NOW
-from .event_queries import _TOTALS, EDGE, WEEK
+from .event_queries import _TOTALS, WEEK, edge
 from .registry import query
 
 YEAR_AGO = NOW - 365 * x.DAY
@@ -136,7 +136,7 @@ def _(t):
     banned = _names(t, "pattern", ["org3/*", "org99/*"])
     meta = t.snapshots.groupBy("full_name").agg(F.max("stars").alias("stars"), F.max("day").alias("updated_s"))
     none = t.star_obs.limit(0)
-    totals = ev.window_totals(ev.hour_counts(events), EDGE, WEEK)
+    totals = ev.window_totals(ev.hour_counts(events), edge(), WEEK)
     return d.from_events(totals, tracked, banned, meta, none, NOW, floor=5, star_gate=3, cap=60).select("full_name", "total", "stars", "normalized")
 
 
@@ -150,7 +150,7 @@ def _(t):
 
 @query("w9_running_cap", "SELECT repo_name, total FROM ({}) ORDER BY total DESC, repo_name LIMIT 25".format(_TOTALS))
 def _(t):
-    return d.cap_running(ev.window_totals(ev.hour_counts(t.repo_events), EDGE, WEEK), 25, [F.desc("total"), F.col("repo_name")]).select("repo_name", "total")
+    return d.cap_running(ev.window_totals(ev.hour_counts(t.repo_events), edge(), WEEK), 25, [F.desc("total"), F.col("repo_name")]).select("repo_name", "total")
 
 
 @query("m12_auto_tracked", f"{_FLAGGED}, {_GATED} SELECT DISTINCT full_name FROM (SELECT full_name FROM au WHERE auto_track UNION ALL SELECT full_name FROM tracked)")

@@ -10,11 +10,15 @@ from ..operators import health, scoring
 from ..sources.views import NOW
 from .registry import query
 
-EDGE = F.timestamp_seconds(F.lit(NOW))
+
+def edge():
+    """Right edge of the windows."""
+    return F.timestamp_seconds(F.lit(NOW))
+
+
 WEEK = 168
 _KEPT = "type IN ('WatchEvent', 'ForkEvent', 'PushEvent', 'PullRequestEvent') AND repo_name <> ''"
 _HOURLY = f"SELECT repo_name, EPOCH(hour) AS hour_s, count(*) AS event_count FROM repo_events WHERE {_KEPT} GROUP BY 1, 2"
-HOUR_S = F.unix_timestamp("hour").alias("hour_s")
 
 
 def hour_in_seconds(df):
@@ -28,7 +32,7 @@ def _(t):
 
 @query("a2_hour_types", f"SELECT repo_name, EPOCH(hour) AS hour_s, type, count(*) AS n FROM repo_events WHERE {_KEPT} GROUP BY 1, 2, 3")
 def _(t):
-    return ev.hour_rollup(t.repo_events).select("repo_name", HOUR_S, F.explode("per_type").alias("type", "n"))
+    return ev.hour_rollup(t.repo_events).select("repo_name", F.unix_timestamp("hour").alias("hour_s"), F.explode("per_type").alias("type", "n"))
 
 
 @query("a3_kept_discarded", f"SELECT EPOCH(hour) AS hour_s, type, count(*) FILTER (WHERE {_KEPT}) AS kept, count(*) FILTER (WHERE NOT ({_KEPT})) AS discarded FROM repo_events GROUP BY 1, 2")
@@ -41,19 +45,19 @@ _TOTALS = f"SELECT repo_name, CAST(sum(event_count) AS BIGINT) AS total, max(eve
 
 @query("a4_window_totals", _TOTALS)
 def _(t):
-    return ev.window_totals(ev.hour_counts(t.repo_events), EDGE, WEEK)
+    return ev.window_totals(ev.hour_counts(t.repo_events), edge(), WEEK)
 
 
 @query("a4_window_types", f"SELECT repo_name, type, count(*) AS n FROM repo_events WHERE {_KEPT} AND EPOCH(hour) >= {{NOW}} - {WEEK * 3600} AND EPOCH(hour) < {{NOW}} GROUP BY 1, 2")
 def _(t):
-    return ev.window_types(ev.hour_rollup(t.repo_events), EDGE, WEEK)
+    return ev.window_types(ev.hour_rollup(t.repo_events), edge(), WEEK)
 
 
 @query("a4b_hour_series", f"""WITH h AS ({_HOURLY}), r AS (SELECT DISTINCT repo_name FROM h WHERE hour_s >= {{NOW}} - 86400 AND hour_s < {{NOW}}),
 s AS (SELECT repo_name, unnest(generate_series(0, 23)) AS slot FROM r)
 SELECT s.repo_name, string_agg(CAST(coalesce(h.event_count, 0) AS VARCHAR), ',' ORDER BY slot) AS series FROM s LEFT JOIN h ON h.repo_name = s.repo_name AND h.hour_s = {{NOW}} - 86400 + slot * 3600 GROUP BY 1""")
 def _(t):
-    return ev.hour_series(ev.hour_counts(t.repo_events), EDGE).select("repo_name", F.array_join(F.transform("hour_counts", lambda c: c.cast("string")), ",").alias("series"))
+    return ev.hour_series(ev.hour_counts(t.repo_events), edge()).select("repo_name", F.array_join(F.transform("hour_counts", lambda c: c.cast("string")), ",").alias("series"))
 
 
 @query("a5_dominant_type", f"""WITH n AS (SELECT repo_name, type, count(*) AS n FROM repo_events WHERE {_KEPT} GROUP BY 1, 2)
@@ -96,7 +100,7 @@ def _(t):
 
 @query("a33_distinct_repos", f"SELECT count(DISTINCT repo_name) AS repos FROM repo_events WHERE {_KEPT} AND EPOCH(hour) >= {{NOW}} - 86400 AND EPOCH(hour) < {{NOW}}")
 def _(t):
-    return ev.in_window(ev.hour_counts(t.repo_events), EDGE, 24).agg(F.count_distinct("repo_name").alias("repos"))
+    return ev.in_window(ev.hour_counts(t.repo_events), edge(), 24).agg(F.count_distinct("repo_name").alias("repos"))
 
 
 @query("w1_sliding_totals", f"SELECT repo_name, hour_s, event_count, CAST(sum(event_count) OVER (PARTITION BY repo_name ORDER BY hour_s RANGE BETWEEN 82800 PRECEDING AND CURRENT ROW) AS BIGINT) AS window_total FROM ({_HOURLY})")
@@ -106,7 +110,7 @@ def _(t):
 
 @query("t1_top_active", f"SELECT repo_name, total, peak FROM ({_TOTALS}) WHERE total >= 10 ORDER BY total DESC, repo_name LIMIT 50")
 def top_active(t):
-    return ev.top_active(ev.active(ev.window_totals(ev.hour_counts(t.repo_events), EDGE, WEEK)), 50)
+    return ev.top_active(ev.active(ev.window_totals(ev.hour_counts(t.repo_events), edge(), WEEK)), 50)
 
 
 @query("x16_archive_hours", """SELECT DISTINCT strftime(hour, '%Y-%m-%d-%H') AS archive, EPOCH(hour) AS hour_s, {NOW} - EPOCH(hour) AS lag_s, {NOW} - EPOCH(hour) >= 5400 AS ready,
@@ -174,7 +178,7 @@ def _(t):
 
 @query("w11_release_cadence", "SELECT repo_name, CAST(count(*) FILTER (WHERE created_s <= {NOW} AND created_s > {NOW} - 90 * 86400) AS DOUBLE) / 3.0::DOUBLE AS cadence FROM repo_events WHERE type = 'ReleaseEvent' AND action = 'published' GROUP BY 1")
 def _(t):
-    return ev.release_dates(t.repo_events).select("repo_name", x.release_cadence(F.col("release_dates"), EDGE).alias("cadence"))
+    return ev.release_dates(t.repo_events).select("repo_name", x.release_cadence(F.col("release_dates"), edge()).alias("cadence"))
 
 
 @query("w10_release_history", """WITH r AS (SELECT repo_name, created_at, row_number() OVER (PARTITION BY repo_name ORDER BY created_at DESC, event_id DESC) AS rn FROM repo_events WHERE type = 'ReleaseEvent' AND action = 'published')

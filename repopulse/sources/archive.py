@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import exprs as x
 
@@ -69,19 +68,16 @@ def fallback_hours(spark: SparkSession, now_s: int, window_hours: float) -> Data
     return spark.range(0, n).select(F.timestamp_seconds(F.lit(top) - F.col("id") * 3600).alias("hour"))
 
 
-REPO_STATE = T.StructType.fromDDL(
-    "owner string, name string, stars bigint, forks bigint, contributors bigint, star_velocity double, growth_score double, last_collected_at string, recent_release_dates array<string>"
+STATE = (
+    "repos map<string,struct<owner:string,name:string,stars:bigint,forks:bigint,contributors:bigint,star_velocity:double,growth_score:double,"
+    "last_collected_at:string,recent_release_dates:array<string>>>, star_observations map<string,struct<stars:bigint,observed_at:string>>, "
+    "discovery struct<known_repos:map<string,boolean>,topic_scans:map<string,string>,last_scan:string>"
 )
 
 
 def read_state(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables of a JSON state file: repos, observations, known repositories, topic scans."""
-    schema = T.StructType([
-        T.StructField("repos", T.MapType(T.StringType(), REPO_STATE)),
-        T.StructField("star_observations", T.MapType(T.StringType(), T.StructType.fromDDL("stars bigint, observed_at string"))),
-        T.StructField("discovery", T.StructType.fromDDL("known_repos map<string,boolean>, topic_scans map<string,string>, last_scan string")),
-    ])
-    doc = spark.read.schema(schema).json(path, multiLine=True)
+    doc = spark.read.schema(STATE).json(path, multiLine=True)
     repos = doc.select(F.explode("repos").alias("full_name", "r")).select("full_name", "r.*").withColumn("status", F.lit("pending"))
     seen = doc.select(F.explode("star_observations").alias("full_name", "o")).select("full_name", "o.stars", x_time(F.col("o.observed_at")).alias("observed_at"))
     known = doc.select(F.explode("discovery.known_repos").alias("full_name", "is_known")).filter("is_known").select("full_name")
