@@ -10,9 +10,11 @@ segment (about two in W - K units) is all that is shuffled:
 2. segments with equal content are equal in all their windows: one minimum or count for
    each (anchor, content);
 3. anchors with several contents need a closer look.  One copy of each content is
-   fetched and compared window by window, either in blocks of whole anchor groups or,
-   for anchors with more than ``HOT`` contents, by rows of window hashes that combine
-   before the shuffle.  Both are exact; the second has no group that meets in one task.
+   fetched and compared window by window in blocks of whole anchor groups;
+4. the contents of an anchor with more than ``HOT`` of them (a common line, say) are cut
+   again by longer anchors, which tell them apart, and go through 2 and 3 once more; what
+   is hot even then is compared by rows of window hashes.  All ways are exact, and none
+   has a group without a bound in one task.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from . import text as t
 #: An anchor with more distinct contents than this is compared by window hashes.
 HOT = 400
 #: Units that one block of anchor groups may hold.
-BLOCK_UNITS = 300_000
+BLOCK_UNITS = 200_000
 
 SEGMENT = "anchor long, content long, doc_id long, tag int, start int, n int"
 
@@ -41,8 +43,18 @@ class Units:
 
     window: int
     gram: int
+    long_gram: int
     words: bool
 
+    @property
+    def slice_bytes(self) -> int:
+        return t.SLICE_BYTES if self.words else t.SLICE_BYTES // 3
+
+    def codes(self, data: list[bytes]) -> np.ndarray:
+        """Codes of fetched contents, one behind the other."""
+        joined = b"".join(data)
+        return np.frombuffer(joined, np.uint64) if self.words else t.byte_codes(np.frombuffer(joined, np.uint8))
+
     def read(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes, unit range of each row, and the bytes."""
         if self.words:
@@ -90,7 +102,7 @@ def segments(codes: np.ndarray, off: np.ndarray, window: int, gram: int):
 
 def _segment_rows(units: Units):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in t.pieces(batches):
+        for part in t.pieces(batches, limit=units.slice_bytes):
             codes, off, _ = units.read(part.column(1))
             (row, start, n, anchor, content, _), _ = segments(codes, off, units.window, units.gram)
             if len(row):
@@ -105,14 +117,14 @@ def _segment_rows(units: Units):
 def shared_segments(docs: DataFrame, units: Units) -> DataFrame:
     """Segments whose anchor occurs at least twice; ``several``: their anchor has more contents than one.
 
-    ``docs``: doc_id, text, tag.  The result is written to the shared checkpoint folder:
-    it is small against the text and is read several times.
+    ``docs``: doc_id, text, tag.  The anchors found are written first, so that the join
+    has a shuffle of its own on either side and a hot anchor can be split.
     """
     rows = docs.select("doc_id", "text", "tag").mapInArrow(_segment_rows(units), SEGMENT)
-    twice = (
+    twice = kept_in(docs.sparkSession,
         rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.min("content").alias("low"), F.max("content").alias("high"))
-        .filter("times > 1").select("anchor", (F.col("low") != F.col("high")).alias("several"))
-    )
+        .filter("times > 1").select("anchor", (F.col("low") != F.col("high")).alias("several")),
+        "anchors")
     return rows.join(twice, "anchor")
 
 
@@ -128,11 +140,12 @@ def has_hot(found: DataFrame) -> bool:
     return bool(found.filter("several").groupBy("anchor").count().filter(F.col("count") > HOT).take(1))
 
 
-def fetched(docs: DataFrame, found: DataFrame, units: Units, hot: bool) -> DataFrame:
-    """The contents of the cold or of the hot anchors, from the texts that hold their first occurrences.
+FETCHED = "anchor long, times long, doc_id long, tag int, start int, n int, data binary"
 
-    ``data``: the bytes of a cold content of bytes, else the hashes of its windows.
-    """
+
+def fetched(docs: DataFrame, found: DataFrame, units: Units, hot: bool) -> DataFrame:
+    """The contents of the cold or of the hot anchors with their units, from the texts that
+    hold their first occurrences; a unit is a byte, or a word's hash."""
     found = found.filter("several")
     kinds = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter((F.col("kinds") > HOT) == hot)
     wanted = (
@@ -141,28 +154,60 @@ def fetched(docs: DataFrame, found: DataFrame, units: Units, hot: bool) -> DataF
         .groupBy("doc_id", "tag").agg(F.collect_list("of").alias("of"))
     )
     pairs = docs.alias("d").join(wanted.alias("w"), same_row("d", "w")).select("d.doc_id", "d.text", "d.tag", "w.of")
-    schema = "anchor long, times long, doc_id long, tag int, start int, n int, data binary"
-    as_bytes = not (units.words or hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in t.pieces(batches):
+        for part in t.pieces(batches, limit=units.slice_bytes):
             codes, off, raw = units.read(part.column(1))
-            prefix = None if as_bytes else t.prefix_hash(codes)
+            kept = codes if units.words else raw
             of = part.column(3)
             flat = of.flatten()
             row = np.repeat(np.arange(part.num_rows), of.value_lengths().to_numpy())
             start, n = flat.field("start").to_numpy(), flat.field("n").to_numpy()
-            out = []
-            for a, k in zip((off[row] + start).tolist(), n.tolist(), strict=True):
-                at = np.arange(a, a + k)
-                out.append((raw[a : a + k - 1 + units.window] if as_bytes else t.span_hash(prefix, at, at + units.window)).tobytes())
+            out = [kept[a : a + k - 1 + units.window].tobytes() for a, k in zip((off[row] + start).tolist(), n.tolist(), strict=True)]
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [flat.field("anchor"), flat.field("times"), part.column(0).take(take), part.column(2).take(take), flat.field("start"), flat.field("n"), pa.array(out, pa.binary())],
-                [x.split()[0] for x in schema.split(", ")],
+                [x.split()[0] for x in FETCHED.split(", ")],
             )
 
-    return pairs.mapInArrow(run, schema)
+    return pairs.mapInArrow(run, FETCHED)
+
+
+def cut_again(rows: DataFrame, units: Units) -> DataFrame:
+    """Segments of fetched contents by longer anchors, each with its units: FETCHED with ``content``."""
+    names = ["anchor", "content", "times", "doc_id", "tag", "start", "n", "data"]
+    size = 8 if units.words else 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                data = part.column(6).to_pylist()
+                off = np.r_[0, np.cumsum([len(x) // size for x in data])]
+                (row, start, n, anchor, content, first), _ = segments(units.codes(data), off, units.window, units.long_gram)
+                if not len(row):
+                    continue
+                # the first anchor stays part of the key: contents of different anchors never match
+                anchor = t.mixed(anchor ^ part.column(0).to_numpy().view(np.uint64)[row])
+                joined = b"".join(data)
+                own = [joined[size * a : size * (a + k - 1 + units.window)] for a, k in zip(first.tolist(), n.tolist(), strict=True)]
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), part.column(1).take(take), part.column(2).take(take), part.column(3).take(take),
+                     pa.array((part.column(4).to_numpy()[row] + start).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(own, pa.binary())],
+                    names,
+                )
+
+    return rows.mapInArrow(run, "anchor long, content long, times long, doc_id long, tag int, start int, n int, data binary")
+
+
+def window_hashes(rows: list[dict], units: Units) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of some contents, and the number of windows of each content."""
+    n = np.array([r["n"] for r in rows])
+    prefix = t.prefix_hash(units.codes([r["data"] for r in rows]))
+    length = n - 1 + units.window
+    begin = np.repeat(np.cumsum(length) - length, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return t.span_hash(prefix, begin, begin + units.window), n
 
 
 def in_blocks(rows: DataFrame, units: Units, flag: Callable[[list[dict]], Iterator[tuple[dict, np.ndarray]]]) -> DataFrame:
@@ -185,7 +230,7 @@ def in_blocks(rows: DataFrame, units: Units, flag: Callable[[list[dict]], Iterat
         if held:
             yield from _spans(flag(held), units.window)
 
-    ordered = rows.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "tag", "start")
+    ordered = rows.repartition(partitions(rows), "anchor").sortWithinPartitions("anchor", "doc_id", "tag", "start")
     return ordered.mapInArrow(run, "doc_id long, tag int, start int, end int")
 
 
@@ -200,26 +245,65 @@ def _spans(flagged: Iterator[tuple[dict, np.ndarray]], window: int) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "tag", "start", "end"])
 
 
-def exploded(rows: DataFrame) -> DataFrame:
-    """A row for each window of contents whose data are window hashes."""
+def exploded(rows: DataFrame, units: Units) -> DataFrame:
+    """A row for each window of the contents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column(5).to_numpy()
-            if not len(n):
-                continue
-            row = pa.array(np.repeat(np.arange(len(n)), n))
-            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            hashes = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.int64)
-            start = batch.column(4).take(row).to_numpy() + nth
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes), *(batch.column(i).take(row) for i in (1, 2, 3)), pa.array(start.astype(np.int32))],
-                ["hash", "times", "doc_id", "tag", "start"],
-            )
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                hashes, n = window_hashes(part.select(["n", "data"]).to_pylist(), units)
+                row = pa.array(np.repeat(np.arange(len(n)), n))
+                nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                start = part.column(4).take(row).to_numpy() + nth
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes.view(np.int64)), *(part.column(i).take(row) for i in (1, 2, 3)), pa.array(start.astype(np.int32))],
+                    ["hash", "times", "doc_id", "tag", "start"],
+                )
 
     return rows.mapInArrow(run, "hash long, times long, doc_id long, tag int, start int")
 
 
+SPAN = "doc_id long, tag int, start int, end int"
+
+
+def spans(docs: DataFrame, units: Units, flag: Callable[[list[dict]], Iterator[tuple[dict, np.ndarray]]], again: Callable[[DataFrame], DataFrame], seen: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Unit spans (doc_id, tag, start, end) of the windows that go.
+
+    flag: rows of a block -> rows with their flagged windows.  again: occurrences
+    (anchor, content, doc_id, tag, start, n, times, first) of contents that occur several
+    times -> those that go as a whole.  seen: windows (hash, doc_id, tag, start) with
+    their ``kinds`` and ``first`` -> those that go.
+    """
+    spark = docs.sparkSession
+
+    def ends(rows: DataFrame) -> DataFrame:
+        return rows.select("doc_id", "tag", "start", (F.col("start") + F.col("n") - 1 + units.window).cast("int").alias("end"))
+
+    shared = kept_in(spark, shared_segments(docs, units), "segments")
+    found = contents(shared)
+    whole = shared.join(found.filter("times > 1").select("anchor", "content", "times", "first"), ["anchor", "content"])
+    out = ends(again(whole)).unionByName(in_blocks(fetched(docs, found, units, hot=False), units, flag))
+    if not has_hot(found):
+        return out
+    parts = kept_in(spark, cut_again(fetched(docs, found, units, hot=True), units), "parts")
+    kinds = parts.groupBy("anchor", "content").agg(
+        F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "tag", "start", "n")).alias("first"), F.min_by("data", F.struct("doc_id", "tag", "start")).alias("data")
+    )
+    kinds = kept_in(spark, kinds, "contents")
+    whole = parts.select("anchor", "content", "doc_id", "tag", "start", "n").join(kinds.filter("times > 1").drop("data"), ["anchor", "content"])
+    many = kept_in(spark, kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "kinds")
+    rows = kinds.join(many, "anchor").select("anchor", "times", "first.doc_id", "first.tag", "first.start", "first.n", "data", "kinds")
+    out = out.unionByName(ends(again(whole))).unionByName(in_blocks(rows.filter(F.col("kinds") <= HOT).drop("kinds"), units, flag))
+    hot = many.filter(F.col("kinds") > HOT)
+    if not hot.take(1):
+        return out
+    windows = exploded(rows.filter(F.col("kinds") > HOT).drop("kinds"), units)
+    known = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds"), F.min(F.struct("doc_id", "tag", "start")).alias("first")).filter("kinds > 1")
+    gone = seen(windows.join(known, "hash"))
+    return out.unionByName(gone.select("doc_id", "tag", "start", (F.col("start") + units.window).cast("int").alias("end")))
+
+
 def same_row(a: str, b: str):
     """Join condition on a row's id and text hash; rows without an id match by their text."""
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & F.col(f"{a}.tag").eqNullSafe(F.col(f"{b}.tag"))
@@ -245,6 +329,12 @@ def removed(part: pa.RecordBatch, at: int, sizes: np.ndarray) -> np.ndarray:
     return t.covered(int(sizes[-1]), flat.field("start").to_numpy() + base, flat.field("end").to_numpy() + base)
 
 
+def partitions(frame: DataFrame) -> int:
+    """Shuffle partitions of the session.  Given as a number they aren't merged for being
+    small: blocks cost far more to work on than to read."""
+    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def kept_in(spark, frame: DataFrame, name: str) -> DataFrame:
     """Writes a table to the cluster's shared checkpoint folder and reads it back."""
     import tempfile

@@ -32,8 +32,7 @@ from . import overlap as o
 from . import text as t
 
 WINDOW = 50
-GRAM = 12
-UNITS = o.Units(WINDOW, GRAM, True)
+UNITS = o.Units(WINDOW, gram=12, long_gram=32, words=True)
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>"
 
@@ -44,9 +43,8 @@ def parse(rows: list[dict]) -> Iterator[tuple[dict, np.ndarray]]:
     The block's index holds the first document of every window; a content is parsed
     left to right, and a factor runs on while its windows are in the index.
     """
-    size = np.array([r["n"] for r in rows])
+    hashes, size = o.window_hashes(rows, UNITS)
     which = np.repeat(np.arange(len(rows)), size)
-    hashes = np.frombuffer(b"".join(r["data"] for r in rows), np.uint64)
     doc = np.array([r["doc_id"] for r in rows])[which]
     by = np.lexsort((doc, hashes))
     head = np.r_[True, hashes[by][1:] != hashes[by][:-1]]
@@ -61,18 +59,8 @@ def parse(rows: list[dict]) -> Iterator[tuple[dict, np.ndarray]]:
 
 def duplicate_spans(docs: DataFrame) -> DataFrame:
     """Word spans (doc_id, tag, start, end) that stand in a document with a smaller id; docs: doc_id, text, tag."""
-    shared = o.kept_in(docs.sparkSession, o.shared_segments(docs.filter("doc_id IS NOT NULL"), UNITS), "segments")
-    found = o.contents(shared)
-    span = ("doc_id", "tag", "start", (F.col("start") + F.col("n") - 1 + WINDOW).alias("end"))
-    firsts = found.filter("times > 1").select("anchor", "content", F.col("first.doc_id").alias("first_id"))
-    whole = shared.join(firsts, ["anchor", "content"]).filter("doc_id > first_id").select(*span)
-    out = whole.unionByName(o.in_blocks(o.fetched(docs, found, UNITS, hot=False), UNITS, parse))
-    if o.has_hot(found):
-        windows = o.exploded(o.fetched(docs, found, UNITS, hot=True))
-        known = windows.groupBy("hash").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id")
-        hot = windows.join(known, "hash").filter("doc_id > first_id")
-        out = out.unionByName(hot.select("doc_id", "tag", "start", (F.col("start") + WINDOW).cast("int").alias("end")))
-    return out
+    named = docs.filter("doc_id IS NOT NULL")
+    return o.spans(named, UNITS, parse, lambda rows: rows.filter("doc_id > first.doc_id"), lambda rows: rows.filter("doc_id > first.doc_id"))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

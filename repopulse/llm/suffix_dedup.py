@@ -8,8 +8,7 @@ earlier match; the same with larger positions gives the longest later one.
 One suffix array of a corpus fits no task, so the work is cut by content-defined anchors
 (``overlap``): equal 200-byte strings share an anchor.  Contents that are equal as a
 whole need a count only; the different contents of an anchor meet in a block, which gets
-a suffix array of its own.  Anchors with very many contents are compared by hashes of
-their windows instead.
+a suffix array of its own.
 
 ``keep_first`` removes later copies and keeps the first (by id, then text hash, then
 place); without it, every string that occurs elsewhere goes, the first one too.
@@ -34,8 +33,7 @@ from . import text as t
 from .suffix import lcp_array, previous_factors, suffix_array
 
 WINDOW = 200
-GRAM = 32
-UNITS = o.Units(WINDOW, GRAM, False)
+UNITS = o.Units(WINDOW, gram=32, long_gram=128, words=False)
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>"
 
@@ -64,23 +62,13 @@ def factors(rows: list[dict], keep_first: bool, window: int = WINDOW) -> Iterato
 
 def duplicate_spans(docs: DataFrame, keep_first: bool) -> DataFrame:
     """Byte spans (doc_id, tag, start, end) that occur elsewhere; docs: doc_id, text, tag."""
-    shared = o.kept_in(docs.sparkSession, o.shared_segments(docs, UNITS), "segments")
-    found = o.contents(shared)
-    span = ("doc_id", "tag", "start", (F.col("start") + F.col("n") - 1 + WINDOW).alias("end"))
-    whole = shared.join(found.filter("times > 1").select("anchor", "content", "first"), ["anchor", "content"])
-    if keep_first:
-        whole = whole.filter(F.struct("doc_id", "tag", "start", "n") > F.col("first"))
-    blocks = o.fetched(docs, found, UNITS, hot=False)
-    out = whole.select(*span).unionByName(o.in_blocks(blocks, UNITS, lambda rows: factors(rows, keep_first)))
-    if o.has_hot(found):
-        windows = o.exploded(o.fetched(docs, found, UNITS, hot=True))
-        first = F.min(F.struct("doc_id", "tag", "start")).alias("first")
-        known = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds"), first).filter("kinds > 1").select("hash", "first")
-        hot = windows.join(known, "hash")
-        if keep_first:
-            hot = hot.filter(F.struct("doc_id", "tag", "start") > F.col("first"))
-        out = out.unionByName(hot.select("doc_id", "tag", "start", (F.col("start") + WINDOW).cast("int").alias("end")))
-    return out
+    def again(rows: DataFrame) -> DataFrame:
+        return rows.filter(F.struct("doc_id", "tag", "start", "n") > F.col("first")) if keep_first else rows
+
+    def seen(rows: DataFrame) -> DataFrame:
+        return rows.filter(F.struct("doc_id", "tag", "start") > F.col("first")) if keep_first else rows
+
+    return o.spans(docs, UNITS, lambda block: factors(block, keep_first), again, seen)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
