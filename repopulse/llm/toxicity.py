@@ -13,7 +13,7 @@ folded into one weight for each letter triple (``Model.weights``); scoring a wor
 not touch the landmarks again.
 
 Training rows: at most ``TRAIN_ROWS`` labelled documents, those with the smallest hash of
-their text, of each the first ``TRAIN_CHARS`` characters; of their clean words the
+their text (copies count once), of each the first ``TRAIN_CHARS`` characters; of their clean words the
 ``CLEAN_WORDS`` most frequent.  Nothing else is sampled, and every text is scored whole.
 
 Other signs inside a word are dropped (``i.d-i*o't``), and single letters in a row are
@@ -45,10 +45,13 @@ TRAIN_ROWS = 5000
 TRAIN_CHARS = 6_000
 CLEAN_WORDS = 40_000
 LANDMARKS = 160
+HARD = 60
 THRESHOLD = 0.3
 LETTERS = 58  # a-z, and 32 for the continuation bytes of other letters
 MAX_CACHE = 1_000_000
 FLOOR = -2.0
+#: Standard deviations by which a word has to be more frequent in toxic documents to be telling.
+TELLING = 5.0
 LEVELS = (0.0, 0.4, 0.8)
 
 _LETTER = np.zeros(256, bool)
@@ -159,22 +162,24 @@ class Model:
             return
         seen: dict[bytes, bytes] = {}
         sentences = [[[seen.setdefault(w, w) for w in s] for s in map(units, _SENTENCE.split(x)) if s] for x, _ in rows]
+        # each different sentence counts once, so copies and near copies of a document don't speak for its words
         toxic, clean = Counter(), Counter()
+        counted: tuple[set, set] = set(), set()
         for doc, y in zip(sentences, label, strict=True):
-            (toxic if y else clean).update({w for s in doc for w in s})
+            for s in doc:
+                if (key := hash(tuple(s))) not in counted[int(y)]:
+                    counted[int(y)].add(key)
+                    (toxic if y else clean).update(set(s))
+        share = len(counted[1]) / (len(counted[0]) + len(counted[1]))
         n = {w: toxic[w] + clean[w] for w in toxic}
-        p = {w: (toxic[w] + self.share) / (n[w] + 1) for w in toxic}
-        z = {w: (toxic[w] - self.share * n[w]) / np.sqrt(n[w] * self.share * (1 - self.share)) for w in toxic}
-        telling = sorted((w for w in toxic if len(w) > 2 and z[w] > 3 and p[w] > 0.5 and toxic[w] > 1), key=lambda w: (-z[w], w))
+        p = {w: (toxic[w] + share) / (n[w] + 1) for w in toxic}
+        z = {w: (toxic[w] - share * n[w]) / np.sqrt(n[w] * share * (1 - share)) for w in toxic}
+        telling = sorted((w for w in toxic if len(w) > 2 and z[w] > TELLING and p[w] > 0.5), key=lambda w: (-z[w], w))
         common = sorted((w for w in clean if len(w) > 2), key=lambda w: (-clean[w], w))
         chosen = list(dict.fromkeys([*telling[: LANDMARKS // 2], *common]))[:LANDMARKS]
         if not chosen:
             self.trained = False
             return
-        landmarks = Landmarks(chosen)
-        gram, vec = np.linalg.eigh(landmarks.base @ landmarks.base.T)
-        ok = gram > 1e-5
-        fold = vec[:, ok] / np.sqrt(gram[ok])  # Nystroem map: kernel with the landmarks -> vector
         # a sentence of a toxic document stands for its most telling word, one of a clean document for each of its words
         known, best = set(telling), Counter()
         for doc, y in zip(sentences, label, strict=True):
@@ -186,10 +191,19 @@ class Model:
         y = np.r_[np.ones(len(best)), -np.ones(len(near))]
         weight = np.array([min(best[w], 50) if w in best else min(clean[w], 200) for w in words], float)
         weight[y > 0] *= 0.3 * (weight[y < 0].sum() + 1) / max(weight[y > 0].sum(), 1e-9)
-        coef, self.bias = squared_hinge(landmarks.kernel(words) @ fold, y, weight)
+        for last in (False, True):
+            landmarks = Landmarks(chosen)
+            gram, vec = np.linalg.eigh(landmarks.base @ landmarks.base.T)
+            ok = gram > 1e-5
+            fold = vec[:, ok] / np.sqrt(gram[ok])  # Nystroem map: kernel with the landmarks -> vector
+            rows_ = landmarks.kernel(words) @ fold.astype(np.float32)
+            coef, self.bias = squared_hinge(rows_, y, weight)
+            if not last:  # the clean words that are told apart worst become landmarks too
+                worst = np.argsort(-np.where(y < 0, weight * np.maximum(0, 1 + rows_ @ coef + self.bias), 0), kind="stable")[:HARD]
+                chosen = list(dict.fromkeys([*chosen, *(w for w in (words[i] for i in worst) if len(w) > 2)]))
         self.weights[landmarks.keys] = landmarks.base.T @ (fold @ coef)
-        del sentences, seen, clean
-        found = [self.evidence(pa.array([x for x, _ in rows[i : i + 500]])) for i in range(0, len(rows), 500)]
+        del sentences, seen, clean, counted
+        found = [self.evidence(pa.array([x for x, _ in rows[i : i + 100]])) for i in range(0, len(rows), 100)]
         margin, many, n_words = (np.concatenate(x) for x in zip(*found, strict=True))
         self.usual = many[label == 0].sum(0) / max(n_words[label == 0].sum(), 1)
         self.curve = logistic(self.features(margin, many, n_words), label)
@@ -281,15 +295,20 @@ def kernel_tokens(column: pa.Array) -> t.Tokens:
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1.0) -> tuple[np.ndarray, float]:
     """Primal L2 support vector machine by Newton steps over its active rows."""
-    x1 = np.c_[x, np.ones(len(x))]
-    w = np.zeros(x1.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
     c = cost * weight / weight.mean()
+    step = 5000
     for _ in range(50):
-        active = y * (x1 @ w) < 1
-        a = x1[active]
-        new = np.linalg.solve(ridge + 2 * (a.T * c[active]) @ a, 2 * (a.T * c[active]) @ y[active])
+        gram, target = ridge.copy(), np.zeros(len(w))
+        for i in range(0, len(x), step):
+            part = np.c_[x[i : i + step], np.ones(len(x[i : i + step]))]
+            active = y[i : i + step] * (part @ w) < 1
+            part, cost_, side = part[active], c[i : i + step][active], y[i : i + step][active]
+            gram += 2 * (part.T * cost_) @ part
+            target += 2 * (part.T * cost_) @ side
+        new = np.linalg.solve(gram, target)
         done = np.abs(new - w).max() < 1e-9
         w = w + (new - w) * (1.0 if _ < 10 else 0.5)
         if done:
@@ -314,10 +333,22 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> list[tuple[str, int]]:
-    """Bounded sample of (text, label): the rows with the smallest hash of their text."""
+    """Bounded sample of (text, label): the labelled texts with the smallest hash, copies once.
+
+    Ids and hashes are joined and cut first, by a bound on the hash that leaves about
+    twice as many rows as are wanted; texts are then read for the chosen ids only, at most
+    ``rows`` of them.  So no text is shuffled, and what reaches the driver is bounded.
+    """
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic"))
-    found = docs.join(known, "doc_id").filter("length(text) > 0").select(F.substring("text", 1, chars).alias("text"), "toxic")
-    return [tuple(r) for r in found.orderBy(F.xxhash64("text"), "text", "toxic").limit(rows).collect()]
+    hashed = docs.filter("length(text) > 0").select("doc_id", F.xxhash64("text").alias("h"))
+    n = known.count()
+    if n > 2 * rows:
+        hashed = hashed.filter(F.col("h") < int(-(2**63) + 2**64 * (2 * rows / n)))
+    once = hashed.join(known, "doc_id").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    chosen = once.orderBy("h").limit(rows)
+    found = docs.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "h"])
+    picked = [(r["h"], r["text"], r["toxic"]) for r in found.select("h", F.substring("text", 1, chars).alias("text"), "toxic").limit(rows).collect()]
+    return [(text, toxic) for _, text, toxic in sorted(picked)]
 
 
 def _score(trained, key: str, score_only: bool, threshold: float, text: str):
