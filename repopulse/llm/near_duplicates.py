@@ -132,7 +132,7 @@ def blocks(rows: DataFrame, compare: Callable[[list[dict]], np.ndarray], sizes:
     rows = rows.join(sizes, "bucket").withColumn("own", own)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).drop("other", "size")
-    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+    rows = rows.repartition(o.partitions(rows), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -232,11 +232,11 @@ def near_duplicate_rows(docs: DataFrame, threshold: float = THRESHOLD, size: int
         "nodes",
     )
     keyed = nodes.select("node", F.explode("keys").alias("bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    sizes = o.kept_in(spark, keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
     signs = nodes.select("node", F.col("sign").alias("data"))
     alike = blocks(keyed.join(sizes.select("bucket"), "bucket", "left_semi").join(signs, "node"), _alike, sizes, "a long, b long", _forest)
     groups = components(alike)
-    members = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")).select(F.col("component").alias("bucket"), "size")
+    members = o.kept_in(spark, groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")).select(F.col("component").alias("bucket"), "size"), "sizes")
     wanted = groups.join(nodes.select("node", "times", "first"), "node").select("node", "component", "times", "first.doc_id", "first.tag")
     texts = docs.alias("d").join(wanted.alias("w"), o.same_row("d", "w")).select("d.text", "w.node", "w.component", "w.times").dropDuplicates(["node"])
 
