@@ -182,7 +182,9 @@ def scan(text: str | None) -> tuple:
         spans = t.Tokens(pa.array([text]), lower=True, spaced=False)
         raw = text.encode(errors="surrogatepass")
         for last in tags:
-            tail = raw[spans.end[last - 1] :][:4096].decode(errors="ignore").split("\n")[0].lstrip(": \t")
+            start = int(spans.end[last - 1])
+            end = raw.find(b"\n", start)
+            tail = raw[start : end if end >= 0 else len(raw)].decode(errors="ignore").lstrip(": \t")
             tokens = expression_tokens(tail)
             if value := evaluate(tokens):
                 names |= value[0]
