@@ -22,12 +22,19 @@ def tables():
     return c
 
 
-def rows(frame):
-    frame = frame[sorted(frame.columns)]
-    def show(v):
-        return "~" if v is None or v != v else f"{v:.9g}" if isinstance(v, (float, np.floating)) else str(int(v)) if isinstance(v, (int, np.integer)) and not isinstance(v, bool) else str(v)
+def show(v):
+    """A value as text that is equal for equal numbers of any type."""
+    if v is None or v != v:
+        return "~"
+    if isinstance(v, (int, float, np.integer, np.floating)) and not isinstance(v, (bool, np.bool_)):
+        return f"{float(v):.9g}"
+    return str(v)
+
 
-    return sorted(tuple(show(float(v)) if isinstance(v, (int, float, np.integer, np.floating)) and not isinstance(v, (bool, np.bool_)) and v == v else show(v) for v in r) for r in frame.itertuples(index=False))
+def rows(frame):
+    frame = frame[sorted(frame.columns)].astype(object)
+    frame = frame.where(frame.notna(), None)
+    return sorted(tuple(map(show, r)) for r in frame.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(plans.ORACLE))
