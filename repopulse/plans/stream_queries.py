@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import exprs as x
 from ..sources import archive
 from ..sources.tables import shared_folder
 from ..sources.views import NOW
@@ -14,21 +15,14 @@ from .event_queries import _HOURLY
 from .registry import query
 
 
-def _archives(t, folder: str) -> str:
-    """Hourly event lines, one folder of text files for each day, with their hour in the file name."""
-    line = F.to_json(F.struct("type", F.struct(F.col("repo_name").alias("name")).alias("repo")))
-    rows = t.repo_events.select(line.alias("value"), F.date_format("hour", "yyyy-MM-dd-HH").alias("archive"))
-    path = f"{folder}/archives"
-    rows.repartition("archive").write.partitionBy("archive").text(path)
-    return path
-
-
 def _streamed(t):
+    """Streams the events as archive lines.  Each line also names its hour, in place of a file
+    for each hour, whose listing would take longer than the job."""
     folder = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
-    lines = t.spark.readStream.format("text").option("maxFilesPerTrigger", 1000).load(f"{_archives(t, folder)}/*")
-    from ..functions import exprs as x
-
-    hour = x.archive_hour(F.regexp_extract(F.col("_metadata.file_path"), r"archive=([0-9-]+)/", 1))
+    line = F.to_json(F.struct("type", F.struct(F.col("repo_name").alias("name")).alias("repo"), F.date_format("hour", "yyyy-MM-dd-HH").alias("archive")))
+    t.repo_events.select(line.alias("value")).write.text(f"{folder}/archives")
+    lines = t.spark.readStream.format("text").load(f"{folder}/archives")
+    hour = x.archive_hour(F.get_json_object("value", "$.archive"))
     job = ingest.ingest(lines.select("value", hour.alias("hour")), f"{folder}/rollup", f"{folder}/checkpoint", now_s=NOW)
     job.awaitTermination()
     return t.spark.read.parquet(f"{folder}/rollup")
