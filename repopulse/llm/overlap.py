@@ -117,10 +117,11 @@ def _segment_rows(units: Units):
 def shared_segments(docs: DataFrame, units: Units) -> DataFrame:
     """Segments whose anchor occurs at least twice; ``several``: their anchor has more contents than one.
 
-    ``docs``: doc_id, text, tag.  The anchors found are written first, so that the join
-    has a shuffle of its own on either side and a hot anchor can be split.
+    ``docs``: doc_id, text, tag.  The rows are read twice, so they are written once.  The
+    anchors found are written too, so that the join has a shuffle of its own on either side
+    and a hot anchor can be split.
     """
-    rows = docs.select("doc_id", "text", "tag").mapInArrow(_segment_rows(units), SEGMENT)
+    rows = kept_in(docs.sparkSession, docs.select("doc_id", "text", "tag").mapInArrow(_segment_rows(units), SEGMENT), "rows")
     twice = kept_in(docs.sparkSession,
         rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.min("content").alias("low"), F.max("content").alias("high"))
         .filter("times > 1").select("anchor", (F.col("low") != F.col("high")).alias("several")),
@@ -281,7 +282,7 @@ def spans(docs: DataFrame, units: Units, flag: Callable[[list[dict]], Iterator[t
         return rows.select("doc_id", "tag", "start", (F.col("start") + F.col("n") - 1 + units.window).cast("int").alias("end"))
 
     shared = kept_in(spark, shared_segments(docs, units), "segments")
-    found = contents(shared)
+    found = kept_in(spark, contents(shared), "contents")  # read several times; joins with it can split hot keys
     whole = shared.join(found.filter("times > 1").select("anchor", "content", "times", "first"), ["anchor", "content"])
     out = ends(again(whole)).unionByName(in_blocks(fetched(docs, found, units, hot=False), units, flag))
     if not has_hot(found):
@@ -300,6 +301,7 @@ def spans(docs: DataFrame, units: Units, flag: Callable[[list[dict]], Iterator[t
         return out
     windows = exploded(rows.filter(F.col("kinds") > HOT).drop("kinds"), units)
     known = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds"), F.min(F.struct("doc_id", "tag", "start")).alias("first")).filter("kinds > 1")
+    known = kept_in(spark, known, "windows")
     gone = seen(windows.join(known, "hash"))
     return out.unionByName(gone.select("doc_id", "tag", "start", (F.col("start") + units.window).cast("int").alias("end")))
 

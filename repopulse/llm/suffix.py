@@ -5,12 +5,13 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(names: np.ndarray, limit: int | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def suffix_array(names: np.ndarray, limit: int | None = None, unit: int = 1) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Suffix array by prefix doubling over integer names; with a limit, suffixes that
-    share so many names keep the order of their positions.
+    share so many names keep the order of their positions.  A name may stand for ``unit``
+    symbols from its position on; lengths are then told in steps of ``unit``.
 
     Returns the suffix order, each suffix's place in it, and for each level k the
-    classes of equal substrings of length 2**k.  Only suffixes that still share a
+    classes of equal substrings of length unit * 2**k.  Only suffixes that still share a
     class are sorted again, so text with few long repeats costs a few passes.
     """
     n = len(names)
@@ -24,7 +25,7 @@ def suffix_array(names: np.ndarray, limit: int | None = None) -> tuple[np.ndarra
     cls[n] = -1
     active = order[np.repeat(size > 1, size)]
     levels = [cls.copy()]
-    step = 1
+    step = unit
     while len(active) and not (limit and step >= limit):
         ahead = cls[np.minimum(active + step, n)] + 1
         old = cls[active]
@@ -48,7 +49,7 @@ def suffix_array(names: np.ndarray, limit: int | None = None) -> tuple[np.ndarra
     return order, place, levels
 
 
-def common_prefix(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def common_prefix(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray, unit: int = 1) -> np.ndarray:
     """Length of the common prefix of suffixes a[i] and b[i], from the doubling classes."""
     n = len(levels[0]) - 1
     a, b = a.copy(), b.copy()
@@ -56,18 +57,18 @@ def common_prefix(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.
     for k in range(len(levels) - 1, -1, -1):
         cls = levels[k]
         same = (a < n) & (b < n) & (cls[np.minimum(a, n)] == cls[np.minimum(b, n)])
-        # a class of length 2**k that runs past the end holds one suffix only
-        out[same] += 1 << k
-        a[same] += 1 << k
-        b[same] += 1 << k
+        # a class whose substring runs past the end holds one suffix only
+        out[same] += unit << k
+        a[same] += unit << k
+        b[same] += unit << k
     return out
 
 
-def lcp_array(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
+def lcp_array(order: np.ndarray, levels: list[np.ndarray], unit: int = 1) -> np.ndarray:
     """lcp[r]: common prefix of the suffixes at places r-1 and r; lcp[0] = 0, lcp[n] = 0."""
     out = np.zeros(len(order) + 1, np.int64)
     if len(order) > 1:
-        out[1:-1] = common_prefix(levels, order[:-1], order[1:])
+        out[1:-1] = common_prefix(levels, order[:-1], order[1:], unit)
     return out
 
 
@@ -105,7 +106,7 @@ def maximal_repeats(order: np.ndarray, lcp: np.ndarray, left: np.ndarray, least:
     return out
 
 
-def previous_factors(order: np.ndarray, levels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def previous_factors(order: np.ndarray, levels: list[np.ndarray], unit: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Longest previous and longest next factor of each position.
 
     The longest earlier match of position i starts at one of its two neighbours in
@@ -122,7 +123,7 @@ def previous_factors(order: np.ndarray, levels: list[np.ndarray]) -> tuple[np.nd
                 near = np.where(near[::-1] >= 0, n - 1 - near[::-1], -1)
             has = np.flatnonzero(near >= 0)
             i, j = order[has], order[near[has]]
-            np.maximum.at(out, i, common_prefix(levels, i, j))
+            np.maximum.at(out, i, common_prefix(levels, i, j, unit))
     return earlier, later
 
 

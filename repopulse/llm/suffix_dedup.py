@@ -33,6 +33,8 @@ from . import text as t
 from .suffix import lcp_array, previous_factors, suffix_array
 
 WINDOW = 200
+#: Bytes that suffix sorting starts from; it divides ``WINDOW``.
+UNIT = 8
 UNITS = o.Units(WINDOW, gram=32, long_gram=128, words=False)
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>"
@@ -42,16 +44,21 @@ def factors(rows: list[dict], keep_first: bool, window: int = WINDOW) -> Iterato
     """Windows of each content that have a match of ``window`` bytes in another one."""
     size = np.array([r["n"] for r in rows])
     length = size + window - 1
-    end = np.cumsum(length + 1)  # a separator of its own stands behind each content
-    names = np.empty(int(end[-1]), np.int64)
-    inside = np.ones(len(names), bool)
-    inside[end - 1] = False
-    names[inside] = np.frombuffer(b"".join(r["data"] for r in rows), np.uint8)
-    names[~inside] = 256 + np.arange(len(rows))
-    order, _, levels = suffix_array(names, limit=window)
-    lcp = lcp_array(order, levels)
+    end = np.cumsum(length + 1)  # a place of its own stands behind each content
+    data = np.zeros(int(end[-1]) + UNIT, np.uint8)
+    inside = np.ones(len(data), bool)
+    inside[end - 1] = inside[end[-1] :] = False
+    data[inside] = np.frombuffer(b"".join(r["data"] for r in rows), np.uint8)
+    # a name is the ``UNIT`` bytes from a position on; one that leaves its content occurs once only
+    names = np.ndarray(end[-1], ">u8", data.tobytes(), strides=(1,)).astype(np.uint64)
+    away = np.r_[0, np.cumsum(~inside)]
+    across = away[UNIT : end[-1] + UNIT] > away[: end[-1]]
+    known, names = np.unique(names, return_inverse=True)
+    names[across] = len(known) + np.arange(across.sum())
+    order, _, levels = suffix_array(names, window, UNIT)
+    lcp = lcp_array(order, levels, UNIT)
     near = (lcp[:-1] >= window) | (lcp[1:] >= window)
-    earlier, later = previous_factors(order[near], levels)
+    earlier, later = previous_factors(order[near], levels, UNIT)
     hit = earlier >= window
     if not keep_first:
         hit |= later >= window
