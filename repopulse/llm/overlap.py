@@ -34,6 +34,8 @@ HOT = 400
 #: Units that one block of anchor groups may hold.
 BLOCK_UNITS = 200_000
 
+#: A span, the start of the segment it was found in, and of the content which that was cut from.
+SPAN = "doc_id long, tag int, start int, end int, part int, within int"
 SEGMENT = "anchor long, content long, doc_id long, tag int, start int, n int"
 
 
@@ -130,12 +132,17 @@ def shared_segments(docs: DataFrame, units: Units) -> DataFrame:
 
 
 def contents(shared: DataFrame) -> DataFrame:
-    """One row for each (anchor, content): how often, and its first occurrence."""
+    """One row for each (anchor, content): how often, its first occurrence, and the last one in the same document."""
     return shared.groupBy("anchor", "content").agg(
-        F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "tag", "start", "n")).alias("first"), F.first("several").alias("several")
+        F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "tag", "start", "n")).alias("first"), _last(), F.first("several").alias("several")
     )
 
 
+def _last():
+    """The last occurrence in the document of the first one; ``~`` turns the order of ids around."""
+    return F.max(F.struct(F.bitwise_not("doc_id").alias("doc_id"), "tag", "start")).alias("last")
+
+
 def has_hot(found: DataFrame) -> bool:
     """Whether any anchor has more than ``HOT`` contents."""
     return bool(found.filter("several").groupBy("anchor").count().filter(F.col("count") > HOT).take(1))
@@ -175,8 +182,9 @@ def fetched(docs: DataFrame, found: DataFrame, units: Units, hot: bool) -> DataF
 
 
 def cut_again(rows: DataFrame, units: Units) -> DataFrame:
-    """Segments of fetched contents by longer anchors, each with its units: FETCHED with ``content``."""
-    names = ["anchor", "content", "times", "doc_id", "tag", "start", "n", "data"]
+    """Segments of fetched contents by longer anchors, each with its units: FETCHED with
+    ``content``, and ``within``, the start of the content that was cut."""
+    names = ["anchor", "content", "times", "doc_id", "tag", "start", "n", "data", "within"]
     size = 8 if units.words else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,11 +203,11 @@ def cut_again(rows: DataFrame, units: Units) -> DataFrame:
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), part.column(1).take(take), part.column(2).take(take), part.column(3).take(take),
-                     pa.array((part.column(4).to_numpy()[row] + start).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(own, pa.binary())],
+                     pa.array((part.column(4).to_numpy()[row] + start).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(own, pa.binary()), part.column(4).take(take)],
                     names,
                 )
 
-    return rows.mapInArrow(run, "anchor long, content long, times long, doc_id long, tag int, start int, n int, data binary")
+    return rows.mapInArrow(run, "anchor long, content long, times long, doc_id long, tag int, start int, n int, data binary, within int")
 
 
 def window_hashes(rows: list[dict], units: Units) -> tuple[np.ndarray, np.ndarray]:
@@ -232,7 +240,7 @@ def in_blocks(rows: DataFrame, units: Units, flag: Callable[[list[dict]], Iterat
             yield from _spans(flag(held), units.window)
 
     ordered = rows.repartition(partitions(rows), "anchor").sortWithinPartitions("anchor", "doc_id", "tag", "start")
-    return ordered.mapInArrow(run, "doc_id long, tag int, start int, end int")
+    return ordered.mapInArrow(run, SPAN)
 
 
 def _spans(flagged: Iterator[tuple[dict, np.ndarray]], window: int) -> Iterator[pa.RecordBatch]:
@@ -240,10 +248,10 @@ def _spans(flagged: Iterator[tuple[dict, np.ndarray]], window: int) -> Iterator[
     for row, hit in flagged:
         edge = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0]))
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            out.append((row["doc_id"], row["tag"], row["start"] + a, row["start"] + b - 1 + window))
+            out.append((row["doc_id"], row["tag"], row["start"] + a, row["start"] + b - 1 + window, row["start"], row.get("within", row["start"])))
     if out:
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "tag", "start", "end"])
+        kinds = [pa.int64(), *[pa.int32()] * 5]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in SPAN.split(", ")])
 
 
 def exploded(rows: DataFrame, units: Units) -> DataFrame:
@@ -258,52 +266,92 @@ def exploded(rows: DataFrame, units: Units) -> DataFrame:
                 nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 start = part.column(4).take(row).to_numpy() + nth
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.view(np.int64)), *(part.column(i).take(row) for i in (1, 2, 3)), pa.array(start.astype(np.int32))],
-                    ["hash", "times", "doc_id", "tag", "start"],
+                    [pa.array(hashes.view(np.int64)), *(part.column(i).take(row) for i in (1, 2, 3)), pa.array(start.astype(np.int32)), part.column(4).take(row), part.column(7).take(row)],
+                    ["hash", "times", "doc_id", "tag", "start", "part", "within"],
                 )
 
-    return rows.mapInArrow(run, "hash long, times long, doc_id long, tag int, start int")
+    return rows.mapInArrow(run, "hash long, times long, doc_id long, tag int, start int, part int, within int")
 
 
-SPAN = "doc_id long, tag int, start int, end int"
+def followed(flagged: DataFrame, found: DataFrame, rows: DataFrame, at: str, within: str) -> DataFrame:
+    """Spans of first occurrences, for the further occurrences in their own documents.
 
+    flagged: spans, with the start of their content's first occurrence in ``at``.  found:
+    contents with ``first`` and ``last``.  rows: all occurrences; ``within``: the column of
+    the start of what theirs was cut from.
+    """
+    first = found.filter("times > 1 AND (last.tag <> first.tag OR last.start <> first.start)").select(
+        "anchor", "content", F.col("first.doc_id").alias("doc_id"), F.col("first.tag").alias("tag"), F.col("first.start").alias(at)
+    )
+    # rows that repeat an id and a text give the same spans: once is enough
+    moved = flagged.select("doc_id", "tag", at, "start", "end").distinct().join(first, ["doc_id", "tag", at])
+    moved = kept_in(flagged.sparkSession, moved.select(
+        "anchor", "content", "doc_id", F.col("tag").alias("_tag"), F.col(at).alias("_at"), (F.col("start") - F.col(at)).alias("_from"), (F.col("end") - F.col(at)).alias("_to")),
+        "moved")
+    here = rows.select("anchor", "content", "doc_id", "tag", F.col("start").alias("part"), F.col(within).alias("within"))
+    return here.join(moved, ["anchor", "content", "doc_id"]).filter("tag <> _tag OR part <> _at").select(
+        "doc_id", "tag", (F.col("part") + F.col("_from")).alias("start"), (F.col("part") + F.col("_to")).alias("end"), "part", "within"
+    )
 
-def spans(docs: DataFrame, units: Units, flag: Callable[[list[dict]], Iterator[tuple[dict, np.ndarray]]], again: Callable[[DataFrame], DataFrame], seen: Callable[[DataFrame], DataFrame]) -> DataFrame:
+
+def has_followers(found: DataFrame) -> bool:
+    """Whether any content that is judged by its windows stands several times in the document of its first occurrence."""
+    return bool(found.filter("times > 1 AND (last.tag <> first.tag OR last.start <> first.start)").take(1))
+
+
+def spans(docs: DataFrame, units: Units, flag: Callable[[list[dict]], Iterator[tuple[dict, np.ndarray]]], again: Callable[[DataFrame], DataFrame], seen: Callable[[DataFrame], DataFrame], follow: bool = False) -> DataFrame:
     """Unit spans (doc_id, tag, start, end) of the windows that go.
 
     flag: rows of a block -> rows with their flagged windows.  again: occurrences
     (anchor, content, doc_id, tag, start, n, times, first) of contents that occur several
     times -> those that go as a whole.  seen: windows (hash, doc_id, tag, start) with
-    their ``kinds`` and ``first`` -> those that go.
+    their ``kinds`` and ``first`` -> those that go.  flag and seen judge the first
+    occurrence of a content; with ``follow`` the other ones in its document, which again
+    leaves, lose the same windows.
     """
     spark = docs.sparkSession
 
-    def ends(rows: DataFrame) -> DataFrame:
-        return rows.select("doc_id", "tag", "start", (F.col("start") + F.col("n") - 1 + units.window).cast("int").alias("end"))
+    def ends(rows: DataFrame, within: str) -> DataFrame:
+        return rows.select("doc_id", "tag", "start", (F.col("start") + F.col("n") - 1 + units.window).cast("int").alias("end"), F.col("start").alias("part"), F.col(within).alias("within"))
 
     shared = kept_in(spark, shared_segments(docs, units), "segments")
     found = kept_in(spark, contents(shared), "contents")  # read several times; joins with it can split hot keys
     whole = shared.join(found.filter("times > 1").select("anchor", "content", "times", "first"), ["anchor", "content"])
-    out = ends(again(whole)).unionByName(in_blocks(fetched(docs, found, units, hot=False), units, flag))
-    if not has_hot(found):
-        return out
+    out = ends(again(whole), "start")
+    flagged = in_blocks(fetched(docs, found, units, hot=False), units, flag)
+    if has_hot(found):
+        flagged = flagged.unionByName(hot_spans(docs, found, units, flag, again, seen, follow, ends))
+    several = found.filter("several")
+    if follow and has_followers(several):
+        flagged = kept_in(spark, flagged, "flagged")
+        out = out.unionByName(followed(flagged, several, shared, "within", "start"))
+    return out.unionByName(flagged).select("doc_id", "tag", "start", "end")
+
+
+def hot_spans(docs: DataFrame, found: DataFrame, units: Units, flag: Callable, again: Callable, seen: Callable, follow: bool, ends: Callable) -> DataFrame:
+    """Spans in the first occurrences of the contents of hot anchors."""
+    spark = docs.sparkSession
     parts = kept_in(spark, cut_again(fetched(docs, found, units, hot=True), units), "parts")
     kinds = parts.groupBy("anchor", "content").agg(
-        F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "tag", "start", "n")).alias("first"), F.min_by("data", F.struct("doc_id", "tag", "start")).alias("data")
+        F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "tag", "start", "n", "within")).alias("first"), _last(), F.min_by("data", F.struct("doc_id", "tag", "start")).alias("data")
     )
     kinds = kept_in(spark, kinds, "contents")
-    whole = parts.select("anchor", "content", "doc_id", "tag", "start", "n").join(kinds.filter("times > 1").drop("data"), ["anchor", "content"])
+    first = F.struct("first.doc_id", "first.tag", "first.start", "first.n").alias("first")
+    whole = parts.select("anchor", "content", "doc_id", "tag", "start", "n", "within").join(kinds.filter("times > 1").select("anchor", "content", "times", first), ["anchor", "content"])
     many = kept_in(spark, kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "kinds")
-    rows = kinds.join(many, "anchor").select("anchor", "times", "first.doc_id", "first.tag", "first.start", "first.n", "data", "kinds")
-    out = out.unionByName(ends(again(whole))).unionByName(in_blocks(rows.filter(F.col("kinds") <= HOT).drop("kinds"), units, flag))
-    hot = many.filter(F.col("kinds") > HOT)
-    if not hot.take(1):
-        return out
-    windows = exploded(rows.filter(F.col("kinds") > HOT).drop("kinds"), units)
-    known = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds"), F.min(F.struct("doc_id", "tag", "start")).alias("first")).filter("kinds > 1")
-    known = kept_in(spark, known, "windows")
-    gone = seen(windows.join(known, "hash"))
-    return out.unionByName(gone.select("doc_id", "tag", "start", (F.col("start") + units.window).cast("int").alias("end")))
+    rows = kinds.join(many, "anchor").select("anchor", "times", "first.doc_id", "first.tag", "first.start", "first.n", "data", "first.within", "kinds")
+    out = ends(again(whole), "within")
+    flagged = in_blocks(rows.filter(F.col("kinds") <= HOT).drop("kinds"), units, flag)
+    if many.filter(F.col("kinds") > HOT).take(1):
+        windows = exploded(rows.filter(F.col("kinds") > HOT).drop("kinds"), units)
+        known = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds"), F.min(F.struct("doc_id", "tag", "start")).alias("first")).filter("kinds > 1")
+        known = kept_in(spark, known, "windows")
+        gone = seen(windows.join(known, "hash"))
+        flagged = flagged.unionByName(gone.select("doc_id", "tag", "start", (F.col("start") + units.window).cast("int").alias("end"), "part", "within"))
+    if follow and has_followers(kinds):
+        flagged = kept_in(spark, flagged, "flagged")
+        out = out.unionByName(followed(flagged, kinds, parts, "part", "within"))
+    return out.unionByName(flagged)
 
 
 def same_row(a: str, b: str):

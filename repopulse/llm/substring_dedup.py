@@ -8,7 +8,8 @@ duplicate spans.  The reference is indexed in blocks, by content-defined anchors
 * a whole segment whose content first occurs in a smaller id is inside a factor;
 * where an anchor has several contents, factors may begin or end inside the segment; a
   copy of each content is parsed greedily against the index of the block, and the windows
-  at factor boundaries are checked one by one.
+  at factor boundaries are checked one by one;
+* what that copy loses, the same content also loses where it stands again in the document.
 
 Every window is judged on the input, so the result does not depend on the order of work.
 
@@ -60,7 +61,7 @@ def parse(rows: list[dict]) -> Iterator[tuple[dict, np.ndarray]]:
 def duplicate_spans(docs: DataFrame) -> DataFrame:
     """Word spans (doc_id, tag, start, end) that stand in a document with a smaller id; docs: doc_id, text, tag."""
     named = docs.filter("doc_id IS NOT NULL")
-    return o.spans(named, UNITS, parse, lambda rows: rows.filter("doc_id > first.doc_id"), lambda rows: rows.filter("doc_id > first.doc_id"))
+    return o.spans(named, UNITS, parse, lambda rows: rows.filter("doc_id > first.doc_id"), lambda rows: rows.filter("doc_id > first.doc_id"), follow=True)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -249,6 +249,23 @@ def test_substring_dedup(docs, empty, monkeypatch, hot):
     assert texts[0] == BASE and texts[4] == "" and texts[1] is None and texts[3] == ROWS[3][1]
 
 
+@pytest.mark.parametrize("hot", [overlap.HOT, 1, 0])
+def test_substring_dedup_of_repeats_in_a_document(spark, monkeypatch, hot):
+    monkeypatch.setattr(overlap, "HOT", hot)
+    passage, before, after = prose(60, 201), prose(50, 202), prose(50, 203)
+    own = f"{before} {passage} {after}"
+    rows = [
+        (1, f"{prose(30, 204)} {passage} {prose(30, 205)}"),
+        (2, f"{own} {prose(20, 206)} {own}"),  # twice in one row
+        (3, f"{prose(30, 207)} {own} {own} {prose(5, 208)} {own}"),
+        (4, f"{prose(40, 209)} {passage} {prose(45, 210)}"), (4, f"{prose(33, 211)} {prose(40, 209)} {passage} {prose(45, 210)}"),  # an id repeated
+        (5, own[: len(own) // 2]), (5, own[: len(own) // 2]),
+    ]
+    got = tuples(substring_dedup.substring_duplicates(frame(spark, rows)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == sorted(map(list, brute.substring_dedup(rows)), key=str)
+    assert dict((r[0], r[2]) for r in got)[2] == 120
+
+
 @pytest.mark.parametrize(("hot", "keep_first"), [(overlap.HOT, False), (1, False), (1, True)])
 def test_suffix_dedup(docs, empty, monkeypatch, hot, keep_first):
     monkeypatch.setattr(overlap, "HOT", hot)
