@@ -13,9 +13,13 @@ _MARK = re.compile(
     re.S,
 )
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+)))?""")
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
+_NOT_DISPLAYED = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!\s*important\s*)?(?:;|$)", re.I)
 
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "object", "math", "canvas"}
+#: Of these, the ones whose content is markup: without an end tag they are empty.
+MARKUP = {"noscript", "template", "svg", "object", "math", "canvas"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd",
@@ -39,12 +43,34 @@ class Block:
     marks: dict = field(default_factory=dict)
 
 
+def hidden(attributes: str) -> bool:
+    """Whether a start tag hides its element: ``hidden``, ``aria-hidden=true`` or ``style="display: none"``."""
+    if not _MAY_HIDE.search(attributes):
+        return False
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), html.unescape(a or b or c)
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _NOT_DISPLAYED.search(value)):
+            return True
+    return False
+
+
+def self_closed(attributes: str) -> bool:
+    """Whether a start tag ends with a slash that isn't part of an unquoted value."""
+    if not attributes.endswith("/"):
+        return False
+    last = None
+    for last in _ATTRIBUTE.finditer(attributes):
+        pass
+    return last is None or last.end() < len(attributes)
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order, white space made one blank, without empty ones."""
     out: list[Block] = []
     stack: list[tuple[str, str, bool]] = []  # tag, names, hidden
     held: list[str] = []
     links = [0, 0]  # open links, characters in them
+    unclosed: set[str] = set()  # raw elements without an end tag in the rest of the page
     page = page or ""
 
     def flush() -> None:
@@ -95,9 +121,17 @@ def blocks(page: str | None) -> list[Block]:
                     del stack[k:]
                     break
             continue
+        rest = m[3] or m[6] or ""
         if tag in RAW:
+            if tag in unclosed or (tag in {"svg", "math"} and self_closed(rest)):
+                continue
             stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else end
+            if stop:
+                at = stop.end()
+            elif tag in MARKUP:
+                unclosed.add(tag)
+            else:
+                at = end
             continue
         if tag in VOID:
             continue
@@ -111,8 +145,7 @@ def blocks(page: str | None) -> list[Block]:
                     break
                 if stack[k][0] not in INLINE:
                     break
-        rest = m[3] or m[6] or ""
         names = " ".join(a or b or c for a, b, c in _NAME.findall(rest)).lower() if "=" in rest else ""
-        stack.append((tag, names, bool(rest) and bool(_HIDDEN.search(rest))))
+        stack.append((tag, names, bool(rest) and hidden(rest)))
     flush()
     return out

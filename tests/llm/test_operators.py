@@ -371,6 +371,25 @@ def test_blocks():
     html_blocks.blocks("<div " * 20_000)
 
 
+@pytest.mark.parametrize(("attributes", "shown"), [
+    ('class="overflow-hidden"', True), ("href='/hidden-valley'", True), ('title="Hidden gems"', True), ('aria-hidden="false"', True), ('data-hidden="1" data-style="display:none"', True),
+    ('title="a hidden b" class=hidden', True), ('style="--display:nonesuch"', True), ('aria-hidden="not true"', True), ("hidden", False), ('class="x" HIDDEN=""', False), ("hidden/", False),
+    ('style="color: red; display : none"', False), ("style=display:none", False), ("aria-hidden=true", False), ("id='x'aria-hidden = 'TRUE'", False),
+])
+def test_hidden_attributes(attributes, shown):
+    for tag in ("div", "a"):
+        assert [b.text for b in html_blocks.blocks(f"<p>one</p><{tag} {attributes}>two</{tag}><p>three")] == (["one", "two", "three"] if shown else ["one", "three"])
+
+
+@pytest.mark.parametrize(("markup", "left"), [
+    ('<svg width="1" />', []), ("<math/>", []), ("<svg/><p>kept</p><svg><text>gone</text></svg>", ["kept"]), ("<template/>", []), ("<canvas>", []), ("<object data=x>", []), ("<noscript>", []),
+    ("<svg width=10/><text>gone</text></svg>", []), ("<svg><title/><path d='M0'/></svg>", []), ("<script src=x /></script>", []),
+])
+def test_elements_without_an_end_tag(markup, left):
+    assert [b.text for b in html_blocks.blocks(f"<p>one</p>{markup}<p>two</p>")] == ["one", *left, "two"]
+    assert len(html_blocks.blocks("<p>x</p><svg>" * 20_000)) == 20_000
+
+
 def test_extraction(spark, field):
     nav = "<nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>About</a></li></ul></nav>"
     body = "<h1>A title</h1><p>First paragraph of some length, with  a\n few words &eacute;.</p><p>Second one.</p>"
