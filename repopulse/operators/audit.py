@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import defaultdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +14,9 @@ MIN_SIZE = 5
 MIN_CONFIDENCE = 0.6
 MIN_SCORE = 3.0
 JACCARD = 0.6
-#: Members of tokens of one component that a task may hold; more is an error, not a cut.
-MAX_MEMBERS = 2_000_000
+#: Two clusters are near if they share this part of the larger one.  What is near neither
+#: of two clusters can't reach JACCARD with their union.
+NEAR = JACCARD / 2
 
 
 def memberships(repos: DataFrame) -> DataFrame:
@@ -58,47 +60,96 @@ def token_components(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
     return labels
 
 
-def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    """Greedy merge of one component: larger clusters absorb those that overlap enough, until none does."""
-    if len(rows) > MAX_MEMBERS:
-        raise ValueError(f"a component has {len(rows)} members; the limit is {MAX_MEMBERS}")
-    sets = {t: set(g["full_name"]) for t, g in rows.groupby("token")}
-    clusters = [([t], sets[t]) for t in sorted(sets, key=lambda t: (-len(sets[t]), t))]
-    merged = True
-    while merged:
-        merged, i = False, 0
-        while i < len(clusters):
-            j = i + 1
-            while j < len(clusters):
-                a, b = clusters[i][1], clusters[j][1]
-                common = len(a & b)
-                if common and common / (len(a) + len(b) - common) >= JACCARD:
-                    clusters[i] = (sorted([*clusters[i][0], *clusters[j][0]]), a | b)
-                    del clusters[j]
-                    merged = True
-                else:
-                    j += 1
-            i += 1
-    return pd.DataFrame([(t, c[0][0], len(c[0])) for c in clusters for t in c[0]], columns=["token", "cluster", "n_tokens"])
+def next_merges(near: list[tuple], after: tuple | None) -> list[tuple]:
+    """The next merges (kept, absorbed) of one component in the order of the greedy scan, as far as they are certain.
+
+    The scan takes clusters by rank, and for each the later ones in turn; a cluster absorbs
+    those that overlap enough, and the scan begins anew until none does.  near: (cluster,
+    later cluster, their sizes, common) of near clusters, by ranks; after: the last merge.
+    """
+    size, common, beside = {}, {}, defaultdict(set)
+    for i, j, n, m, both in near:
+        size[i], size[j], common[i, j] = n, m, both
+        beside[i].add(j)
+        beside[j].add(i)
+    ready = sorted((i, j) for (i, j), both in common.items() if both / (size[i] + size[j] - both) >= JACCARD)
+    # what overlaps enough behind the last merge does so since this pass changed it: next pass
+    ready = [x for x in ready if after is not None and x > after] or ready
+    out, gone, row = [], set(), None
+    for i, j in ready:
+        if i == row or i in gone or j in gone:
+            continue
+        out.append((i, j))
+        gone.add(j)
+        row = i
+        union = size[i] + size[j] - common[i, j]
+        for k in (beside[i] | beside[j]) - gone - {i}:
+            if k < j:
+                continue
+            # a pair that isn't near shares less than NEAR of its larger cluster
+            share = sum(common.get((min(a, k), max(a, k)), NEAR * max(size[a], size[k])) for a in (i, j))
+            share = min(share, size[k])
+            if share >= JACCARD * (union + size[k] - share) * (1 - 1e-9):
+                return out  # the grown cluster may absorb this one before the scan goes on: count again
+    return out
+
+
+def near_clusters(rows: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Near clusters of each component, ranked by (-size of the first token, token)."""
+    sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).join(ranks, "cluster")
+    side = F.struct((-F.col("size")).alias("size"), "cluster")
+    common = rows.alias("a").join(rows.alias("b"), "full_name").filter("a.cluster < b.cluster").groupBy(F.col("a.cluster").alias("a"), F.col("b.cluster").alias("b")).agg(F.count(F.lit(1)).alias("common"))
+    out = common.join(sizes.select(F.col("cluster").alias("a"), side.alias("x"), F.col("n").alias("n_x"), "component"), "a")
+    out = out.join(sizes.select(F.col("cluster").alias("b"), side.alias("y"), F.col("n").alias("n_y")), "b")
+    return out.filter(F.col("common") >= F.lit(NEAR * (1 - 1e-9)) * F.greatest("n_x", "n_y")).select("component", "x", "y", "n_x", "n_y", "common")
 
 
 def merged_tokens(members: DataFrame, tokens: DataFrame, components: DataFrame) -> DataFrame:
-    """(token, cluster, n_tokens) after merging; the merge runs component by component."""
-    rows = members.select("token", "full_name").distinct().join(components, "token")
-    return rows.groupBy("component").applyInPandas(_merge, "token string, cluster string, n_tokens long")
+    """(token, cluster, n_tokens) after a greedy merge: larger clusters absorb those that overlap enough, until none does.
+
+    Memberships stay in Spark.  Each round counts the common repositories of clusters, the
+    driver picks the next merges of every component from the near ones (a repository of k
+    tokens is in k pairs of a cluster at most, so these grow with the tokens, not with the
+    repositories), and the cluster column is rewritten.
+    """
+    spark = members.sparkSession
+    ranks = written(tokens.select(F.col("token").alias("cluster"), "size").join(components.select(F.col("token").alias("cluster"), "component"), "cluster"), "ranks")
+    rows = written(members.join(ranks.select(F.col("cluster").alias("token")), "token", "left_semi").select(F.col("token").alias("cluster"), "full_name").distinct(), "rows")
+    owner = written(ranks.select(F.col("cluster").alias("token"), "cluster"), "owner")
+    last: dict[str, tuple] = {}
+    while True:
+        near = defaultdict(list)
+        for r in near_clusters(rows, ranks).collect():
+            one, two = (tuple(r["x"]), r["n_x"]), (tuple(r["y"]), r["n_y"])
+            (i, n), (j, m) = sorted((one, two))
+            near[r["component"]].append((i, j, n, m, r["common"]))
+        pairs = []
+        for component, found in near.items():
+            merges = next_merges(found, last.get(component))
+            if merges:
+                last[component] = merges[-1]
+                pairs += [(j[1], i[1]) for i, j in merges]
+        if not pairs:
+            break
+        # a cluster that absorbs one in a round may itself be absorbed only in a later one
+        into = spark.createDataFrame(pairs, "cluster string, into string")
+        moved = F.coalesce("into", "cluster").alias("cluster")
+        rows = written(rows.join(into, "cluster", "left").select(moved, "full_name").distinct(), "rows")
+        owner = written(owner.join(into, "cluster", "left").select("token", moved), "owner")
+    names = owner.groupBy("cluster").agg(F.min("token").alias("name"), F.count(F.lit(1)).alias("n_tokens"))
+    return owner.join(names, "cluster").select("token", F.col("name").alias("cluster"), "n_tokens")
 
 
 def clusters(members: DataFrame, merged: DataFrame) -> DataFrame:
     """Size, mean confidence, score, gate and main category of each cluster.
 
-    Confidences are added in the order of names, so that the mean doesn't depend on the
-    partitioning.
+    Confidences are added as decimals, so that the mean doesn't depend on the partitioning.
     """
     own = members.join(merged, "token").select("cluster", "full_name", "category", "confidence").distinct()
     tokens = merged.groupBy("cluster").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
     stats = own.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("repo_count"),
-        F.aggregate(F.sort_array(F.collect_list(F.struct("full_name", "confidence"))), F.lit(0.0), lambda a, r: a + r["confidence"]).alias("total"),
+        F.when(F.count("confidence") == F.count(F.lit(1)), F.sum(F.col("confidence").cast("decimal(38,18)")).cast("double")).alias("total"),
     )
     counts = own.groupBy("cluster", "category").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("cluster").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("category")))["category"].alias("main"))

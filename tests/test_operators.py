@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +108,57 @@ def test_clusters_recompute_sets(spark):
     assert clusters(spark, repos_with(topics)) == [(["a", "b", "c"], 12, True)]
 
 
+def greedy(sets):
+    """The greedy merge by its definition."""
+    found, merged = [([t], sets[t]) for t in sorted(sets, key=lambda t: (-len(sets[t]), t))], True
+    while merged:
+        merged, i = False, 0
+        while i < len(found):
+            j = i + 1
+            while j < len(found):
+                a, b = found[i][1], found[j][1]
+                if len(a & b) / len(a | b) >= audit.JACCARD:
+                    found[i], merged = (sorted(found[i][0] + found[j][0]), a | b), True
+                    del found[j]
+                else:
+                    j += 1
+            i += 1
+    return sorted((t, len(s)) for t, s in found)
+
+
+def near_sets(seed):
+    r = random.Random(seed)
+    cores = [r.sample(range(60), r.randint(8, 30)) for _ in range(4)]
+    return {f"t{k:02}": {x for x in r.choice(cores) if r.random() < 0.85} | set(r.sample(range(60), r.randint(0, 6))) | {60 + k % 3} for k in range(25)}
+
+
+def test_next_merges_equal_the_greedy_scan():
+    grown = 0
+    for seed in range(300):
+        sets = near_sets(seed)
+        rank = {t: (-len(s), t) for t, s in sets.items()}
+        now, own, last = dict(sets), {t: [t] for t in sets}, None
+        while True:
+            order = sorted(now, key=rank.get)
+            near = [(rank[a], rank[b], len(now[a]), len(now[b]), len(now[a] & now[b])) for k, a in enumerate(order) for b in order[k + 1 :] if len(now[a] & now[b]) >= audit.NEAR * (1 - 1e-9) * max(len(now[a]), len(now[b]))]
+            merges = audit.next_merges(near, last)
+            if not merges:
+                break
+            last, grown = merges[-1], grown + len(merges) - 1
+            for (_, a), (_, b) in merges:
+                now[a] |= now.pop(b)
+                own[a] += own.pop(b)
+        assert sorted((sorted(own[t]), len(s)) for t, s in now.items()) == greedy(near_sets(seed))
+    assert grown  # some rounds have several merges
+
+
+def test_clusters_of_a_large_component(spark):
+    sets = {t: s for t, s in near_sets(7).items() if len(s) >= audit.MIN_SIZE}
+    topics = [[t for t, s in sets.items() if i in s] for i in range(63)]
+    assert sorted(x[:2] for x in clusters(spark, repos_with(topics))) == greedy(sets)
+    assert not hasattr(audit, "MAX_MEMBERS")  # no component is too large
+
+
 @pytest.mark.parametrize(("n", "escalated"), [(3, False), (4, True)])
 def test_share_is_strict(spark, n, escalated):
     assert audit.share(spark.range(n), spark.range(100)).first()["escalated"] == escalated
