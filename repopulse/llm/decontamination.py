@@ -1,24 +1,32 @@
-"""Benchmark decontamination 3: one Aho-Corasick automaton over benchmark windows.
+"""Benchmark decontamination 3: one Aho-Corasick automaton over benchmark passages.
 
-Test items are normalised (A-Z lower-cased, words joined by one space) and cut into
-windows of ten words; all windows go into one automaton.  A document is normalised the
-same way and scanned once; the places of matches are mapped back to words and to
+Test items are normalised (A-Z lower-cased, words joined by one space).  A document is
+normalised the same way and scanned once; a match is mapped back to words and to
 character offsets of the original text.
 
-The automaton is built in blocks: the windows of one block have a checked size, blocks
-are read one after the other, and each is one more narrow pass.  A usual benchmark is
-one block.
+A window is ten words.  The automaton holds every fifth run of ``SEED`` words of an item:
+each window has one of these whole inside it.  Where one is met, it is grown to both
+sides as long as document and item agree, and counts if that gives a whole window.
+Keeping all windows themselves would take some ten times the memory.  An item of fewer
+words is one key of its own.
+
+The automaton is built in blocks of at most ``BLOCK_BYTES`` of benchmark text (about
+fifty times that in memory), each one pass over the documents with one broadcast; with
+more than one block the state between two passes is written, so a worker never holds
+two automata.  A usual benchmark is one block.
 
 Defined cases: null and empty texts have no words; an item without words gives no
 window; an item without an id still marks words but isn't counted; repeated items count
-by distinct id; empty tables on either side give zero hits.
+by distinct id; ties can't arise; a very long text is scanned in one piece, in memory in
+proportion to it; other columns are ignored by ``decontaminate`` and kept by
+``drop_contaminated``, whatever their names; empty tables on either side give zero hits.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +34,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as t
+from .overlap import kept_in
 
 WINDOW = 10
-#: Bytes of benchmark text that one automaton may hold (windows repeat each word ten times).
-BLOCK_BYTES = 4_000_000
+#: Words of a key, and the step between two of them: a window of ten holds one whole.
+SEED, STEP = 6, 5
+#: Bytes of benchmark text that one automaton may hold.
+BLOCK_BYTES = 1_000_000
 
 _TABLE = bytes(c + 0x20 if 0x41 <= c <= 0x5A else c if t._ALNUM_WORD[c] else 0x20 for c in range(256))
 SCHEMA = (
     "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
     "spans array<struct<start:long,end:long>>"
 )
-_automata: dict[str, object] = {}
 
 
 def normal(text: str | None) -> list[bytes]:
@@ -44,42 +54,57 @@ def normal(text: str | None) -> list[bytes]:
     return (text or "").encode(errors="surrogatepass").translate(_TABLE).split()
 
 
-def windows(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, int]]:
-    n = min(size, len(words))
-    return [(b" " + b" ".join(words[i : i + n]) + b" ", n) for i in range(len(words) - n + 1)] if n else []
-
-
-def automaton(items: list[tuple[str | None, str | None]], size: int = WINDOW):
-    """Automaton whose values are (number of words, ids of the items with that window)."""
-    import ahocorasick
-
-    found: dict[bytes, tuple[int, set]] = {}
-    for item, text in items:
-        for window, n in windows(normal(text), size):
-            found.setdefault(window, (n, set()))[1].add(item)
-    out = ahocorasick.Automaton()
-    for window, value in found.items():
-        out.add_word(window.decode("latin-1"), value)
-    if found:
-        out.make_automaton()
-    return out
-
-
-def scan(machine, text: str | None) -> tuple[int, np.ndarray, set, list[bytes]]:
-    """Words of the text, which of them are hit, and the items found, in one scan."""
-    words = normal(text)
-    hit, items = np.zeros(len(words), bool), set()
-    if words and len(machine):
-        joined = f" {b' '.join(words).decode('latin-1')} "
-        found = list(machine.iter(joined))
-        if found:
-            ends = np.cumsum([len(w) + 1 for w in words])  # place of the space behind each word
-            last = np.searchsorted(ends, np.array([e for e, _ in found])) + 1
-            first = last - np.array([n for _, (n, _) in found])
-            hit = t.covered(len(words), first, last)
-            for _, (_, ids) in found:
-                items |= ids
-    return len(words), hit, items, words
+class Passages:
+    """The automaton of some items; a key's value tells where it stands: (item, place, words to agree)."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int = WINDOW) -> None:
+        import ahocorasick
+
+        same: dict[bytes, bytes] = {}
+        step = min(STEP, max(1, size - SEED + 1))
+        seed = min(SEED, size)
+        self.items = [(item, [same.setdefault(w, w) for w in words]) for item, text in dict.fromkeys(items) if (words := normal(text))]
+        keys: dict[bytes, list[tuple[int, int, int]]] = {}
+        for k, (_, words) in enumerate(self.items):
+            if len(words) < size:
+                keys.setdefault(b" ".join(words), []).append((k, 0, len(words)))
+                continue
+            for at in range(0, len(words) - seed + 1, step):
+                keys.setdefault(b" ".join(words[at : at + seed]), []).append((k, at, size))
+        self.machine = ahocorasick.Automaton()
+        for key, value in keys.items():
+            self.machine.add_word(f" {key.decode('latin-1')} ", (key.count(b" ") + 1, value))
+        if keys:
+            self.machine.make_automaton()
+
+    def scan(self, text: str | None) -> tuple[int, np.ndarray, set]:
+        """Words of a text, which of them are hit, and the items found, in one scan."""
+        words = normal(text)
+        hit, found = np.zeros(len(words), bool), set()
+        if not words or not len(self.machine):
+            return len(words), hit, found
+        matches = list(self.machine.iter(f" {b' '.join(words).decode('latin-1')} "))
+        if not matches:
+            return len(words), hit, found
+        ends = np.cumsum([len(w) + 1 for w in words])  # place of the space behind each word
+        last = np.searchsorted(ends, np.array([e for e, _ in matches])) + 1
+        grown: dict[tuple[int, int], int] = {}  # (item, shift between the two texts) -> end of what is compared
+        for stop, (_, (n, places)) in zip(last.tolist(), matches, strict=True):
+            for k, at, size in places:
+                begin = stop - n
+                if grown.get((k, begin - at), 0) >= stop:
+                    continue
+                name, own = self.items[k]
+                end, a, b = stop, at, at + n
+                while end < len(words) and b < len(own) and words[end] == own[b]:
+                    end, b = end + 1, b + 1
+                while begin and a and words[begin - 1] == own[a - 1]:
+                    begin, a = begin - 1, a - 1
+                grown[k, begin - a] = end
+                if end - begin >= size:
+                    hit[begin:end] = True
+                    found.add(name)
+        return len(words), hit, found
 
 
 def _spans(text: str, hit: np.ndarray) -> list[dict]:
@@ -90,20 +115,21 @@ def _spans(text: str, hit: np.ndarray) -> list[dict]:
     return [{"start": int(chars[words.start[a]]), "end": int(chars[words.end[b - 1]])} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
+def _passages(block, key: str, size: int) -> Passages:
+    return t.held(key, lambda: Passages(block.value, size))
+
+
 def _scan_block(block, key: str, last: bool, size: int):
     """One block's pass.  ``state`` carries the hit words and items of earlier blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _automata:
-            _automata.clear()
-            _automata[key] = automaton(block.value, size)
-        machine = _automata[key]
+        machine = _passages(block, key, size)
         for part in t.pieces(batches):
             ids, texts = part.column(0), part.column(1).to_pylist()
             before = part.column(2).to_pylist() if part.num_columns > 2 else [None] * len(texts)
             rows = []
             for text, old in zip(texts, before, strict=True):
-                n, hit, items, _ = scan(machine, text)
+                n, hit, items = machine.scan(text)
                 if old:
                     hit |= np.unpackbits(np.frombuffer(old["hit"], np.uint8), count=n).astype(bool)
                     items |= set(old["items"])
@@ -122,7 +148,7 @@ def _scan_block(block, key: str, last: bool, size: int):
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
 
-    return run
+    return t.holding(run)
 
 
 def decontaminate(
@@ -130,35 +156,37 @@ def decontaminate(
     item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per document: words, hit words, items found, and hit spans of the original."""
-    blocks = list(_blocks(benchmark, item_col, item_text_col, block_bytes))
-    out = t.text_frame(docs, id_col, text_col)
     state = "doc_id long, text string, state struct<hit:binary,items:array<string>>"
-    for k, (block, key) in enumerate(blocks):
-        last = k == len(blocks) - 1
-        out = out.mapInArrow(_scan_block(block, key, last, window), SCHEMA if last else state)
-    return out
 
+    def one(rows: DataFrame, block, key: str, last: bool) -> DataFrame:
+        return rows.mapInArrow(_scan_block(block, key, last, window), SCHEMA if last else state)
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple]:
-    """Broadcast blocks of the benchmark, each of a checked size, with a key for the workers' caches."""
+    return _block_by_block(t.text_frame(docs, id_col, text_col), benchmark, item_col, item_text_col, block_bytes, one)
+
+
+def _block_by_block(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int, one: Callable) -> DataFrame:
+    """``one`` (rows, block, key, last) for each block of the benchmark; what stands between two blocks is written."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // block_bytes))
     for k in range(n):
         rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k) if n > 1 else items
-        yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in rows.collect()]), uuid.uuid4().hex
+        block = benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in rows.collect()])
+        docs = one(docs, block, uuid.uuid4().hex, k == n - 1)
+        if k < n - 1:
+            docs = kept_in(docs.sparkSession, docs, "scanned")
+            block.unpersist()
+    return docs
 
 
 def _clean(block, key: str, size: int, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _automata:
-            _automata.clear()
-            _automata[key] = automaton(block.value, size)
+        machine = _passages(block, key, size)
         for part in t.pieces(batches, text):
             texts = part.column(part.schema.get_field_index(text)).to_pylist()
-            yield part.filter(pa.array([not scan(_automata[key], x)[1].any() for x in texts], pa.bool_()))
+            yield part.filter(pa.array([not machine.scan(x)[1].any() for x in texts], pa.bool_()))
 
-    return run
+    return t.holding(run)
 
 
 def drop_contaminated(
@@ -166,13 +194,15 @@ def drop_contaminated(
     window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The documents without any benchmark window, all their columns unchanged."""
-    for block, key in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        docs = docs.mapInArrow(_clean(block, key, window, text_col), docs.schema)
-    return docs
+
+    def one(rows: DataFrame, block, key: str, last: bool) -> DataFrame:
+        return rows.mapInArrow(_clean(block, key, window, text_col), rows.schema)
+
+    return _block_by_block(docs, benchmark, item_col, item_text_col, block_bytes, one)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("spans")
 
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -293,7 +293,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """One row per page with its main text; a narrow job after training."""
     field = pages.sparkSession.sparkContext.broadcast(Field(labelled_pages()))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(_extract(field), "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(t.task(_extract(field)), "page_id long, url string, text string, n_chars long")
 
 
 def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,7 +206,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with places, labels and evaluated expressions; no shuffle."""
-    return t.text_frame(docs, id_col, text_col).mapInArrow(_scan, SCHEMA)
+    return t.text_frame(docs, id_col, text_col).mapInArrow(t.task(_scan), SCHEMA)
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,7 +151,7 @@ def blocks(rows: DataFrame, compare: Callable[[list[dict]], np.ndarray], sizes:
         if out:
             yield _batch(out, schema)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(t.task(run), schema)
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -222,7 +222,7 @@ def near_duplicate_rows(docs: DataFrame, threshold: float = THRESHOLD, size: int
     spark = docs.sparkSession
     length = prefix_length(threshold)
     sketch = "doc_id long, tag int, node long, sign binary, keys array<long>"
-    rows = o.kept_in(spark, docs.select("doc_id", "text", "tag").mapInArrow(_sketch(length, size), sketch), "sketches")
+    rows = o.kept_in(spark, docs.select("doc_id", "text", "tag").mapInArrow(t.task(_sketch(length, size)), sketch), "sketches")
     nodes = o.kept_in(
         spark,
         rows.filter("node IS NOT NULL").groupBy("node").agg(
@@ -246,7 +246,7 @@ def near_duplicate_rows(docs: DataFrame, threshold: float = THRESHOLD, size: int
             data = [found[a:b].tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), pa.array(data, pa.binary())], ["node", "bucket", "times", "data"])
 
-    sets = texts.mapInArrow(shingled, "node long, bucket long, times long, data binary")
+    sets = texts.mapInArrow(t.task(shingled), "node long, bucket long, times long, data binary")
     links = o.kept_in(spark, blocks(sets, _verified(threshold), members, "a long, b long, links long", _counts), "links")
     classes = components(links.select("a", "b"))
     counts = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))

@@ -123,7 +123,7 @@ def shared_segments(docs: DataFrame, units: Units) -> DataFrame:
     anchors found are written too, so that the join has a shuffle of its own on either side
     and a hot anchor can be split.
     """
-    rows = kept_in(docs.sparkSession, docs.select("doc_id", "text", "tag").mapInArrow(_segment_rows(units), SEGMENT), "rows")
+    rows = kept_in(docs.sparkSession, docs.select("doc_id", "text", "tag").mapInArrow(t.task(_segment_rows(units)), SEGMENT), "rows")
     twice = kept_in(docs.sparkSession,
         rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.min("content").alias("low"), F.max("content").alias("high"))
         .filter("times > 1").select("anchor", (F.col("low") != F.col("high")).alias("several")),
@@ -178,7 +178,7 @@ def fetched(docs: DataFrame, found: DataFrame, units: Units, hot: bool) -> DataF
                 [x.split()[0] for x in FETCHED.split(", ")],
             )
 
-    return pairs.mapInArrow(run, FETCHED)
+    return pairs.mapInArrow(t.task(run), FETCHED)
 
 
 def cut_again(rows: DataFrame, units: Units) -> DataFrame:
@@ -207,7 +207,7 @@ def cut_again(rows: DataFrame, units: Units) -> DataFrame:
                     names,
                 )
 
-    return rows.mapInArrow(run, "anchor long, content long, times long, doc_id long, tag int, start int, n int, data binary, within int")
+    return rows.mapInArrow(t.task(run), "anchor long, content long, times long, doc_id long, tag int, start int, n int, data binary, within int")
 
 
 def window_hashes(rows: list[dict], units: Units) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +240,7 @@ def in_blocks(rows: DataFrame, units: Units, flag: Callable[[list[dict]], Iterat
             yield from _spans(flag(held), units.window)
 
     ordered = rows.repartition(partitions(rows), "anchor").sortWithinPartitions("anchor", "doc_id", "tag", "start")
-    return ordered.mapInArrow(run, SPAN)
+    return ordered.mapInArrow(t.task(run), SPAN)
 
 
 def _spans(flagged: Iterator[tuple[dict, np.ndarray]], window: int) -> Iterator[pa.RecordBatch]:
@@ -270,7 +270,7 @@ def exploded(rows: DataFrame, units: Units) -> DataFrame:
                     ["hash", "times", "doc_id", "tag", "start", "part", "within"],
                 )
 
-    return rows.mapInArrow(run, "hash long, times long, doc_id long, tag int, start int, part int, within int")
+    return rows.mapInArrow(t.task(run), "hash long, times long, doc_id long, tag int, start int, part int, within int")
 
 
 def followed(flagged: DataFrame, found: DataFrame, rows: DataFrame, at: str, within: str) -> DataFrame:

@@ -14,6 +14,7 @@ inside a text are what the tokenizer library gives by default.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,14 +32,13 @@ CAPACITY = 1024
 GROUP_DOCS = 4096
 END_ID = 0
 #: Words kept with their ids by each worker; beyond it the cache starts again.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
 TOKENISED = "doc_id long, doc_tokens long, crcs array<long>, deal long"
 _TIGHT = re.compile(r" \s|\s |\A |\s\Z| \Z")
-_encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
@@ -46,8 +46,8 @@ class Encoder:
 
     A byte-level tokenizer of this family never joins characters over a single space
     between two words, so a text is cut there and each distinct word is tokenised once
-    per worker.  Texts with other white space around spaces are tokenised whole, and
-    texts that hold a special token's string go to the tokenizer library.
+    per worker.  Texts with other white space around spaces are tokenised whole.  The
+    vocabulary's special tokens stand by themselves, as in its file.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,11 +55,11 @@ class Encoder:
 
         import tiktoken
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
 
         ranks = Path(path).with_suffix(".tiktoken")
-        self.whole = Tokenizer.from_file(path)
-        self.special = [x.content for x in self.whole.get_added_tokens_decoder().values()]
+        self.ids = {x["content"]: x["id"] for x in json.loads(Path(path).read_text())["added_tokens"]}
+        longest = sorted(self.ids, key=lambda x: (-len(x), x))
+        self.special = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.open("rb"))}
         self.fast = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
         encode = self.fast.encode_ordinary
@@ -74,8 +74,12 @@ class Encoder:
         self.words = Words()
 
     def __call__(self, text: str) -> bytes:
-        if any(x in text for x in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.special is None:
+            return self.ordinary(text)
+        # the parts around special tokens are tokenised by themselves
+        return b"".join(np.array([self.ids[x]], "<u4").tobytes() if x in self.ids else self.ordinary(x) for x in self.special.split(text) if x)
+
+    def ordinary(self, text: str) -> bytes:
         if _TIGHT.search(text):
             return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
         first, *rest = text.split(" ")
@@ -85,9 +89,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return t.held(f"encoder {path}", lambda: Encoder(path))
 
 
 def _tokenise(path: str, capacity: int):
@@ -175,7 +177,7 @@ def pack_documents(
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     groups = max(1, -(-docs.count() // group_docs))
-    tokens = t.text_frame(docs, id_col, text_col).mapInArrow(_tokenise(tokenizer, capacity), TOKENISED)
+    tokens = t.text_frame(docs, id_col, text_col).mapInArrow(t.holding(_tokenise(tokenizer, capacity)), TOKENISED)
     return tokens.withColumn("bucket", F.col("deal") % groups).groupBy("bucket").applyInPandas(_pack(capacity), PIECES)
 
 

@@ -107,7 +107,7 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repetition_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with its repetition figures and verdict; a narrow job, no shuffle."""
-    return t.text_frame(docs, id_col, text_col).mapInArrow(_score, SCHEMA)
+    return t.text_frame(docs, id_col, text_col).mapInArrow(t.task(_score), SCHEMA)
 
 
 def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,7 +83,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: words, removed words, hash of the kept words, duplicate spans."""
     base = o.tagged(t.text_frame(docs, id_col, text_col))
-    return o.with_spans(base, duplicate_spans(base)).mapInArrow(_digest, SCHEMA)
+    return o.with_spans(base, duplicate_spans(base)).mapInArrow(t.task(_digest), SCHEMA)
 
 
 def drop_duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,7 +110,7 @@ def drop_duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: s
             columns = [pa.array(texts, pa.string()) if f.name == text_col else part.column(0).field(f.name) for f in part.column(0).type]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in part.column(0).type])
 
-    return paired.mapInArrow(run, schema)
+    return paired.mapInArrow(t.task(run), schema)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,7 +100,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def suffix_duplicates(docs: DataFrame, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: bytes, removed bytes, removed runs, hash of the kept bytes, spans."""
     base = o.tagged(t.text_frame(docs, id_col, text_col))
-    return o.with_spans(base, duplicate_spans(base, keep_first)).mapInArrow(_digest, SCHEMA)
+    return o.with_spans(base, duplicate_spans(base, keep_first)).mapInArrow(t.task(_digest), SCHEMA)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

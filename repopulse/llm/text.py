@@ -8,12 +8,14 @@ slice at once with numpy and gives each a 64-bit hash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 #: The two word alphabets of the contracts, by byte of UTF-8.
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
@@ -28,12 +30,65 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _CODES = np.random.default_rng(20240131).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
+_held: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept by the worker process from task to task.
+
+    One thing at a time: whatever an earlier stage has left is dropped first, so that a
+    worker which serves many stages is no larger than its largest one.
+    """
+    if key not in _held:
+        _held.clear()
+        slim()
+        _held[key] = make()
+    return _held[key]
+
+
+def slim() -> None:
+    """Gives memory that is free inside the process back to the machine."""
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def forget() -> None:
+    """Drops what an earlier stage has left in this worker."""
+    _held.clear()
+
+
+def task(run: Callable) -> Callable:
+    """A function of batches that drops what earlier stages hold and leaves its worker slim."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        try:
+            yield from run(batches)
+        finally:
+            slim()
+
+    return wrapped
+
+
+def holding(run: Callable) -> Callable:
+    """The same for a function that asks for ``held`` itself."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            slim()
+
+    return wrapped
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse modulo 2**64."""
+    """The first n powers of the hash base and of its inverse modulo 2**64, kept for the task."""
     if len(_powers.get("up", ())) < n:
-        n = max(n, SLICE_BYTES + 1)
+        n = max(n, SLICE_BYTES // 8 + 1)
         for key, base in (("up", _BASE), ("down", _INVERSE)):
             p = np.full(n, base, np.uint64)
             p[0] = 1

@@ -2,33 +2,46 @@
 
 The kernel of two words sums ``DECAY ** span`` over the common subsequences of three
 letters within ``REACH`` letters, both spans counted, and is normalised; an inserted or
-missing letter lowers it a little only.  Nystroem landmarks (the most telling and the
-most frequent words of the training rows) give each word a short vector, and a squared
-hinge machine is trained on these.  A sentence is as toxic as its most toxic word, and a
-document as its most toxic sentence; a logistic curve fitted on the training documents
-turns that margin, and the number of words beyond a few margins, into a score.
+missing letter lowers it a little only.  A sentence is compared by its most toxic word, so
+a long sentence doesn't thin out an insult.  Nystroem landmarks (words of the training
+sentences) give each word a short vector, and a squared hinge machine is trained on these.
+
+It is trained on sentences with the label of their document, as a multiple-instance
+machine.  Not every sentence of a toxic document is toxic, and labels don't tell which:
+the machine starts with all of them and is trained again for each entry of ``DOUBT``, each
+time with the sentences that it finds that toxic, each represented by its most toxic
+word.  Two machines, trained on half of the toxic sentences each, judge one another's
+half, so that a word of one document can't vouch for itself.  A word that toxic sentences
+don't have ``SPEAKS`` times as often as clean ones can't make a sentence toxic, and in a
+sentence of a clean document every word is clean.
 
 The machine's output is a linear function of a word's subsequences, so the landmarks are
 folded into one weight for each letter triple (``Model.weights``); scoring a word does
-not touch the landmarks again.
+not touch the landmarks again.  A document is as toxic as its most toxic sentence.  A
+logistic curve turns that margin, and how many words lie beyond a few margins, into a
+score; it is fitted on sampled documents that the machine wasn't trained on.
 
-Training rows: at most ``TRAIN_ROWS`` labelled documents, those with the smallest hash of
-their text (copies count once), of each the first ``TRAIN_CHARS`` characters; of their clean words the
-``CLEAN_WORDS`` most frequent.  Nothing else is sampled, and every text is scored whole.
+Training rows: at most ``TRAIN_ROWS`` labelled documents of each class, those with the
+smallest hash of their text (copies count once; texts of more than ``TRAIN_BYTES`` bytes
+are not chosen), each with its whole text.  Nothing else is sampled, and every text is
+scored whole.
 
 Other signs inside a word are dropped (``i.d-i*o't``), and single letters in a row are
 read as one word (``i d i o t``).
 
 Defined cases: a null or empty text has no words and gets the score of the least margin;
-null labels and labels without a document are not learned from; with no toxic or no
-clean training row every score is the share of toxic rows (0 without any); repeated
-rows get equal scores.
+null labels and labels without a document are not learned from; a text labelled both ways
+is toxic; with no toxic or no clean training row every score is the share of toxic rows
+(0 without any); repeated rows get equal scores, ties need no order; a very long text is
+worked on in one piece, in memory in proportion to it; other columns are ignored, or kept
+by ``drop_toxic``, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import copy
 import re
-import zlib
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,20 +51,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as t
+from .overlap import kept_in
 
 DECAY = 0.6
 REACH = 7
-TRAIN_ROWS = 5000
-TRAIN_CHARS = 6_000
-CLEAN_WORDS = 40_000
+TRAIN_ROWS = 1000
+TRAIN_BYTES = 200_000
 LANDMARKS = 160
 HARD = 60
+#: Times as often as in clean sentences that a word stands in toxic ones if it can make one toxic.
+SPEAKS = 4
+#: A sentence of a toxic document with no higher margin than this teaches nothing in the next round.
+DOUBT = (-0.5, 0.0, 0.5)
+ROUNDS = len(DOUBT)
+#: Every so many sampled documents, one is kept for the curve.
+FOLD = 4
 THRESHOLD = 0.3
 LETTERS = 58  # a-z, and 32 for the continuation bytes of other letters
-MAX_CACHE = 1_000_000
+MAX_CACHE = 400_000
 FLOOR = -2.0
-#: Standard deviations by which a word has to be more frequent in toxic documents to be telling.
-TELLING = 5.0
 LEVELS = (0.0, 0.4, 0.8)
 
 _LETTER = np.zeros(256, bool)
@@ -60,7 +78,6 @@ _CODE = np.zeros(256, np.uint8)
 _CODE[0x61:0x7B] = np.arange(26)
 _CODE[0x80:0xC0] = 26 + (np.arange(0x80, 0xC0) & 0x1F)  # capitals of accented letters share a code with small ones
 _SENTENCE = re.compile(r"[.!?\n]+\s*")
-_models: dict[str, object] = {}
 
 
 def triples(words: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
@@ -102,6 +119,26 @@ def coded(words: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {n: (np.array(ix), _CODE[np.frombuffer(b"".join(words[i] for i in ix), np.uint8).reshape(-1, n)]) for n, ix in groups.items() if n}
 
 
+def _groups(docs_of: list[list[int]]) -> np.ndarray:
+    """A half, 0 or 1, for each sentence; those of documents that share a third of their sentences are in the same."""
+    first: dict[int, list[int]] = {}
+    for docs in docs_of:
+        for doc in docs:
+            first.setdefault(doc, []).append(min(docs))
+    group: dict[int, int] = {}
+    for doc in sorted(first):
+        other, times = Counter(first[doc]).most_common(1)[0]
+        group[doc] = group[other] if other < doc and 3 * times >= len(first[doc]) else len(set(group.values()))
+    return np.array([group[min(docs)] % 2 for docs in docs_of])
+
+
+def _highest(value: np.ndarray, group: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each group, in order, its member with the highest value (then the first), and that value."""
+    by = np.lexsort((-value, group))
+    first = by[np.flatnonzero(np.r_[True, np.diff(group[by]) > 0])]
+    return member[first], value[first]
+
+
 class Landmarks:
     """Landmark words as rows of normalised weights over the triples that they have."""
 
@@ -151,64 +188,112 @@ def units(text: str) -> list[bytes]:
 class Model:
     """Weights of the letter triples, bias, and the curve from margin to score."""
 
-    def __init__(self, rows: list[tuple[str, int]]) -> None:
+    def __init__(self, rows: list[tuple[str, int]], share: float | None = None) -> None:
         self.weights, self.bias, self.curve = np.zeros(LETTERS**3, np.float32), 0.0, np.zeros(len(LEVELS) + 2)
         self.usual = np.zeros(len(LEVELS))
         self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0)
         label = np.array([y for _, y in rows], float)
-        self.share = float(label.mean()) if len(rows) else 0.0
-        self.trained = 0 < self.share < 1
+        self.share = share if share is not None else float(label.mean()) if len(rows) else 0.0
+        self.trained = len(rows) > 0 and 0 < label.mean() < 1
         if not self.trained:
             return
-        seen: dict[bytes, bytes] = {}
-        sentences = [[[seen.setdefault(w, w) for w in s] for s in map(units, _SENTENCE.split(x)) if s] for x, _ in rows]
-        # each different sentence counts once, so copies and near copies of a document don't speak for its words
-        toxic, clean = Counter(), Counter()
-        counted: tuple[set, set] = set(), set()
-        for doc, y in zip(sentences, label, strict=True):
-            for s in doc:
-                if (key := hash(tuple(s))) not in counted[int(y)]:
-                    counted[int(y)].add(key)
-                    (toxic if y else clean).update(set(s))
-        share = len(counted[1]) / (len(counted[0]) + len(counted[1]))
-        n = {w: toxic[w] + clean[w] for w in toxic}
-        p = {w: (toxic[w] + share) / (n[w] + 1) for w in toxic}
-        z = {w: (toxic[w] - share * n[w]) / np.sqrt(n[w] * share * (1 - share)) for w in toxic}
-        telling = sorted((w for w in toxic if len(w) > 2 and z[w] > TELLING and p[w] > 0.5), key=lambda w: (-z[w], w))
-        common = sorted((w for w in clean if len(w) > 2), key=lambda w: (-clean[w], w))
-        chosen = list(dict.fromkeys([*telling[: LANDMARKS // 2], *common]))[:LANDMARKS]
-        if not chosen:
-            self.trained = False
+        # with few rows of a class the curve is fitted on the rows that the machine has seen
+        nth = np.empty(len(rows), np.int64)
+        for y in (0, 1):
+            nth[label == y] = np.arange(int((label == y).sum()))
+        own = (nth % FOLD > 0) | (min(label.sum(), (1 - label).sum()) < 5 * FOLD)
+        self._machine([r for r, x in zip(rows, own, strict=True) if x])
+        if not self.trained:
             return
-        # a sentence of a toxic document stands for its most telling word, one of a clean document for each of its words
-        known, best = set(telling), Counter()
-        for doc, y in zip(sentences, label, strict=True):
-            for s in doc if y else ():
-                if found := known.intersection(s):
-                    best[max(found, key=lambda w: (z[w], w))] += 1
-        near = sorted((w for w in clean if w not in known), key=lambda w: (-clean[w], zlib.crc32(w)))[:CLEAN_WORDS]
-        words = [*best, *near]
-        y = np.r_[np.ones(len(best)), -np.ones(len(near))]
-        weight = np.array([min(best[w], 50) if w in best else min(clean[w], 200) for w in words], float)
-        weight[y > 0] *= 0.3 * (weight[y < 0].sum() + 1) / max(weight[y > 0].sum(), 1e-9)
-        for last in (False, True):
-            landmarks = Landmarks(chosen)
-            gram, vec = np.linalg.eigh(landmarks.base @ landmarks.base.T)
-            ok = gram > 1e-5
-            fold = vec[:, ok] / np.sqrt(gram[ok])  # Nystroem map: kernel with the landmarks -> vector
-            rows_ = landmarks.kernel(words) @ fold.astype(np.float32)
-            coef, self.bias = squared_hinge(rows_, y, weight)
-            if not last:  # the clean words that are told apart worst become landmarks too
-                worst = np.argsort(-np.where(y < 0, weight * np.maximum(0, 1 + rows_ @ coef + self.bias), 0), kind="stable")[:HARD]
-                chosen = list(dict.fromkeys([*chosen, *(w for w in (words[i] for i in worst) if len(w) > 2)]))
-        self.weights[landmarks.keys] = landmarks.base.T @ (fold @ coef)
-        del sentences, seen, clean, counted
+        if not own.all():
+            rows, label = [r for r, x in zip(rows, own, strict=True) if not x], label[~own]
         found = [self.evidence(pa.array([x for x, _ in rows[i : i + 100]])) for i in range(0, len(rows), 100)]
         margin, many, n_words = (np.concatenate(x) for x in zip(*found, strict=True))
         self.usual = many[label == 0].sum(0) / max(n_words[label == 0].sum(), 1)
-        self.curve = logistic(self.features(margin, many, n_words), label)
+        # rows weigh as much as their class does among all labelled rows
+        weight = np.where(label > 0, self.share / label.mean(), (1 - self.share) / (1 - label.mean()))
+        self.curve = logistic(self.features(margin, many, n_words), label, weight)
         self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0)
 
+    def _machine(self, rows: list[tuple[str, int]]) -> None:
+        """Weights and bias from labelled sentences."""
+        number: dict[bytes, int] = {}
+        sides: tuple[dict, dict] = {}, {}  # different sentences, as sets of words, and the documents that hold them
+        for doc, (text, y) in enumerate(rows):
+            for s in map(units, _SENTENCE.split(text)):
+                if ids := frozenset(number.setdefault(w, len(number)) for w in s if len(w) > 2):
+                    sides[int(y)].setdefault(ids, []).append(doc)
+        clean_rows, toxic_rows = sides
+        for ids in toxic_rows.keys() & clean_rows.keys():
+            del toxic_rows[ids]  # stands in clean text too
+        if not toxic_rows or not clean_rows:
+            self.trained = False
+            return
+        words, n = list(number), len(number)
+        in_clean = np.bincount(np.fromiter((i for s in clean_rows for i in s), np.int64), minlength=n)
+        in_toxic = np.bincount(np.fromiter((i for s in toxic_rows for i in s), np.int64), minlength=n)
+        sentence = np.repeat(np.arange(len(toxic_rows)), [len(s) for s in toxic_rows])
+        member = np.fromiter((i for s in toxic_rows for i in s), np.int64)
+        doc_of = [(k, doc) for k, docs in enumerate(toxic_rows.values()) for doc in docs]
+        of_sentence, of_doc = np.array(doc_of, np.int64).T
+        # to begin with, a sentence's most toxic word is the one that speaks most for toxic sentences
+        share = len(toxic_rows) / (len(toxic_rows) + len(clean_rows))
+        margin = (in_toxic - share * (in_toxic + in_clean)) / np.sqrt((in_toxic + in_clean) * share * (1 - share))
+        by = np.argsort(-margin, kind="stable")
+        chosen = list(dict.fromkeys([*by[: LANDMARKS // 2].tolist(), *np.argsort(-in_clean, kind="stable").tolist()]))[:LANDMARKS]
+        clean = np.flatnonzero(in_clean)
+        landmarks = Landmarks([words[i] for i in chosen])
+        kernel = landmarks.kernel(words)
+        half = _groups(list(toxic_rows.values()))
+        margin = np.stack([margin, margin])
+        toxic = np.ones(len(toxic_rows), bool)
+        # what makes a sentence toxic is a word that toxic sentences have far more often than clean ones
+        speaks = in_toxic / len(toxic_rows) > SPEAKS * in_clean / len(clean_rows)
+        if not speaks.any():
+            self.trained = False
+            return
+        for step in range(ROUNDS + 1):
+            # each half of the toxic sentences is judged by the machine of the other half, so a
+            # word that one document alone has can't vouch for itself
+            witness, best = np.zeros(len(toxic), np.int64), np.full(len(toxic), -np.inf)
+            for side in (0, 1):
+                own = half == side
+                if (at := own[sentence] & speaks[member]).any():
+                    word, value = _highest(margin[1 - side][member[at]], sentence[at], member[at])
+                    which = np.unique(sentence[at])
+                    witness[which], best[which] = word, value
+            if step:
+                top, high = _highest(best[of_sentence], of_doc, of_sentence)
+                toxic = best > DOUBT[step - 1]
+                if not toxic.any():
+                    toxic[top] = True
+            toxic &= best > -np.inf
+            gram, vec = np.linalg.eigh(landmarks.base @ landmarks.base.T)
+            ok = gram > 1e-5
+            fold = (vec[:, ok] / np.sqrt(gram[ok])).astype(np.float32)  # Nystroem map: kernel with the landmarks -> vector
+            x = kernel @ fold
+            machines = []
+            for used in (toxic & (half == 0), toxic & (half == 1)) if step < ROUNDS else (toxic,):
+                used = used if used.any() else toxic
+                stands = np.bincount(witness[used], minlength=n)
+                bad = np.flatnonzero(stands)
+                side = np.r_[np.ones(len(bad)), -np.ones(len(clean))]
+                weight = np.r_[np.minimum(stands[bad], 50), np.minimum(in_clean[clean], 200)].astype(float)
+                weight[side > 0] *= 0.1 * (weight[side < 0].sum() + 1) / max(weight[side > 0].sum(), 1e-9)
+                machines.append(squared_hinge(x, np.r_[bad, clean], side, weight))
+            if step == ROUNDS:
+                break
+            margin = np.stack([x @ coef + bias for coef, bias in machines])
+            # clean words that are told apart worst become landmarks too
+            worst = clean[np.argsort(-(np.maximum(0, 1 + margin.mean(0)[clean]) * np.minimum(in_clean[clean], 200)), kind="stable")[: HARD // ROUNDS]]
+            new = [i for i in worst.tolist() if i not in set(chosen)]
+            chosen += new
+            landmarks = Landmarks([words[i] for i in chosen])
+            if new:
+                kernel = np.c_[kernel, Landmarks([words[i] for i in new]).kernel(words)]
+        coef, self.bias = machines[0]
+        self.weights[landmarks.keys] = landmarks.base.T @ (fold @ coef)
+
     def margins(self, words: list[bytes]) -> np.ndarray:
         out = np.full(len(words), FLOOR)
         for index, codes in coded(words).values():
@@ -293,30 +378,29 @@ def kernel_tokens(column: pa.Array) -> t.Tokens:
     return t.Tokens((low[kept], at[off]))
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1.0) -> tuple[np.ndarray, float]:
-    """Primal L2 support vector machine by Newton steps over its active rows."""
+def squared_hinge(x: np.ndarray, index: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 4.0) -> tuple[np.ndarray, float]:
+    """Primal L2 support vector machine on the rows ``index`` of x, by Newton steps over its active rows."""
     w = np.zeros(x.shape[1] + 1)
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
     c = cost * weight / weight.mean()
-    step = 5000
-    for _ in range(50):
+    for turn in range(50):
+        active = np.flatnonzero(y * (x[index] @ w[:-1].astype(np.float32) + w[-1]) < 1)
         gram, target = ridge.copy(), np.zeros(len(w))
-        for i in range(0, len(x), step):
-            part = np.c_[x[i : i + step], np.ones(len(x[i : i + step]))]
-            active = y[i : i + step] * (part @ w) < 1
-            part, cost_, side = part[active], c[i : i + step][active], y[i : i + step][active]
-            gram += 2 * (part.T * cost_) @ part
-            target += 2 * (part.T * cost_) @ side
+        for i in range(0, len(active), 5000):
+            some = active[i : i + 5000]
+            part = np.c_[x[index[some]], np.ones(len(some), np.float32)].astype(float)
+            gram += 2 * (part.T * c[some]) @ part
+            target += 2 * (part.T * c[some]) @ y[some]
         new = np.linalg.solve(gram, target)
-        done = np.abs(new - w).max() < 1e-9
-        w = w + (new - w) * (1.0 if _ < 10 else 0.5)
+        done = np.abs(new - w).max() < 1e-6
+        w = w + (new - w) * (1.0 if turn < 10 else 0.5)
         if done:
             break
     return w[:-1], float(w[-1])
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Slopes, none below 0, and bias of a logistic curve, by Newton steps with a small ridge."""
     used = list(range(x.shape[1]))
     while True:
@@ -324,7 +408,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         w = np.zeros(z.shape[1])
         for _ in range(50):
             p = 1 / (1 + np.exp(-z @ w))
-            w += np.clip(np.linalg.solve((z.T * (p * (1 - p))) @ z + 0.1 * np.eye(len(w)), z.T @ (y - p) - 0.1 * w), -5, 5)
+            w += np.clip(np.linalg.solve((z.T * (weight * p * (1 - p))) @ z + 0.1 * np.eye(len(w)), z.T @ (weight * (y - p)) - 0.1 * w), -5, 5)
         if not used or w[:-1].min() >= 0:
             out = np.zeros(x.shape[1] + 1)
             out[[*used, -1]] = w
@@ -332,31 +416,29 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         used.pop(int(w[:-1].argmin()))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> list[tuple[str, int]]:
-    """Bounded sample of (text, label): the labelled texts with the smallest hash, copies once.
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> tuple[list[tuple[str, int]], float]:
+    """Bounded sample of (text, label), and the share of toxic rows among all labelled ones.
 
-    Ids and hashes are joined and cut first, by a bound on the hash that leaves about
-    twice as many rows as are wanted; texts are then read for the chosen ids only, at most
-    ``rows`` of them.  So no text is shuffled, and what reaches the driver is bounded.
+    Of each class the distinct texts with the smallest hash.  Ids and hashes are joined and
+    cut first; texts are then read for the chosen ids only.  So no text is shuffled, and
+    what reaches the driver is bounded by ``rows`` and ``most_bytes``.
     """
-    known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic"))
-    hashed = docs.filter("length(text) > 0").select("doc_id", F.xxhash64("text").alias("h"))
-    n = known.count()
-    if n > 2 * rows:
-        hashed = hashed.filter(F.col("h") < int(-(2**63) + 2**64 * (2 * rows / n)))
-    once = hashed.join(known, "doc_id").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
-    chosen = once.orderBy("h").limit(rows)
-    found = docs.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "h"])
-    picked = [(r["h"], r["text"], r["toxic"]) for r in found.select("h", F.substring("text", 1, chars).alias("text"), "toxic").limit(rows).collect()]
-    return [(text, toxic) for _, text, toxic in sorted(picked)]
+    known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    hashed = docs.filter("length(text) > 0").select("doc_id", F.xxhash64("text").alias("h"), (F.octet_length("text") <= most_bytes).alias("fits"))
+    once = hashed.join(known, "doc_id").groupBy("h", "fits").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    once = kept_in(docs.sparkSession, once, "labelled")
+    n, toxic = once.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    fit = once.filter("fits").select("h", "doc_id", "toxic")
+    chosen = fit.filter("toxic = 1").orderBy("h").limit(rows).union(fit.filter("toxic = 0").orderBy("h").limit(rows))
+    # an id may stand for several texts, and a text for several rows: one row for each chosen hash
+    found = docs.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["h"])
+    picked = sorted((r["h"], r["text"], r["toxic"]) for r in found.select("h", "text", "toxic").toLocalIterator())
+    return [(text, y) for _, text, y in picked], toxic / n if n else 0.0
 
 
 def _score(trained, key: str, score_only: bool, threshold: float, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _models:  # keeps its word cache from task to task
-            _models.clear()
-            _models[key] = trained.value
-        model = _models[key]
+        model = t.held(key, lambda: copy.copy(trained.value))  # keeps its word cache from task to task
         for part in t.pieces(batches, text):
             score = model.score(part.column(part.schema.get_field_index(text)))
             if score_only:
@@ -364,13 +446,11 @@ def _score(trained, key: str, score_only: bool, threshold: float, text: str):
             else:
                 yield part.filter(pa.array(score < threshold))
 
-    return run
+    return t.holding(run)
 
 
 def _trained(docs: DataFrame, labels: DataFrame):
-    import uuid
-
-    return docs.sparkSession.sparkContext.broadcast(Model(training_rows(docs, labels))), uuid.uuid4().hex
+    return docs.sparkSession.sparkContext.broadcast(Model(*training_rows(docs, labels))), uuid.uuid4().hex
 
 
 def toxicity_scores(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
