@@ -2,24 +2,29 @@
 
 For each language a bounded sample of labelled text becomes a suffix automaton.  A text
 is parsed greedily: the longest match in the sample is one phrase, the next phrase
-starts where it broke off.  The fewer phrases a language needs, relative to what its
-sample size allows, the better it explains the text; the language with the fewest
-normalised phrases wins.
+starts where it broke off; a symbol that the sample lacks is a phrase of its own.  The
+fewer phrases a language needs, relative to what its sample size allows, the better it
+explains the text; the language with the fewest normalised phrases wins.
 
-A text is parsed in stretches of ``STRETCH`` symbols, all stretches of a slice and all
-languages side by side in numpy, so whole texts are read at a bounded cost per byte.
-Each stretch adds at most one phrase, the same for every language.
+In numpy, stretches of ``STRETCH`` symbols of all texts of a slice are parsed side by side
+for all languages.  A stretch begins as if a phrase did; where the stretch before it ends
+inside a phrase, its beginning is parsed again from there, until both parses break at the
+same place.  The result is the greedy parse of the whole text.
 
-The sample: for each language the rows with the smallest hash of their text, up to
-``SAMPLE_ROWS`` rows and ``SAMPLE_BYTES`` bytes in all, shared by the languages.
+The sample: for each language the different texts with the smallest hash, those of at most
+``LONG_BYTES`` first, until they are ``SAMPLE_ROWS`` or their bytes reach the language's
+share of ``SAMPLE_BYTES``.  Texts are taken whole, so the last one may exceed the share.
 
 Defined cases: ``und`` with score 0 for a null text or one without a letter, or if there
 is nothing to learn from; ties go to the language that sorts first; rows with a null
-lang are predicted but not learned; repeated rows get equal results.
+lang are predicted but not learned; copies are learned once; repeated rows get equal
+results; a very long text is parsed in one piece, in memory in proportion to it; other
+columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +36,8 @@ from . import text as t
 
 SAMPLE_ROWS = 48
 SAMPLE_BYTES = 160_000
+LONG_BYTES = 10_000
 STRETCH = 512
-SYMBOLS = 96
-
-_models: dict[str, object] = {}
 
 
 def symbols(data: np.ndarray) -> np.ndarray:
@@ -77,17 +80,15 @@ class Model:
     """Automata of all languages in one transition table.
 
     ``table[state * width + symbol]`` is the next state, times ``width``; where a match
-    breaks off it is the state after the symbol from the start, with a phrase counted in
-    the lowest bit (widths are even, so that bit is free).
+    breaks off it is the state after the symbol from the start.  Where a symbol starts a
+    phrase, the lowest bit tells (widths are even, so that bit is free).
     """
 
     def __init__(self, samples: dict[str, bytes]) -> None:
         self.langs = sorted(samples)
         texts = {k: symbols(np.frombuffer(v, np.uint8)) for k, v in samples.items()}
-        used = np.bincount(np.concatenate([*texts.values(), np.zeros(1, np.uint8)]), minlength=256)
-        kept = np.argsort(-used, kind="stable")[: SYMBOLS - 1]
-        kept = kept[used[kept] > 0]
-        self.code = np.full(256, len(kept), np.int64)  # the last code: never seen, so it always breaks off
+        kept = np.flatnonzero(np.bincount(np.concatenate([*texts.values(), np.zeros(1, np.uint8)]), minlength=256))
+        self.code = np.full(256, len(kept), np.int64)  # the last code: never seen
         self.code[kept] = np.arange(len(kept))
         self.width = width = len(kept) + 1 + (len(kept) + 1) % 2
         tables, self.start, base = [], [], 0
@@ -99,6 +100,7 @@ class Model:
             table[state, [c for x in nexts for c in x]] = [s for x in nexts for s in x.values()]
             again = np.where(table[0] >= 0, table[0], 0)
             table = np.where(table >= 0, (table + base) * width, ((again + base) * width)[None] | 1)
+            table[0] |= 1
             tables.append(table.astype(np.int32))
             self.start.append(base * width)
             base += n
@@ -118,17 +120,54 @@ class Model:
         row, begin, size = row[by], begin[by], size[by]
         code = np.r_[self.code[symbols(data)], np.zeros(1, np.int64)].astype(np.int32)
         state = np.repeat(np.array(self.start, np.int32)[:, None], len(row), 1)
-        count = np.ones((langs, len(row)), np.int32)
+        count = np.zeros((langs, len(row)), np.int64)
         for k in range(int(size[0]) if len(size) else 0):
             live = int(np.searchsorted(-size, -k, "left"))  # stretches longer than k
             step = self.table[state[:, :live] + code[begin[:live] + k]]
             count[:, :live] += step & 1
             state[:, :live] = step & -2
+        self._join(by, row, begin, size, code, state, count)
         out = np.zeros((rows, langs), np.int64)
         for i in range(langs):
             out[:, i] = np.bincount(row, count[i], rows)
         return out
 
+    def _join(self, by: np.ndarray, row: np.ndarray, begin: np.ndarray, size: np.ndarray, code: np.ndarray, state: np.ndarray, count: np.ndarray) -> None:
+        """Corrects the counts of stretches that begin inside a phrase of the one before.  by: text order of the stretches."""
+        langs, n = state.shape
+        place = np.empty(n, np.int64)
+        place[by] = np.arange(n)  # where the stretches of a text stand, in text order
+        after = np.full(n, -1)
+        if n > 1:
+            same = row[place[1:]] == row[place[:-1]]
+            after[place[:-1][same]] = place[1:][same]
+        entry = np.repeat(np.array(self.start, np.int32)[:, None], n, 1)
+        lang, one = np.divmod(np.arange(langs * n), max(n, 1))
+        while True:
+            nxt = after[one]
+            ok = nxt >= 0
+            lang, one, nxt = lang[ok], one[ok], nxt[ok]
+            new = state[lang, one]
+            ok = new != entry[lang, nxt]
+            lang, one, new = lang[ok], nxt[ok], new[ok]
+            if not len(one):
+                return
+            was, entry[lang, one] = entry[lang, one], new
+            live, k, changed = np.arange(len(one)), 0, []
+            while len(live):
+                at = code[begin[one[live]] + k]
+                a, b = self.table[was[live] + at], self.table[new[live] + at]
+                np.add.at(count, (lang[live], one[live]), (b & 1) - (a & 1))
+                was[live], new[live] = a & -2, b & -2
+                k += 1
+                apart = was[live] != new[live]
+                end = apart & (size[one[live]] == k)
+                changed.append(live[end])
+                live = live[apart & ~end]
+            found = np.concatenate(changed)
+            lang, one = lang[found], one[found]
+            state[lang, one] = new[found]
+
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         data, offsets = t.string_buffers(column)
         low = t.LOWER[data]
@@ -147,37 +186,40 @@ class Model:
 
 
 def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """Bounded training text for each language; ``labelled`` has the columns text and lang."""
+    """Bounded training text for each language; ``labelled`` has the columns text and lang.
+
+    Hashes are aggregated and cut first; texts are then read for the chosen hashes only.
+    """
     rows = labelled.filter("lang IS NOT NULL AND length(text) > 0").select("lang", "text", F.xxhash64("text").alias("h"))
-    by = Window.partitionBy("lang").orderBy("h", "text")
+    once = rows.groupBy("lang", "h").agg(F.min(F.octet_length("text") > LONG_BYTES).alias("long"))
     # row_number below a constant is cut before the shuffle, so a hot language costs no more than the bound
-    rows = rows.withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= sample_rows)
-    cut = 4 * sample_bytes // sample_rows
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("long", "h"))
+    chosen = once.withColumn("nth", nth).filter(F.col("nth") <= sample_rows).select("lang", "h", "nth")
+    texts = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "nth").agg(F.min("text").alias("text"))
     found: dict[str, list[bytes]] = {}
-    for lang, text in rows.orderBy("lang", "nth").select("lang", F.substring("text", 1, cut)).toLocalIterator():
+    for lang, text in texts.orderBy("lang", "nth").select("lang", "text").toLocalIterator():
         found.setdefault(lang, []).append(text.encode(errors="replace"))
     share = sample_bytes // max(len(found), 1)
-    return {lang: (b" ".join(x[: max(64, 2 * share // len(texts))] for x in texts))[:share] for lang, texts in found.items()}
+    out = {}
+    for lang, own in found.items():
+        before = np.cumsum([0, *map(len, own)])[:-1]
+        out[lang] = b" ".join(x for x, n in zip(own, before, strict=True) if n < share)
+    return out
 
 
 def _predict(samples, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _models:
-            _models.clear()
-            _models[key] = Model(samples.value) if samples.value else None
-        model = _models[key]
+        model = t.held(key, lambda: Model(samples.value) if samples.value else None)
         for part in t.pieces(batches):
             n = part.num_rows
             langs, score = model.predict(part.column(1)) if model else (["und"] * n, np.zeros(n))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return run
+    return t.holding(run)
 
 
 def identify_languages(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with the predicted language and a score from 0 to 1."""
-    import uuid
-
     samples = docs.sparkSession.sparkContext.broadcast(learn(labelled))
     return t.text_frame(docs, id_col, text_col).mapInArrow(_predict(samples, uuid.uuid4().hex), "doc_id long, lang_pred string, score double")
 
