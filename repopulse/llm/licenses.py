@@ -1,18 +1,26 @@
 """License scans 7: notices and identifier tags by Aho-Corasick, expressions by shunting-yard.
 
 One automaton holds the notice phrases and the identifier tag, over words with A-Z
-lower-cased.  Behind each tag the original text is read as a licence expression; a
-shunting-yard parser brings ``or``, ``and`` and ``with`` into postfix order and
-evaluates it.  The phrases are a short fixed list, so the automaton is built in each
-worker and nothing is broadcast.
+lower-cased.  Behind a tag that is written as one (``SPDX-License-Identifier:``, any case)
+the rest of the line is read as a licence expression; a shunting-yard parser brings
+``or``, ``and`` and ``with`` into postfix order and evaluates it.  The phrases are a short
+fixed list, so the automaton is built in each worker and nothing is broadcast.
+
+A name counts if it has the shape of an identifier: a known short name (``MIT``), a name
+with a version or number of clauses behind a hyphen (``GPL-2.0-only``, ``BSD-3-Clause``), or
+``LicenseRef-`` and a name.  The expression must reach the end of the line, but for a sign
+that closes a comment; else there is no label, since that line is prose.
 
 ``score`` tells how freely the text may be used, by ``FREEDOM``: ``and`` takes the
 lowest, ``or`` the highest, ``with`` adds half of what is missing, several notices
 count as ``and``; 0 if nothing was found.
 
 Defined cases: a null text is empty; a malformed expression (unbalanced, an operator
-without operands, an exception that isn't one name) gives no label; unknown names
-become labels in lower case with freedom 0.5; ties can't arise, labels are sorted.
+without operands, an exception that isn't one name) gives no label; unknown names of the
+right shape become labels in lower case with freedom 0.5; ties can't arise, labels are
+sorted; repeated rows are scanned one by one; a very long text is scanned in one piece, in
+memory in proportion to it; other columns are ignored, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -67,8 +75,13 @@ SCHEMA = (
 )
 
 _TOKEN = re.compile(r"[ \t]*([()]|[A-Za-z0-9.+\-]+)")
+_TAG = re.compile(r"spdx-license-identifier[ \t]*:", re.I)
+#: What may stand behind an expression: signs that close a comment.
+_END = re.compile(r"[ \t\r]*(?:\*+/|--+>|\*\)|#\}|%>|[\"'`]+[,;]?)?[ \t\r]*\Z")
+_SHAPE = re.compile(r"LicenseRef-[A-Za-z0-9.\-]+|[A-Za-z][A-Za-z0-9.]*(?:-[A-Za-z0-9.]+)*-v?[0-9][A-Za-z0-9.]*(?:-[A-Za-z0-9.]+)*\+?", re.I)
+#: Identifiers without a number.
+SHORT = {"mit", "mit-0", "isc", "0bsd", "zlib", "unlicense", "wtfpl", "postgresql", "ncsa", "x11", "curl", "json", "ruby", "vim", "beerware", "openssl", "cc0", "none", "noassertion"}
 _BINDS = {"or": 1, "and": 2, "with": 3}
-_machine: list = []
 
 
 def label(name: str) -> str:
@@ -79,15 +92,18 @@ def label(name: str) -> str:
     return re.sub(r"-(\d+)\.0$", r"-\1", name)
 
 
-def expression_tokens(text: str) -> list[str]:
-    """Tokens of the expression at the start of a text: to the end of the line, or to
-    the first word that can't continue it."""
+def expression_tokens(line: str) -> list[str] | None:
+    """Tokens of a line that is an expression and nothing else, None of any other line."""
     out: list[str] = []
     depth, at, operand = 0, 0, True
-    while m := _TOKEN.match(text, at):
-        token = m[1].rstrip(".") or m[1]
-        low = token.lower()
+    while m := _TOKEN.match(line, at):
+        token, low = m[1], m[1].lower()
         if operand and low not in _BINDS and token != ")":
+            # an exception is one name, so no bracket opens behind ``with``
+            if token == "(" and out and out[-1] == "with":
+                return None
+            if token != "(" and not (low in SHORT or _SHAPE.fullmatch(token) or (out and out[-1] == "with")):
+                return None
             depth += token == "("
             operand = token == "("
         elif not operand and (low in _BINDS or token == ")" and depth):
@@ -97,7 +113,7 @@ def expression_tokens(text: str) -> list[str]:
             break
         out.append(low if low in _BINDS else token)
         at = m.end()
-    return out
+    return out if out and not operand and not depth and _END.match(line, at) else None
 
 
 def postfix(tokens: list[str]) -> list[str] | None:
@@ -158,11 +174,10 @@ def _automaton():
 
 def scan(text: str | None) -> tuple:
     """One row of the result, without the id."""
-    if not _machine:
-        _machine.append(_automaton())
+    machine = t.held("notices", _automaton)
     words = normal(text)
     joined = f" {b' '.join(words).decode('latin-1')} "
-    found = list(_machine[0].iter(joined))
+    found = list(machine.iter(joined))
     if not found:
         return len(words), 0, None, None, "", "", 0.0, []
     ends = np.cumsum([len(w) + 1 for w in words])
@@ -182,11 +197,12 @@ def scan(text: str | None) -> tuple:
         spans = t.Tokens(pa.array([text]), lower=True, spaced=False)
         raw = text.encode(errors="surrogatepass")
         for last in tags:
-            start = int(spans.end[last - 1])
-            end = raw.find(b"\n", start)
-            tail = raw[start : end if end >= 0 else len(raw)].decode(errors="ignore").lstrip(": \t")
-            tokens = expression_tokens(tail)
-            if value := evaluate(tokens):
+            begin = int(spans.start[last - 3])
+            end = raw.find(b"\n", begin)
+            line = raw[begin : end if end >= 0 else len(raw)].decode(errors="ignore")
+            tag = _TAG.match(line)
+            tokens = expression_tokens(line[tag.end() :]) if tag else None
+            if tokens and (value := evaluate(tokens)):
                 names |= value[0]
                 freedoms.append(value[1])
                 expressions.append(" ".join(tokens))
@@ -206,7 +222,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with places, labels and evaluated expressions; no shuffle."""
-    return t.text_frame(docs, id_col, text_col).mapInArrow(t.task(_scan), SCHEMA)
+    return t.text_frame(docs, id_col, text_col).mapInArrow(t.holding(_scan), SCHEMA)
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

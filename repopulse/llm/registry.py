@@ -17,4 +17,4 @@ QUERIES = {
     "op10_extraction": extraction.op10_extraction,
 }
 
-ORACLE_SQL = {**decontamination.ORACLE, **substring_dedup.ORACLE}
+ORACLE_SQL = {**decontamination.ORACLE, **substring_dedup.ORACLE, **suffix_dedup.ORACLE}

@@ -1,22 +1,27 @@
 """Substring dedup 6: relative Lempel-Ziv parsing of documents against earlier ones.
 
-A document is factored against what stands in documents with a smaller id: a factor is a
-run of words that also stands there, and factors of at least ``WINDOW`` words become
-duplicate spans.  The reference is indexed in blocks, by content-defined anchors
-(``overlap``), so a document is parsed only against blocks that can hold a long factor:
-
-* a whole segment whose content first occurs in a smaller id is inside a factor;
-* where an anchor has several contents, factors may begin or end inside the segment; a
-  copy of each content is parsed greedily against the index of the block, and the windows
-  at factor boundaries are checked one by one;
+A document is factored against what stands in documents with a smaller id: the longest
+run of words from a place on that also stands there is a factor, and the next one begins
+where it ends.  Factors of at least ``WINDOW`` words become duplicate spans; windows that
+lie across a factor's boundary are checked one by one.
+
+The reference is indexed in blocks, by content-defined anchors (``overlap``), so a document
+is parsed only against blocks that can hold a long factor:
+
+* a segment that is equal as a whole to one of a smaller id is inside a factor, found by
+  an aggregate;
+* where an anchor has several contents, a copy of each is parsed greedily against the
+  suffix array of the block's contents;
 * what that copy loses, the same content also loses where it stands again in the document.
 
 Every window is judged on the input, so the result does not depend on the order of work.
 
 Defined cases: a null or empty text has no words; a document of fewer than ``WINDOW``
 words keeps all; rows without an id neither lose words nor make others lose them; rows
-that repeat an id are equal in rank and don't affect each other; other columns are
-ignored by ``substring_duplicates`` and kept by ``drop_duplicate_passages``.
+that repeat an id are equal in rank and don't affect each other (no other ties arise); a
+very long text is one row of many segments, read in memory in proportion to it; other
+columns are ignored by ``substring_duplicates`` and kept by ``drop_duplicate_passages``,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ from pyspark.sql import functions as F
 
 from . import overlap as o
 from . import text as t
+from .suffix import common_prefix, lcp_array, previous_smaller, suffix_array
 
 WINDOW = 50
 UNITS = o.Units(WINDOW, gram=12, long_gram=32, words=True)
@@ -38,24 +44,52 @@ UNITS = o.Units(WINDOW, gram=12, long_gram=32, words=True)
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>"
 
 
-def parse(rows: list[dict]) -> Iterator[tuple[dict, np.ndarray]]:
-    """Windows of each content that a smaller id of its anchor group has too.
+def longest_factors(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of some contents, one behind the other, how many words from there on
+    also stand in a content of a smaller id; and where each content begins."""
+    rank = np.unique(np.array([r["doc_id"] for r in rows]), return_inverse=True)[1]
+    codes = [np.frombuffer(r["data"], np.uint64) for r in rows]
+    length = np.array([len(x) for x in codes])
+    begin = np.cumsum(length + 1) - length - 1
+    names = np.unique(np.concatenate(codes), return_inverse=True)[1]
+    place = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
+    data = np.empty(int(length.sum()) + len(rows), np.int64)
+    data[place] = names
+    data[begin + length] = names.max() + 1 + np.arange(len(rows))  # an end of its own behind each content
+    owner = np.repeat(rank, length + 1)
+    order, _, levels = suffix_array(data)
+    lcp = lcp_array(order, levels)
+    near = order[(lcp[:-1] >= WINDOW) | (lcp[1:] >= WINDOW)]
+    longest = np.zeros(len(data), np.int64)
+    for side in (1, -1):
+        way = near[::side]
+        found = previous_smaller(owner[way])
+        has = np.flatnonzero(found >= 0)
+        at = way[has]
+        longest[at] = np.maximum(longest[at], common_prefix(levels, at, way[found[has]]))
+    return longest, begin
 
-    The block's index holds the first document of every window; a content is parsed
-    left to right, and a factor runs on while its windows are in the index.
-    """
-    hashes, size = o.window_hashes(rows, UNITS)
-    which = np.repeat(np.arange(len(rows)), size)
-    doc = np.array([r["doc_id"] for r in rows])[which]
-    by = np.lexsort((doc, hashes))
-    head = np.r_[True, hashes[by][1:] != hashes[by][:-1]]
-    first = np.empty(len(by), np.int64)
-    first[by] = doc[by][np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))]
-    hit = first < doc
-    end = np.cumsum(size)
-    for r, a, b in zip(rows, end - size, end, strict=True):
-        if hit[a:b].any():
-            yield r, hit[a:b]
+
+def parse(rows: list[dict]) -> Iterator[tuple[dict, np.ndarray]]:
+    """Windows of each content that a smaller id of its anchor group has too, by its factors."""
+    longest, begin = longest_factors(rows)
+    for r, a in zip(rows, begin.tolist(), strict=True):
+        own = longest[a : a + r["n"]]
+        starts = np.flatnonzero(own >= WINDOW)
+        if not len(starts):
+            continue
+        hit = np.zeros(r["n"], bool)
+        at = int(starts[0])
+        while at < len(own):
+            size = int(own[at])
+            if size < WINDOW:  # no factor from here: on to the next place that has one
+                at = int(starts[k]) if (k := int(np.searchsorted(starts, at))) < len(starts) else len(own)
+                continue
+            last = at + size - WINDOW + 1
+            hit[at:last] = True
+            hit[last : at + size] = own[last : at + size] >= WINDOW  # windows across the boundary
+            at += size
+        yield r, hit
 
 
 def duplicate_spans(docs: DataFrame) -> DataFrame:

@@ -118,7 +118,7 @@ def previous_factors(order: np.ndarray, levels: list[np.ndarray], unit: int = 1)
     earlier, later = np.zeros((2, len(levels[0]) - 1), np.int64)
     for out, values in ((earlier, order), (later, -order)):
         for reverse in (False, True):
-            near = _previous_smaller(values[::-1] if reverse else values)
+            near = previous_smaller(values[::-1] if reverse else values)
             if reverse:
                 near = np.where(near[::-1] >= 0, n - 1 - near[::-1], -1)
             has = np.flatnonzero(near >= 0)
@@ -127,12 +127,12 @@ def previous_factors(order: np.ndarray, levels: list[np.ndarray], unit: int = 1)
     return earlier, later
 
 
-def _previous_smaller(values: np.ndarray) -> np.ndarray:
+def previous_smaller(values: np.ndarray) -> np.ndarray:
     """Index of the nearest smaller value to the left of each place, -1 where none is."""
     out, stack = [], []
     values = values.tolist()
     for i, v in enumerate(values):
-        while stack and values[stack[-1]] > v:
+        while stack and values[stack[-1]] >= v:
             stack.pop()
         out.append(stack[-1] if stack else -1)
         stack.append(i)

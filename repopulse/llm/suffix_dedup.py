@@ -105,3 +105,21 @@ def suffix_duplicates(docs: DataFrame, keep_first: bool = True, id_col: str = "d
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_first=False).drop("spans")
+
+
+ORACLE = {
+    "op8_suffix_dedup": f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, {2 * WINDOW})) AS h
+  FROM (SELECT doc_id, x, unnest(generate_series(0, len(x) // 2 - {WINDOW})) AS i FROM d WHERE len(x) >= {2 * WINDOW})),
+f AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {WINDOW} THEN 0 ELSE 1 END AS new FROM win SEMI JOIN f USING (h)),
+span AS (SELECT doc_id, min(i) AS s, max(i) + {WINDOW} AS e
+  FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM hit) GROUP BY doc_id, g),
+part AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS was FROM span),
+kept AS (SELECT d.doc_id, count(*) AS n, sum(e - s) AS gone, max(e) AS last, string_agg(substr(x, 2 * was + 1, 2 * (s - was)), '' ORDER BY s) AS k
+  FROM part JOIN d USING (doc_id) GROUP BY d.doc_id)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(k, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+}

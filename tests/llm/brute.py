@@ -130,3 +130,14 @@ def kernel(a, b, decay, reach):
     x, y = weights(a), weights(b)
     dot = lambda p, q: sum(v * q[k] for k, v in p.items())
     return dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5 if x and y else 0.0
+
+
+def license_places(text):
+    """Words, places of base phrases, first and last of them, labels."""
+    words, at, labels = alnum(text), [], set()
+    for phrase, label in {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}.items():
+        own = phrase.split()
+        found = [i for i in range(len(words) - len(own) + 1) if words[i : i + len(own)] == own]
+        at += found
+        labels |= {label} if found else set()
+    return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))

@@ -285,6 +285,10 @@ def test_suffix_dedup(docs, empty, monkeypatch, hot, keep_first):
 @pytest.mark.parametrize(("text", "want"), [
     (None, (0, 0, None, None, "", "", 0.0)), ("Under the MIT License, under the mit license", (8, 2, 0, 4, "mit", "mit", 1.0)),
     ("Apache License, Version 2.0 or CC BY-NC", (9, 2, 0, 6, "apache-2,cc-by-nc", "apache-2,cc-by-nc", 0.2)), ("# SPDX-License-Identifier: (MIT OR GPL-3.0-only) AND ISC\n", (11, 0, None, None, "", "gpl-3,isc,mit", 1.0)),
+    ("SPDX-License-Identifier: MIT and this file is part of foo", (11, 0, None, None, "", "", 0.0)), ("SPDX-License-Identifier: MIT or later versions", (7, 0, None, None, "", "", 0.0)),
+    ("The word spdx license identifier is explained here", (8, 0, None, None, "", "", 0.0)), ("SPDX-License-Identifier: MIT WITH (foo)", (6, 0, None, None, "", "", 0.0)),
+    ("/* SPDX-License-Identifier: BSD-3-Clause OR LicenseRef-own */\nint x;", (11, 0, None, None, "", "bsd,licenseref-own", 1.0)), ("SPDX-License-Identifier: GPL-2.0-or-later and Linux", (10, 0, None, None, "", "", 0.0)),
+    ("spdx license identifier: MIT", (4, 0, None, None, "", "", 0.0)), ("<!-- SPDX-License-Identifier: ISC -->", (4, 0, None, None, "", "isc", 1.0)),
     ("SPDX-License-Identifier: (MIT", (4, 0, None, None, "", "", 0.0)), ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", (12, 0, None, None, "", "gpl-2", 0.7)), ("the smith license", (3, 0, None, None, "", "", 0.0)),
 ])
 def test_license_scan(text, want):
@@ -293,6 +297,9 @@ def test_license_scan(text, want):
 
 
 def test_license_rows(docs, empty):
+    many = [*ROWS, (50, "under the mit license, " * 3000 + "CC-BY NC"), (51, "x under the MIT license under the mit license"), (51, "apache license version 2"), (52, "under the mit licenses")]
+    got = tuples(licenses.license_scan(frame(docs.sparkSession, many).withColumn("labels", F.lit("clash"))), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert got == sorted(([i, *brute.license_places(x)] for i, x in many), key=str)
     assert licenses.license_scan(docs).count() == len(ROWS) and licenses.license_scan(empty).count() == 0
 
 
