@@ -3,22 +3,27 @@
 Texts are sets of five-word shingles (A-Z lower-cased; a text of fewer words is one
 shingle).  Texts with equal sets are copies and make one node.  Each node has a
 signature of ``TREES`` x ``DEPTH`` minima; every tree is a prefix trie over its part of
-the signature, kept sorted by prefix.  Nodes that share a prefix are candidates; the
-prefix is shortened level by level until a pair at the threshold is found with the
-target recall.
-
-A popular prefix is worked on in blocks of bounded size, and a block gives one row for
-each member, never its pairs: first a forest of links between signatures that look
-alike.  The components of these links are the groups to verify.  Each group's shingle
-sets are then compared exactly, again in blocks, which gives the number of links of each
-member and a forest of true links, whose components are the classes.
+the signature, kept sorted: the first ``least`` minima name a subtrie (one bucket), the
+rest is the path below it.  Each subtrie is walked from its longest prefixes up.  Nodes
+that share a prefix are compared by their signatures, and the prefix is shortened, minimum
+by minimum, while nodes of the subtrie aren't linked with one another yet.  ``least`` is
+where a pair at the threshold has met in some tree with the target recall.
+
+A popular subtrie is worked on in blocks of bounded size, and a block gives one row for
+each member, never its pairs: a forest of links between signatures that look alike.  The
+components of these links are the groups to verify.  Each group's shingle sets are then
+compared exactly, again in blocks, which gives the number of links of each member and a
+forest of true links, whose components are the classes.
 
 ``n_links`` counts the other documents at or above the threshold, copies included.
 ``class_id`` is the smallest id of a document's class.
 
 Defined cases: texts that are null or have no word have no shingles and so no links, and
 are classes of their own; rows without an id take part and get the class of their text;
-repeated rows are copies; an empty table gives an empty result.
+repeated rows are copies; ties (a pair right at the threshold) are links; a very long text
+has one row of its shingles, in memory in proportion to it; other columns are ignored by
+``near_duplicates`` and kept by ``drop_near_duplicates``, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +43,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 TREES = 16
 DEPTH = 8
-RECALL = 0.998
+#: Bits of a minimum in a path; a path is one number.
+STEP = 8
+RECALL = 0.9997
 #: Members of a block; a block compares all its members.
 BLOCK = 256
 #: Signatures that agree in this share belong to one group to verify: five standard
@@ -75,7 +82,7 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.
     return found, np.searchsorted(row, np.arange(len(n) + 1))
 
 
-def _sketch(length: int, size: int):
+def _sketch(least: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in t.pieces(batches):
             found, off = shingle_sets(part.column(1), size)
@@ -87,17 +94,20 @@ def _sketch(length: int, size: int):
             sign = np.empty((len(has), TREES * DEPTH), np.uint32)
             for k in range(TREES * DEPTH if len(has) else 0):
                 sign[:, k] = np.minimum.reduceat(((found * _MULTIPLY[k] + _ADD[k]) >> np.uint64(32)).astype(np.uint32), start)
-            keys = np.repeat(np.arange(TREES, dtype=np.uint64)[None], len(has), 0)
-            for d in range(length):
-                keys = t.mixed(keys * np.uint64(0x9E3779B97F4A7C15) + sign[:, d::DEPTH])
+            roots = np.repeat(np.arange(TREES, dtype=np.uint64)[None], len(has), 0)
+            for d in range(least):
+                roots = t.mixed(roots * np.uint64(0x9E3779B97F4A7C15) + sign[:, d::DEPTH])
+            paths = np.zeros((len(has), TREES), np.uint64)
+            for d in range(least, DEPTH):  # STEP bits of each further minimum, the first one highest
+                paths = paths << np.uint64(STEP) | t.mixed(sign[:, d::DEPTH].astype(np.uint64)) >> np.uint64(64 - STEP)
             short = (t.mixed(sign.astype(np.uint64)) & np.uint64(0xFF)).astype(np.uint8)
             at = np.full(len(n), -1)
             at[has] = np.arange(len(has))
             pick = pa.array(at, mask=at < 0)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(2), pa.array(node.view(np.int64)).take(pick), pa.array([x.tobytes() for x in short], pa.binary()).take(pick),
-                 pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())).take(pick)],
-                ["doc_id", "tag", "node", "sign", "keys"],
+                 *(pa.array(list(x.view(np.int64)), pa.list_(pa.int64())).take(pick) for x in (roots, paths))],
+                ["doc_id", "tag", "node", "sign", "roots", "paths"],
             )
 
     return run
@@ -119,32 +129,29 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def blocks(rows: DataFrame, compare: Callable[[list[dict]], np.ndarray], sizes: DataFrame, schema: str, emit) -> DataFrame:
+def blocks(rows: DataFrame, compare: Callable[[list[dict], np.ndarray], np.ndarray], sizes: DataFrame, schema: str, emit, order: str = "node") -> DataFrame:
     """Compares the members of each bucket with each other, block by block.
 
     rows: bucket, node and data; sizes: bucket, size.  A bucket of up to ``BLOCK``
     members is one block; a larger one is cut by hash, and each pair of its parts is a
-    block.  ``compare`` gives which members of a block are linked (a square matrix),
-    ``emit`` the rows of a block.
+    block.  ``compare`` gives which members of a block are linked (a square matrix), where
+    it is asked for (another one), ``emit`` the rows of a block, whose members are in ``order``.
     """
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node", "bucket"), parts.cast("long")).cast("int")
     rows = rows.join(sizes, "bucket").withColumn("own", own)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).drop("other", "size")
-    rows = rows.repartition(o.partitions(rows), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+    rows = rows.repartition(o.partitions(rows), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for group in _groups(batches):
             if len(group) < 2:
                 continue
-            linked = compare(group)
             part = np.array([r["own"] for r in group])
-            np.fill_diagonal(linked, False)
-            if group[0]["i"] != group[0]["j"]:
-                linked &= part[:, None] != part[None]
-            out += emit(group, linked)
+            asked = part[:, None] != part[None] if group[0]["i"] != group[0]["j"] else ~np.eye(len(group), dtype=bool)
+            out += emit(group, compare(group, asked))
             if len(out) > 20_000:
                 yield _batch(out, schema)
                 out = []
@@ -170,17 +177,45 @@ def roots(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _alike(group: list[dict]) -> np.ndarray:
-    sign = np.frombuffer(b"".join(r["data"] for r in group), np.uint8).reshape(len(group), -1)
-    same = np.zeros((len(group), len(group)), np.int32)
-    for k in range(sign.shape[1]):
-        same += sign[:, k][:, None] == sign[:, k][None]
+def _alike(sign: np.ndarray) -> np.ndarray:
+    """Which signatures look like the shingle sets are similar."""
+    n, width = sign.shape
+    if n <= 32:
+        same = (sign[:, None] == sign[None]).sum(2)
+    else:
+        same = np.zeros((n, n), np.int32)
+        for k in range(width):
+            same += sign[:, k][:, None] == sign[:, k][None]
     chance = 1 / 256
-    return (same / sign.shape[1] - chance) / (1 - chance) >= LOOKS_ALIKE
+    return (same / width - chance) / (1 - chance) >= LOOKS_ALIKE
+
+
+def _climb(least: int):
+    """Links inside a subtrie whose members are sorted by path."""
+
+    def compare(group: list[dict], asked: np.ndarray) -> np.ndarray:
+        sign = np.frombuffer(b"".join(r["data"] for r in group), np.uint8).reshape(len(group), -1)
+        path = np.array([r["path"] for r in group], np.int64).view(np.uint64)
+        linked = np.zeros(asked.shape, bool)
+        tree = np.arange(len(group))
+        for gone in range(DEPTH - least + 1):  # minima that the prefix has been shortened by
+            head = path >> np.uint64(STEP * gone)
+            first = np.flatnonzero(np.r_[True, head[1:] != head[:-1]])
+            met = False
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(group)], strict=True):
+                if b - a > 1 and (tree[a:b] != tree[a]).any():  # not all linked by longer prefixes
+                    now = _alike(sign[a:b]) & asked[a:b, a:b]
+                    met |= bool(now.any())
+                    linked[a:b, a:b] |= now
+            if met:
+                tree = roots(linked)
+        return linked
+
+    return compare
 
 
 def _verified(threshold: float):
-    def compare(group: list[dict]) -> np.ndarray:
+    def compare(group: list[dict], asked: np.ndarray) -> np.ndarray:
         sets = [np.frombuffer(r["data"], np.uint64) for r in group]
         size = np.array([len(x) for x in sets])
         common = np.zeros((len(sets), len(sets)), np.int64)
@@ -198,7 +233,7 @@ def _verified(threshold: float):
             x[row[lo:hi], name[lo:hi] - a] = 1
             common += (x @ x.T).astype(np.int64)
         union = size[:, None] + size[None] - common
-        return common >= threshold * union - 1e-9
+        return (common >= threshold * union - 1e-9) & asked
 
     return compare
 
@@ -220,21 +255,21 @@ def near_duplicate_rows(docs: DataFrame, threshold: float = THRESHOLD, size: int
     docs: doc_id, text, tag.
     """
     spark = docs.sparkSession
-    length = prefix_length(threshold)
-    sketch = "doc_id long, tag int, node long, sign binary, keys array<long>"
-    rows = o.kept_in(spark, docs.select("doc_id", "text", "tag").mapInArrow(t.task(_sketch(length, size)), sketch), "sketches")
+    least = prefix_length(threshold)
+    sketch = "doc_id long, tag long, node long, sign binary, roots array<long>, paths array<long>"
+    rows = o.kept_in(spark, docs.select("doc_id", "text", "tag").mapInArrow(t.task(_sketch(least, size)), sketch), "sketches")
     nodes = o.kept_in(
         spark,
         rows.filter("node IS NOT NULL").groupBy("node").agg(
             F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "tag")).alias("first"), F.min("doc_id").alias("least_id"),
-            F.first("sign").alias("sign"), F.first("keys").alias("keys"),
+            F.first("sign").alias("sign"), F.first("roots").alias("roots"), F.first("paths").alias("paths"),
         ),
         "nodes",
     )
-    keyed = nodes.select("node", F.explode("keys").alias("bucket"))
+    keyed = nodes.select("node", F.explode(F.arrays_zip("roots", "paths")).alias("at")).select("node", F.col("at.roots").alias("bucket"), F.col("at.paths").alias("path"))
     sizes = o.kept_in(spark, keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
     signs = nodes.select("node", F.col("sign").alias("data"))
-    alike = blocks(keyed.join(sizes.select("bucket"), "bucket", "left_semi").join(signs, "node"), _alike, sizes, "a long, b long", _forest)
+    alike = blocks(keyed.join(sizes.select("bucket"), "bucket", "left_semi").join(signs, "node"), _climb(least), sizes, "a long, b long", _forest, "path")
     groups = components(alike)
     members = o.kept_in(spark, groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")).select(F.col("component").alias("bucket"), "size"), "sizes")
     wanted = groups.join(nodes.select("node", "times", "first"), "node").select("node", "component", "times", "first.doc_id", "first.tag")
@@ -254,7 +289,9 @@ def near_duplicate_rows(docs: DataFrame, threshold: float = THRESHOLD, size: int
         nodes.select("node", "times", "first", "least_id").join(classes, "node", "left").join(counts, "node", "left")
         .select("node", "times", "first", "least_id", F.coalesce("component", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
     )
-    ids = per_node.groupBy("class").agg(F.min("least_id").alias("class_id"), F.min("first").alias("stays"))
+    # written first, so that the join back to it has a shuffle of its own and a large class can be split
+    per_node = o.kept_in(spark, per_node, "classes")
+    ids = o.kept_in(spark, per_node.groupBy("class").agg(F.min("least_id").alias("class_id"), F.min("first").alias("stays")), "ids")
     return rows.select("doc_id", "tag", "node"), per_node.join(ids, "class")
 
 
@@ -275,7 +312,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: in
     rows, nodes = near_duplicate_rows(base, threshold, size)
     stay = nodes.select("stays.doc_id", "stays.tag").distinct().withColumn("one", F.lit(True))
     bare = rows.filter("node IS NULL").select("doc_id", "tag").distinct().withColumn("one", F.lit(False))
-    tag = F.hash(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    tag = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     row = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), tag.alias("tag"))
     found = row.alias("d").join(stay.union(bare).alias("s"), o.same_row("d", "s"))
     kept = found.filter("one").select("d.row", "d.doc_id", "d.tag").dropDuplicates(["doc_id", "tag"]).select("row.*")

@@ -35,8 +35,8 @@ HOT = 400
 BLOCK_UNITS = 200_000
 
 #: A span, the start of the segment it was found in, and of the content which that was cut from.
-SPAN = "doc_id long, tag int, start int, end int, part int, within int"
-SEGMENT = "anchor long, content long, doc_id long, tag int, start int, n int"
+SPAN = "doc_id long, tag long, start int, end int, part int, within int"
+SEGMENT = "anchor long, content long, doc_id long, tag long, start int, n int"
 
 
 @dataclass(frozen=True)
@@ -148,7 +148,7 @@ def has_hot(found: DataFrame) -> bool:
     return bool(found.filter("several").groupBy("anchor").count().filter(F.col("count") > HOT).take(1))
 
 
-FETCHED = "anchor long, times long, doc_id long, tag int, start int, n int, data binary"
+FETCHED = "anchor long, times long, doc_id long, tag long, start int, n int, data binary"
 
 
 def fetched(docs: DataFrame, found: DataFrame, units: Units, hot: bool) -> DataFrame:
@@ -207,7 +207,7 @@ def cut_again(rows: DataFrame, units: Units) -> DataFrame:
                     names,
                 )
 
-    return rows.mapInArrow(t.task(run), "anchor long, content long, times long, doc_id long, tag int, start int, n int, data binary, within int")
+    return rows.mapInArrow(t.task(run), "anchor long, content long, times long, doc_id long, tag long, start int, n int, data binary, within int")
 
 
 def window_hashes(rows: list[dict], units: Units) -> tuple[np.ndarray, np.ndarray]:
@@ -250,7 +250,7 @@ def _spans(flagged: Iterator[tuple[dict, np.ndarray]], window: int) -> Iterator[
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             out.append((row["doc_id"], row["tag"], row["start"] + a, row["start"] + b - 1 + window, row["start"], row.get("within", row["start"])))
     if out:
-        kinds = [pa.int64(), *[pa.int32()] * 5]
+        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in SPAN.split(", ")])
 
 
@@ -270,7 +270,7 @@ def exploded(rows: DataFrame, units: Units) -> DataFrame:
                     ["hash", "times", "doc_id", "tag", "start", "part", "within"],
                 )
 
-    return rows.mapInArrow(t.task(run), "hash long, times long, doc_id long, tag int, start int, part int, within int")
+    return rows.mapInArrow(t.task(run), "hash long, times long, doc_id long, tag long, start int, part int, within int")
 
 
 def followed(flagged: DataFrame, found: DataFrame, rows: DataFrame, at: str, within: str) -> DataFrame:
@@ -361,7 +361,7 @@ def same_row(a: str, b: str):
 
 def tagged(docs: DataFrame) -> DataFrame:
     """doc_id, text and a hash of the text; texts that are null read as empty."""
-    return docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("tag", F.hash("text"))
+    return docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("tag", F.xxhash64("text"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -128,7 +128,7 @@ def drop_duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: s
     base = o.tagged(t.text_frame(docs, id_col, text_col))
     lists = duplicate_spans(base).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     row = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    row = row.withColumn("tag", F.hash("text"))
+    row = row.withColumn("tag", F.xxhash64("text"))
     paired = row.alias("d").join(lists.alias("s"), o.same_row("d", "s"), "left").select("d.row", "d.text", "s.spans")
     schema = docs.schema
 

@@ -213,7 +213,7 @@ def test_near_duplicates(docs, empty, monkeypatch, block):
 
 
 def test_prefix_length():
-    assert near_duplicates.prefix_length(0.8) == 5 and near_duplicates.prefix_length(0.99) == 8
+    assert near_duplicates.prefix_length(0.8) == 4 and near_duplicates.prefix_length(0.99) == 8
     with pytest.raises(ValueError):
         near_duplicates.prefix_length(0.05)
 
