@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -190,41 +191,58 @@ def per_category(repos: DataFrame, found: DataFrame) -> DataFrame:
     return n.join(c, "category", "left").fillna(0, ["clusters"]).orderBy("category")
 
 
+#: What later jobs match, the title's beginning and the gate labels.
+TITLE = "Subcat graduation proposal: "
+BREACH, PASS = "BREACH >3% [CRITICAL]", "PASS <=3%"
+
+
 def drafts(found: DataFrame) -> DataFrame:
-    """Title and body of a proposal for each qualifying cluster."""
-    rows = found.filter("qualifies")
-    body = F.concat(
-        F.format_string("%d repositories share `%s`.\n\n", F.col("repo_count"), F.array_join("tokens", "`, `")),
-        F.format_string("Average confidence: %.2f\nScore: %.2f\n\n", F.col("avg_confidence"), F.col("score")),
-        F.format_string("```yaml\ncategories:\n  %s:\n    subcategories:\n      - %s\n```\n", F.col("category"), F.col("subcategory")),
-    )
-    return rows.select(F.concat(F.lit("Subcat graduation proposal: "), "category", F.lit("/"), "subcategory").alias("title"), body.alias("body"), "category", "subcategory")
+    """Title and body of a proposal for each qualifying cluster; the body is its figures as JSON."""
+    figures = F.to_json(F.struct("tokens", "repo_count", F.round("avg_confidence", 2).alias("avg_confidence"), F.round("score", 2).alias("score")))
+    return found.filter("qualifies").select(F.concat(F.lit(TITLE), "category", F.lit("/"), "subcategory").alias("title"), figures.alias("body"), "category", "subcategory")
+
+
+def draft_repos(found: DataFrame, members: DataFrame) -> DataFrame:
+    """(title, full_name, confidence): the repositories that a proposal is about, a row each."""
+    tokens = found.filter("qualifies").select(F.concat(F.lit(TITLE), "category", F.lit("/"), "subcategory").alias("title"), F.explode("tokens").alias("token"))
+    return members.join(tokens, "token").select("title", "full_name", "confidence").distinct()
 
 
 def not_filed_lately(proposals: DataFrame, issues: DataFrame, now_s: int, days: int = 60) -> DataFrame:
     """Proposals without an issue of the last days whose title starts with theirs.
 
-    Titles are joined by their first 40 characters; the rest of the prefix is checked on matches.
+    A title is as long as an issue tracker allows, so its beginnings are few rows.
     """
-    width = 40
-    recent = issues.filter(F.col("created_s") > now_s - days * x.DAY).select(F.col("title").alias("_t"), F.substring("title", 1, width).alias("_k"))
-    p = proposals.withColumn("_k", F.substring("title", 1, width))
-    short = p.filter(F.length("title") < width)
-    long = p.filter(F.length("title") >= width)
-    starts = F.expr("startswith(_t, title)")
-    out = long.join(recent, (long["_k"] == recent["_k"]) & starts, "left_anti")
-    return out.unionByName(short.join(recent.drop("_k"), starts, "left_anti")).drop("_k")
-
-
-def report(found: DataFrame, categories: DataFrame, totals: DataFrame, day: str, tool: str = "repopulse") -> DataFrame:
-    """The report as ordered lines (section, ord, line); sections keep their rows sorted."""
-    label = F.when(F.col("escalated"), "BREACH >3% [CRITICAL]").otherwise("PASS <=3%")
-    head = totals.select(F.lit(0).alias("section"), F.posexplode(F.array(
-        F.lit(f"# Drift audit of <category>/other, {day}"), F.format_string("**Corpus size:** %d repos", F.col("corpus")),
-        F.format_string("**Share:** %.2f%% (%d repos) [%s]", F.col("share_pct"), F.col("candidates"), label))).alias("nth", "line")).select("section", F.col("nth").cast("string").alias("ord"), "line")
-    table = categories.select(F.lit(1).alias("section"), F.col("category").alias("ord"), F.format_string("| %s | %d | %d |", "category", "other_count", "clusters").alias("line"))
-    order = F.concat("category", F.lit("/"), "subcategory")
-    filed = found.filter("qualifies").select(F.lit(2).alias("section"), order.alias("ord"), F.format_string("- `%s`: %d repos. Tokens: %s.", order, F.col("repo_count"), F.array_join("tokens", ", ")).alias("line"))
-    watch = found.filter("NOT qualifies").select(F.lit(3).alias("section"), order.alias("ord"), F.format_string("- `%s` on `%s`: %d repos, score %.2f, %s", order, F.array_join("tokens", ", "), F.col("repo_count"), F.col("score"), F.col("reason")).alias("line"))
-    end = totals.select(F.lit(4).alias("section"), F.lit("0").alias("ord"), F.lit(f"Filed by `{tool} audit`.").alias("line"))
-    return head.union(table).union(filed).union(watch).union(end).orderBy("section", "ord")
+    recent = issues.filter(F.col("created_s") > now_s - days * x.DAY).select(F.col("title").alias("_t"))
+    low, high = proposals.agg(F.min(F.length("title")), F.max(F.length("title"))).first()
+    if low is None:
+        return proposals
+    # beginnings of issue titles, of the lengths that proposals have, so that a prefix match is an equi-join
+    lengths = F.sequence(F.lit(max(low, 1)), F.least(F.lit(high), F.length("_t")))
+    begins = recent.filter(F.length("_t") >= max(low, 1)).select(F.explode(F.transform(lengths, lambda n: F.substring("_t", F.lit(1), n))).alias("title")).distinct()
+    return proposals.join(begins, "title", "left_anti")
+
+
+def report(found: DataFrame, categories: DataFrame, totals: DataFrame, day: str) -> DataFrame:
+    """The report as ordered lines (section, ord, line) of JSON; sections keep their rows sorted."""
+    def lines(rows: DataFrame, section: int, order, *fields) -> DataFrame:
+        return rows.select(F.lit(section).alias("section"), order.alias("ord"), F.to_json(F.struct(*fields)).alias("line"))
+
+    gate = F.when(F.col("escalated"), BREACH).otherwise(PASS).alias("gate")
+    name = F.concat("category", F.lit("/"), "subcategory")
+    rounded = [F.round(c, 2).alias(c) for c in ("avg_confidence", "score")]
+    out = lines(totals, 0, F.lit(""), F.lit(day).alias("day"), "corpus", "candidates", F.round("share_pct", 2).alias("share_pct"), gate)
+    out = out.union(lines(categories, 1, F.col("category"), "category", "other_count", "clusters"))
+    out = out.union(lines(found.filter("qualifies"), 2, name, name.alias("filed"), "repo_count", "tokens", *rounded))
+    out = out.union(lines(found.filter("NOT qualifies"), 3, name, name.alias("watched"), "repo_count", "tokens", *rounded, "reason"))
+    return out.orderBy("section", "ord")
+
+
+def audit_other_drift(read: Callable[[], tuple[DataFrame, DataFrame]], file: Callable[[DataFrame], None] | None, issues: DataFrame, day: str, now_s: int) -> DataFrame:
+    """The whole audit.  ``read`` gives candidates (full_name, primary_category, topics,
+    confidence) and the active repositories; ``file`` gets the proposals that are new."""
+    rows, active = read()
+    found = written(cluster_repos(rows), "clusters")
+    if file is not None:
+        file(not_filed_lately(drafts(found), issues, now_s))
+    return report(found, per_category(rows, found), share(rows, active), day)

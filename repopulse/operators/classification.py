@@ -17,11 +17,19 @@ Classifier = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 KEYWORDS = {"kubernetes": ["kubernetes", "cluster"], "rag": ["retrieval", "rag"], "testing": ["test", "bolt"], "databases": ["database", "gear"], "cli-tools": ["cli", "widget"]}
 
 
-def prompts(repos: DataFrame, readmes: DataFrame, chars: int = 2000) -> DataFrame:
-    """Prompt of each repository; readmes: full_name, content."""
+#: What a caller's templates may name; the defaults hold nothing but these.
+USER = "{full_name}; {language}; {topics}; {stars}, {trend}\n{description}\n\n{readme}"
+SYSTEM = "{categories}"
+
+
+def prompts(repos: DataFrame, readmes: DataFrame, chars: int = 2000, user: str = USER, system: str = SYSTEM, categories: list[str] = ()) -> DataFrame:
+    """Prompts of each repository by the caller's templates; readmes: full_name, content."""
     rows = repos.join(readmes, "full_name", "left").withColumn("content", F.coalesce("content", F.lit("")))
-    text = x.user_prompt(F.col("full_name"), F.col("description"), F.col("language"), F.replace(F.col("topics_text"), F.lit(" "), F.lit(", ")), F.col("stars"), F.col("star_velocity"), x.shortened(F.col("content"), chars))
-    return rows.select("full_name", text.alias("prompt"), x.content_hash(F.col("content")).alias("hash"))
+    fields = {
+        "full_name": F.col("full_name"), "description": F.col("description"), "language": F.col("language"), "topics": F.replace(F.col("topics_text"), F.lit(" "), F.lit(", ")),
+        "stars": F.col("stars").cast("string"), "trend": x.trend(F.col("star_velocity")), "readme": x.shortened(F.col("content"), chars), "categories": F.lit(", ".join(categories)),
+    }
+    return rows.select("full_name", x.rendered(user, fields).alias("prompt"), x.rendered(system, fields).alias("system"), x.content_hash(F.col("content")).alias("hash"))
 
 
 def by_keywords(rows: DataFrame) -> DataFrame:

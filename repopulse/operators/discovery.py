@@ -45,17 +45,18 @@ def _first(found: DataFrame, group: str, order) -> DataFrame:
 
 
 def excluded_names(names: DataFrame, exclusions: DataFrame, key: str = "full_name") -> DataFrame:
-    """Names that a pattern matches (case-sensitive dialect), as equi-joins on name, owner or repository."""
-    ok = names.select(key, x.well_formed(F.col(key)).alias("_ok"), x.owner_of(F.col(key)).alias("_owner"), x.name_of(F.col(key)).alias("_name")).distinct()
-    p = exclusions.select("pattern").distinct().withColumns({"_po": x.owner_of(F.col("pattern")), "_pn": x.name_of(F.col("pattern")), "_pok": x.well_formed(F.col("pattern"))})
-    exact = ok.join(p, ok[key] == p["pattern"], "left_semi")
-    owners = p.filter("_pok AND _pn = '*' AND _po <> '*'")
-    repos = p.filter("_pok AND _po = '*' AND _pn <> '*'")
-    every = p.filter("pattern = '*/*'").limit(1)
-    fit = ok.filter("_ok")
-    out = exact.select(key).union(fit.join(owners, fit["_owner"] == owners["_po"], "left_semi").select(key))
-    out = out.union(fit.join(repos, fit["_name"] == repos["_pn"], "left_semi").select(key)).union(fit.join(every, F.lit(True), "left_semi").select(key))
-    return out.distinct()
+    """Names that a pattern matches (case-sensitive dialect): one equi-join on name, owner, repository or all."""
+    def keyed(*keys):
+        return F.explode(F.filter(F.array(*[F.when(ok, F.struct(F.lit(kind).alias("kind"), k.alias("k"))) for kind, k, ok in keys]), lambda e: e.isNotNull())).alias("_e")
+
+    c, p, star = F.col(key), F.col("pattern"), F.lit("*")
+    fit = x.well_formed(c)
+    n = names.select(key).distinct().select(key, keyed(("name", c, F.lit(True)), ("owner", x.owner_of(c), fit), ("repo", x.name_of(c), fit), ("all", F.lit(""), fit)))
+    owner, name, ok = x.owner_of(p), x.name_of(p), x.well_formed(p)
+    e = exclusions.select("pattern").distinct().select(keyed(
+        ("name", p, F.lit(True)), ("owner", owner, ok & (name == star) & (owner != star)), ("repo", name, ok & (owner == star) & (name != star)), ("all", F.lit(""), p == "*/*"),
+    ))
+    return n.join(e, "_e", "left_semi").select(key).distinct()
 
 
 def excluded_any_case(names: DataFrame, exclusions: DataFrame, key: str = "full_name") -> DataFrame:

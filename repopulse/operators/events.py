@@ -82,16 +82,24 @@ def repo_metrics(events: DataFrame, repos: DataFrame, window_hours: int) -> Data
     before they are aggregated; Spark broadcasts the names if they are small.
     """
     wanted = events.join(repos.select("repo_name").distinct(), "repo_name", "left_semi")
-    closed = (F.col("type") == "PullRequestEvent") & (F.col("action") == "closed") & F.col("merged")
-    opened = (F.col("type") == "IssuesEvent") & (F.col("action") == "opened")
-    found = wanted.groupBy("repo_name").agg(
-        F.count_if(F.col("type") == "WatchEvent").alias("stars"),
-        F.count_if(F.col("type") == "ForkEvent").alias("forks"),
-        F.count_distinct(F.when(closed, F.col("number"))).alias("merged_prs"),
-        F.count_distinct(F.when(opened, F.col("number"))).alias("new_issues"),
-        F.count_distinct(F.when(F.col("type") == "WatchEvent", F.col("actor_login"))).alias("starrers"),
-        F.count_distinct(F.when(F.col("type") == "ForkEvent", F.col("actor_login"))).alias("forkers"),
-    )
+    kind = (
+        F.when(F.col("type") == "WatchEvent", "star").when(F.col("type") == "ForkEvent", "fork")
+        .when((F.col("type") == "PullRequestEvent") & (F.col("action") == "closed") & F.col("merged"), "pr").when((F.col("type") == "IssuesEvent") & (F.col("action") == "opened"), "issue")
+    )
+    who = F.when(F.col("type").isin("WatchEvent", "ForkEvent"), F.col("actor_login")).otherwise(F.col("number").cast("string"))
+    # each different value is one row first, so distinct counts need no copies of the events
+    once = wanted.select("repo_name", kind.alias("kind"), who.alias("who")).filter("kind IS NOT NULL").groupBy("repo_name", "kind", "who").agg(F.count(F.lit(1)).alias("n"))
+
+    def times(name: str):
+        return F.coalesce(F.sum(F.when(F.col("kind") == name, F.col("n"))), F.lit(0))
+
+    def different(name: str):
+        return F.count(F.when(F.col("kind") == name, F.col("who")))
+
+    found = once.groupBy("repo_name").agg(
+        times("star").alias("stars"), times("fork").alias("forks"), different("pr").alias("merged_prs"), different("issue").alias("new_issues"),
+        different("star").alias("starrers"), different("fork").alias("forkers"),
+    )
     numbers = ["stars", "forks", "merged_prs", "new_issues", "starrers", "forkers"]
     out = repos.select("repo_name").distinct().join(found, "repo_name", "left").fillna(0, numbers)
     days = F.lit(max(window_hours / 24.0, 1 / 24.0))
@@ -104,6 +112,21 @@ def release_dates(events: DataFrame) -> DataFrame:
     return published.groupBy("repo_name").agg(F.sort_array(F.collect_list("created_at")).alias("release_dates"))
 
 
+def latest_releases(events: DataFrame, n: int = 10) -> DataFrame:
+    """The newest publication times of each repository, newest first.  Cut before the shuffle, so a busy one costs no more."""
+    published = events.filter((F.col("type") == "ReleaseEvent") & (F.col("action") == "published")).select("repo_name", "created_at")
+    nth = F.row_number().over(Window.partitionBy("repo_name").orderBy(F.desc("created_at")))
+    top = published.withColumn("nth", nth).filter(F.col("nth") <= n)
+    return top.groupBy("repo_name").agg(F.sort_array(F.collect_list("created_at"), asc=False).alias("release_dates"))
+
+
+def release_cadence(events: DataFrame, edge: Column, days: int = 90) -> DataFrame:
+    """Releases a month over the last days; a repository without any in that time has 0."""
+    published = events.filter((F.col("type") == "ReleaseEvent") & (F.col("action") == "published"))
+    recent = (F.col("created_at") <= edge) & (F.col("created_at") > edge - F.make_dt_interval(days=F.lit(days)))
+    return published.groupBy("repo_name").agg((x.double(F.count_if(recent)) / F.lit(days / 30.0)).alias("cadence"))
+
+
 def requested_share(events: DataFrame, repos: DataFrame) -> DataFrame:
     """How many events belong to requested repositories, and how many don't."""
     known = repos.select("repo_name").distinct().withColumn("known", F.lit(True))

@@ -89,6 +89,8 @@ def run_result(failed, classified):
 GAUGES = {
     "repo.stars": "stars", "repo.forks": "forks", "repo.contributors": "contributors", "repo.growth_score": "growth_score",
     "repo.star_velocity": "star_velocity", "repo.merged_prs_7d": "merged_prs_7d", "repo.new_issues_7d": "new_issues_7d",
+    "repo.stars_prev": "stars_prev", "repo.contributors_prev": "contributors_prev", "repo.first_seen": "first_seen_s", "repo.last_collected": "last_collected_s",
+    "repo.category_confidence": "category_confidence",
 }
 
 
@@ -124,7 +126,23 @@ def batches(rows: DataFrame, order: str, size: int = 25) -> DataFrame:
 
 
 def first_abort(outcomes: DataFrame, limit: int = 3) -> DataFrame:
-    """First batch at which ``limit`` batches in a row have failed.  outcomes: batch, ok; one row a batch."""
-    w = Window.orderBy("batch")
-    ends = outcomes.withColumn("_bad", F.sum(F.when(F.col("ok"), 0).otherwise(1)).over(w.rowsBetween(-(limit - 1), 0)))
-    return ends.filter(F.col("_bad") >= limit).agg(F.min("batch").alias("abort_at"))
+    """First batch at which ``limit`` batches in a row have failed.  outcomes: batch, ok; batches are numbered without gaps.
+
+    Each failed batch counts for the ``limit`` batches that it may be the end or a part of, so no ordered window is needed.
+    """
+    ends = outcomes.filter("NOT ok").select(F.explode(F.sequence("batch", F.col("batch") + (limit - 1))).alias("batch"))
+    return ends.groupBy("batch").agg(F.count(F.lit(1)).alias("bad")).filter(F.col("bad") >= limit).agg(F.min("batch").alias("abort_at"))
+
+
+#: Gauges of the pipeline's own health: metric name, label, and the column of the value.
+HEALTH = {"tier.repos": ("tier", "repos"), "pending.repos": ("bucket", "n"), "run.results": ("result", "n"), "repos.status": ("status", "n"), "calls": ("result", "calls")}
+
+
+def all_health_points(counts: dict[str, DataFrame]) -> DataFrame:
+    """Points of several aggregates; keys are names of ``HEALTH``."""
+    out = None
+    for name, rows in counts.items():
+        label, value = HEALTH[name]
+        points = health_points(name, rows, label, value)
+        out = points if out is None else out.union(points)
+    return out

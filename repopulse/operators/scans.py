@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,59 @@ from ..functions import exprs as x
 from ..functions import taxonomy
 from . import health, scoring, tiers
 from .discovery import excluded_any_case
+from .events import repo_metrics
 
 WEEK = 7 * x.DAY
 
+#: Gives metrics of repositories (repo_name) over a window of hours: a caller's source, or ``from_archive``.
+Collector = Callable[[DataFrame, int], DataFrame]
+
+
+def from_archive(events: DataFrame) -> Collector:
+    """Collector that reads archived events."""
+    return lambda repos, hours: repo_metrics(events, repos, hours)
+
+
+def collect(repos: DataFrame, window_hours: int, collector: Collector) -> DataFrame:
+    """Metrics of each requested repository; what a collector doesn't name is missing, its ``partial`` is kept.
+
+    Events tell how counts change, not how large they are, so their results are partial.
+    """
+    found = collector(repos.select("repo_name").distinct(), window_hours)
+    return found if "partial" in found.columns else found.withColumn("partial", F.lit(True))
+
+
+def collect_from_events(events: DataFrame, repos: DataFrame, window_hours: int) -> DataFrame:
+    return collect(repos, window_hours, from_archive(events))
+
+
+def apply_partial(rows: DataFrame, before: DataFrame, absolutes: list[str], key: str = "full_name") -> DataFrame:
+    """Partial rows with the absolute values that stood before, where there are any; other rows as they are."""
+    old = before.select(key, *[F.col(c).alias(f"_{c}") for c in absolutes])
+    out = rows.join(old, key, "left")
+    return out.withColumns({c: F.when(F.col("partial"), F.coalesce(f"_{c}", c)).otherwise(F.col(c)) for c in absolutes}).drop(*[f"_{c}" for c in absolutes])
+
+
+def carry_forward(before: DataFrame, fresh: DataFrame, columns: list[str], key: str = "full_name") -> DataFrame:
+    """All rows of ``before``, with fresh values where a repository has changed."""
+    new = fresh.select(key, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_new"))
+    out = before.join(new, key, "left")
+    return out.withColumns({c: F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)) for c in columns}).drop("_new", *[f"_{c}" for c in columns])
+
+
+def tracked_lookup(names: DataFrame, tracked: DataFrame, key: str = "full_name") -> DataFrame:
+    """Each name with the tracked entry that equals it but for the case of letters (the first one), null without."""
+    entries = tracked.groupBy(F.lower(F.trim("full_name")).alias("_low")).agg(F.min_by("full_name", F.struct("pos", "full_name")).alias("entry"))
+    out = names.withColumn("_low", F.lower(F.trim(key))).join(entries, "_low", "left").drop("_low")
+    return out.withColumn("is_tracked", F.col("entry").isNotNull())
+
+
+def star_cache(cache: DataFrame, seen: DataFrame, now_s: int, ttl_s: int = WEEK) -> DataFrame:
+    """Next version of the star observations (full_name, stars, observed_s): the last one wins, old ones go."""
+    rows = cache.select("full_name", "stars", "observed_s").unionByName(seen.select("full_name", "stars", "observed_s"))
+    last = rows.groupBy("full_name").agg(F.max(F.struct("observed_s", "stars")).alias("r"))
+    return last.select("full_name", "r.stars", "r.observed_s").filter(F.lit(now_s) - F.col("observed_s") < ttl_s)
+
 
 def recent_activity(rows: DataFrame, now_s: int) -> DataFrame:
     """Merges and new issues of a week from listed rows: full_name, kind, is_pull_request, merged_s, created_s."""

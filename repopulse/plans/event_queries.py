@@ -178,13 +178,13 @@ def _(t):
 
 @query("w11_release_cadence", "SELECT repo_name, CAST(count(*) FILTER (WHERE created_s <= {NOW} AND created_s > {NOW} - 90 * 86400) AS DOUBLE) / 3.0::DOUBLE AS cadence FROM repo_events WHERE type = 'ReleaseEvent' AND action = 'published' GROUP BY 1")
 def _(t):
-    return ev.release_dates(t.repo_events).select("repo_name", x.release_cadence(F.col("release_dates"), edge()).alias("cadence"))
+    return ev.release_cadence(t.repo_events, edge())
 
 
 @query("w10_release_history", """WITH r AS (SELECT repo_name, created_at, row_number() OVER (PARTITION BY repo_name ORDER BY created_at DESC, event_id DESC) AS rn FROM repo_events WHERE type = 'ReleaseEvent' AND action = 'published')
 SELECT repo_name, string_agg(CAST(EPOCH(created_at) AS VARCHAR), ',' ORDER BY rn) AS history FROM r WHERE rn <= 10 GROUP BY 1""")
 def _(t):
-    dates = ev.release_dates(t.repo_events).withColumn("d", F.reverse("release_dates"))
+    dates = ev.latest_releases(t.repo_events, 11).withColumn("d", F.col("release_dates"))
     rows = dates.select("repo_name", F.element_at("d", 1).alias("latest_release_at"), F.slice("d", 2, 1000000).alias("release_dates"), F.lit(None).cast("timestamp").alias("release_known_at"))
     out = scoring.release_history(rows)
     return out.select("repo_name", F.array_join(F.transform("release_dates", lambda d: F.unix_timestamp(d).cast("string")), ",").alias("history"))

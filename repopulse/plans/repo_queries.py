@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as x
 from ..functions import taxonomy
-from ..operators import audit, classification, health
+from ..operators import audit, classification, health, scans
 from ..operators import repository as r
 from ..sources import sinks
 from ..sources.tables import delete_keys, insert_ignore, merge_upsert, update_where, with_outcomes
@@ -195,14 +195,15 @@ def _(t):
 
 @query("f22_carry_forward", "SELECT full_name, CASE WHEN id % 2 = 0 THEN stars + 5 ELSE stars END AS stars FROM repos")
 def _(t):
-    fresh = t.repos.filter("id % 2 = 0").select("full_name", (F.col("stars") + 5).alias("fresh"))
-    return t.repos.join(fresh, "full_name", "left").select("full_name", F.coalesce("fresh", "stars").alias("stars"))
+    fresh = t.repos.filter("id % 2 = 0").select("full_name", (F.col("stars") + 5).alias("stars"))
+    return scans.carry_forward(t.repos.select("full_name", "stars"), fresh, ["stars"])
 
 
 @query("f20_partial_results", """SELECT full_name, CASE WHEN id % 2 = 0 AND id % 3 <> 0 THEN stars_prev ELSE stars END AS stars, CAST(id % 7 AS DOUBLE) AS star_velocity FROM repos""")
 def _(t):
-    partial, before = F.col("id") % 2 == 0, F.col("id") % 3 != 0
-    return t.repos.select("full_name", F.when(partial & before, F.col("stars_prev")).otherwise(F.col("stars")).alias("stars"), (F.col("id") % 7).cast("double").alias("star_velocity"))
+    rows = t.repos.select("full_name", "stars", (F.col("id") % 7).cast("double").alias("star_velocity"), (F.col("id") % 2 == 0).alias("partial"))
+    before = t.repos.filter("id % 3 <> 0").select("full_name", F.col("stars_prev").alias("stars"))
+    return scans.apply_partial(rows, before, ["stars"]).select("full_name", "stars", "star_velocity")
 
 
 _OUTCOME = "CASE WHEN full_name IN (SELECT full_name FROM repos WHERE id % 10 = 3) THEN 'gone' WHEN full_name IN (SELECT full_name FROM repos WHERE id % 10 <> 7) THEN 'updated' ELSE 'failed' END"
@@ -235,11 +236,12 @@ def _(t):
     return rows.select("full_name", F.coalesce("canary", F.lit(False)).alias("canary"))
 
 
-@query("s13_repo_points", """WITH v AS (SELECT full_name, stars, forks, growth_score FROM repos WHERE excluded = 0) SELECT metric, full_name, value FROM (SELECT 'repo.stars' AS metric, full_name, CAST(stars AS DOUBLE) AS value FROM v
-UNION ALL SELECT 'repo.forks', full_name, CAST(forks AS DOUBLE) FROM v UNION ALL SELECT 'repo.growth_score', full_name, growth_score FROM v)""")
+_GAUGES = " UNION ALL ".join(f"SELECT '{metric}' AS metric, full_name, CAST({column} AS DOUBLE) AS value FROM repos WHERE excluded = 0" for metric, column in health.GAUGES.items())
+
+
+@query("s13_repo_points", _GAUGES)
 def _(t):
-    gauges = {k: health.GAUGES[k] for k in ("repo.stars", "repo.forks", "repo.growth_score")}
-    points = health.repo_points(taxonomy.resolve(t.repos.filter("excluded = 0")), gauges)
+    points = health.repo_points(taxonomy.resolve(t.repos.filter("excluded = 0")))
     return points.select("metric", F.col("attributes")["full_name"].alias("full_name"), "value")
 
 
@@ -270,11 +272,13 @@ def _(t):
     return rows.select("id", "p.category", "p.confidence", x.status_of(F.col("p.confidence"), 0.6).alias("status"))
 
 
-@query("x9_prompts", """SELECT full_name, concat('Repository: ', full_name, chr(10), 'Description: ', description, chr(10), 'Language: ', language, chr(10), 'Topics: ', replace(topics_text, ' ', ', '), chr(10), 'Stars: ', CAST(stars AS VARCHAR), ' (trend: ',
- CASE WHEN star_velocity > 0 THEN 'rising' WHEN star_velocity < 0 THEN 'declining' ELSE 'stable' END, ')', chr(10), 'Readme:', chr(10), substring(coalesce(content, ''), 1, 300)) AS prompt FROM repos LEFT JOIN readmes ON repos.id = readmes.id""")
+@query("x9_prompts", """SELECT full_name, concat('[', full_name, '] ', description, ' (', language, ', ', replace(topics_text, ' ', ', '), ') ', CAST(stars AS VARCHAR), ' ',
+ CASE WHEN star_velocity > 0 THEN 'rising' WHEN star_velocity < 0 THEN 'declining' ELSE 'stable' END, chr(10), substring(coalesce(content, ''), 1, 300)) AS prompt,
+ 'one of kubernetes, rag, testing, databases, other' AS system FROM repos LEFT JOIN readmes ON repos.id = readmes.id""")
 def _(t):
     readmes = t.repos.select("id", "full_name").join(t.readmes, "id").select("full_name", "content")
-    return classification.prompts(t.repos, readmes, 300).select("full_name", "prompt")
+    user = "[{full_name}] {description} ({language}, {topics}) {stars} {trend}\n{readme}"
+    return classification.prompts(t.repos, readmes, 300, user, "one of {categories}", _CATS).select("full_name", "prompt", "system")
 
 
 def _classified(t):
@@ -284,7 +288,7 @@ def _classified(t):
 
 _ASKED = f"SELECT * FROM repos WHERE {LIVE} AND force_category = '' AND (primary_category = '' OR status IN ('needs_reclassify', 'needs_review') OR (status = 'pending' AND classified_at = ''))"
 _RULE = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(p, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{name}'" for name, words in classification.KEYWORDS.items()) + " ELSE 'other' END"
-_PROMPT = "lower(concat('Repository: ', q.full_name, chr(10), 'Description: ', description, chr(10), 'Language: ', language, chr(10), 'Topics: ', replace(topics_text, ' ', ', '), chr(10), 'Stars: ', CAST(stars AS VARCHAR), ' (trend: ', CASE WHEN star_velocity > 0 THEN 'rising' ELSE 'stable' END, ')', chr(10), 'Readme:', chr(10), substring(coalesce(content, ''), 1, 2000)))"
+_PROMPT = "lower(concat(q.full_name, '; ', language, '; ', replace(topics_text, ' ', ', '), '; ', CAST(stars AS VARCHAR), ', ', CASE WHEN star_velocity > 0 THEN 'rising' ELSE 'stable' END, chr(10), description, chr(10), chr(10), substring(coalesce(content, ''), 1, 2000)))"
 
 
 @query("c7_classified", f"""WITH q AS ({_ASKED}), w AS (SELECT full_name, coalesce(content, '') AS content, {_PROMPT} AS p FROM q LEFT JOIN readmes ON q.id = readmes.id), c AS (SELECT full_name, content, {_RULE} AS category FROM w)

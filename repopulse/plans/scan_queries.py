@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import exprs as x
 from ..functions import taxonomy
-from ..operators import audit, scans
+from ..operators import audit, classification, scans
 from ..operators import discovery as d
 from ..operators import events as ev
 from ..operators import repository as r
-from ..sources import archive
-from ..sources.tables import merge_upsert
+from ..sources import archive, sinks
+from ..sources.tables import merge_upsert, shared_folder
 from ..sources.views import NOW
 from .discovery_queries import _FLAGGED, _TIERS
 from .event_queries import _HOURLY, edge
@@ -169,3 +171,93 @@ def _(t):
     table = taxonomy.legacy(t.spark)
     rows = t.repos.join(F.broadcast(table), F.col("primary_category") == table["slug"], "left")  # 43 fixed rows
     return rows.groupBy(F.coalesce("category", F.lit("other")).alias("category"), F.coalesce("subcategory", F.lit("other")).alias("subcategory")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _written_json(t, rows):
+    """A folder of JSON lines."""
+    folder = f"{shared_folder(t.spark)}/json-{uuid.uuid4().hex}"
+    sinks.write_json(rows, folder)
+    return folder
+
+
+@query("s6_search_results", "SELECT full_name, owner, name, language, stars, forks, CASE WHEN pos % 4 <> 0 THEN created_s END AS created_s, updated_s, len(string_split(topics_text, ' ')) AS topics FROM candidates WHERE source = 'org'")
+def _(t):
+    def at(c):
+        return F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+    c = t.candidates.filter("source = 'org'")
+    rows = c.select("full_name", F.struct(F.col("owner").alias("login")).alias("owner"), "name", "description", "language", F.split("topics_text", " ").alias("topics"), F.col("stars").alias("stargazers_count"),
+                    F.col("forks").alias("forks_count"), F.when(F.col("pos") % 4 == 0, "yesterday").otherwise(at("created_s")).alias("created_at"), at("updated_s").alias("updated_at"), at("pushed_s").alias("pushed_at"))
+    r = archive.read_search(t.spark, _written_json(t, rows))
+    return r.select("full_name", "owner", "name", "language", "stars", "forks", F.unix_timestamp("created_at").alias("created_s"), F.unix_timestamp("updated_at").alias("updated_s"), F.size("topics").cast("long").alias("topics"))
+
+
+@query("s7_flat_nodes", "SELECT full_name, stars, forks, language, len(string_split(topics_text, ' ')) AS topics, merged_prs_7d AS open_prs, CASE WHEN id % 3 <> 0 THEN new_issues_7d ELSE 0 END AS open_issues, contributors FROM repos")
+def _(t):
+    topic = F.transform(F.split("topics_text", " "), lambda s: F.struct(F.struct(s.alias("name")).alias("topic")))
+    count = lambda c: F.struct(F.col(c).alias("totalCount"))
+    rows = t.repos.select(F.col("full_name").alias("nameWithOwner"), F.col("stars").alias("stargazerCount"), F.col("forks").alias("forkCount"), F.when(F.col("language") != "", F.struct(F.col("language").alias("name"))).alias("primaryLanguage"),
+                          F.struct(topic.alias("nodes")).alias("repositoryTopics"), F.when(F.col("id") % 3 != 0, count("new_issues_7d")).alias("issues"), count("merged_prs_7d").alias("pullRequests"), count("contributors").alias("mentionableUsers"))
+    out = archive.flat_nodes(archive.read_jsonl(t.spark, _written_json(t, rows), archive.NODE))
+    return out.select("full_name", "stars", "forks", "language", F.size("topics").cast("long").alias("topics"), "open_prs", "open_issues", "contributors")
+
+
+@query("s9_jsonl", "SELECT id, full_name, growth_score FROM repos WHERE id % 2 = 0")
+def _(t):
+    return archive.read_jsonl(t.spark, _written_json(t, t.repos.filter("id % 2 = 0").select("id", "full_name", "growth_score")), "id bigint, full_name string, growth_score double")
+
+
+@query("s11_json_rows", """SELECT concat('{"full_name":"', full_name, '","stars":', CAST(stars AS VARCHAR), '}') AS value FROM repos""")
+def _(t):
+    return sinks.as_json(t.repos.select("full_name", "stars"))
+
+
+@query("m14_state_tables", """SELECT full_name, stars, forks, star_velocity, 'pending' AS status, CASE WHEN id % 3 = 0 THEN stars + 1 END AS seen, id % 4 = 0 AS known FROM repos""")
+def _(t):
+    entry = F.struct("owner", "name", "stars", "forks", "contributors", "star_velocity")
+    seen = F.when(F.col("id") % 3 == 0, F.struct("full_name", F.struct((F.col("stars") + 1).alias("stars"), F.lit("2024-01-30T00:00:00Z").alias("observed_at"))))
+    known = F.when(F.col("id") % 4 == 0, F.struct("full_name", F.lit(True)))
+    # objects of at most 500 repositories each
+    docs = t.repos.groupBy(F.floor(F.col("id") / 500).alias("part")).agg(
+        F.map_from_entries(F.collect_list(F.struct("full_name", entry))).alias("repos"), F.map_from_entries(F.collect_list(seen)).alias("star_observations"), F.struct(F.map_from_entries(F.collect_list(known)).alias("known_repos")).alias("discovery")
+    )
+    state = archive.read_state(t.spark, _written_json(t, docs.drop("part")), one_a_line=True)
+    out = state["repos"].join(state["star_obs"].select("full_name", F.col("stars").alias("seen")), "full_name", "left").join(state["known"].withColumn("known", F.lit(True)), "full_name", "left")
+    return out.select("full_name", "stars", "forks", "star_velocity", "status", "seen", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+@query("f21b_tracked_lookup", """WITH e AS (SELECT lower(trim(full_name)) AS low, arg_min(full_name, pos) AS entry FROM tracked GROUP BY 1)
+SELECT r.full_name, e.entry, e.entry IS NOT NULL AS is_tracked FROM (SELECT CASE WHEN id % 2 = 0 THEN upper(full_name) ELSE full_name END AS full_name FROM repos) r LEFT JOIN e ON lower(trim(r.full_name)) = e.low""")
+def _(t):
+    names = t.repos.select(F.when(F.col("id") % 2 == 0, F.upper("full_name")).otherwise(F.col("full_name")).alias("full_name"))
+    return scans.tracked_lookup(names, t.tracked)
+
+
+@query("r12_star_cache", """WITH u AS (SELECT full_name, stars, observed_s FROM star_obs UNION ALL SELECT full_name, stars + 3, {NOW} - 3600 FROM repos WHERE id % 5 = 0),
+l AS (SELECT full_name, max(observed_s) AS observed_s FROM u GROUP BY 1)
+SELECT u.full_name, max(u.stars) AS stars, u.observed_s FROM u JOIN l ON u.full_name = l.full_name AND u.observed_s = l.observed_s WHERE {NOW} - u.observed_s < 7 * 86400 GROUP BY 1, 3""")
+def _(t):
+    seen = t.repos.filter("id % 5 = 0").select("full_name", (F.col("stars") + 3).alias("stars"), F.lit(NOW - 3600).cast("long").alias("observed_s"))
+    return scans.star_cache(t.star_obs, seen, NOW)
+
+
+@query("c5_collect_and_apply", """WITH b AS (SELECT full_name, max(stars) AS stars, max(forks) AS forks FROM snapshots GROUP BY 1),
+m AS (SELECT repo_name, count(*) FILTER (WHERE type = 'WatchEvent') AS s, count(*) FILTER (WHERE type = 'ForkEvent') AS f FROM repo_events GROUP BY 1)
+SELECT b.full_name, CASE WHEN hash_free THEN b.stars ELSE m.s END AS stars, CASE WHEN hash_free THEN b.forks ELSE m.f END AS forks, CAST(m.s AS DOUBLE) / 30.0::DOUBLE AS star_velocity
+FROM (SELECT *, forks % 2 = 0 AS hash_free FROM b) b JOIN m ON b.full_name = m.repo_name""")
+def _(t):
+    before = t.snapshots.groupBy("full_name").agg(F.max("stars").alias("stars"), F.max("forks").alias("forks"))
+    found = scans.collect_from_events(t.repo_events, before.select(F.col("full_name").alias("repo_name")), 720)
+    rows = found.select(F.col("repo_name").alias("full_name"), "stars", "forks", F.col("stars_per_day").alias("star_velocity"), "partial")
+    return scans.apply_partial(rows, before.filter("forks % 2 = 0"), ["stars", "forks"]).drop("partial")
+
+
+@query("d2_plugged_classifier", """WITH q AS (SELECT repos.id, full_name FROM repos WHERE excluded = 0 AND force_category = '' AND (primary_category = '' OR status IN ('needs_reclassify', 'needs_review') OR (status = 'pending' AND classified_at = '')))
+SELECT full_name, 'testing' AS category, CASE WHEN length(full_name) % 2 = 0 THEN 0.9::DOUBLE ELSE 0.4::DOUBLE END AS confidence, CASE WHEN length(full_name) % 2 = 0 THEN 'active' ELSE 'needs_review' END AS status FROM q""")
+def _(t):
+    def model(batches):
+        for b in batches:
+            yield b.assign(category="testing", confidence=b["full_name"].str.len().mod(2).map({0: 0.9, 1: 0.4}))[["full_name", "category", "confidence"]]
+
+    readmes = t.repos.select("id", "full_name").join(t.readmes, "id").select("full_name", "content")
+    return classification.classify(t.repos, readmes, classifier=model).select("full_name", "category", "confidence", "status")

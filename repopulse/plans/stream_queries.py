@@ -15,24 +15,74 @@ from .event_queries import _HOURLY
 from .registry import query
 
 
-def _streamed(t):
-    """Streams the events as archive lines.  Each line also names its hour, in place of a file
-    for each hour, whose listing would take longer than the job."""
-    folder = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+def _folder(t):
+    return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _streamed(t, runs=("true",), ledger=None):
+    """Streams the events as archive lines, those of each condition in a run of its own.  Each
+    line also names its hour, in place of a file for each hour, whose listing would take
+    longer than the job."""
+    folder = _folder(t)
     line = F.to_json(F.struct("type", F.struct(F.col("repo_name").alias("name")).alias("repo"), F.date_format("hour", "yyyy-MM-dd-HH").alias("archive")))
-    t.repo_events.select(line.alias("value")).write.text(f"{folder}/archives")
-    lines = t.spark.readStream.format("text").load(f"{folder}/archives")
     hour = x.archive_hour(F.get_json_object("value", "$.archive"))
-    job = ingest.ingest(lines.select("value", hour.alias("hour")), f"{folder}/rollup", f"{folder}/checkpoint", now_s=NOW)
-    job.awaitTermination()
+    for run in runs:
+        t.repo_events.filter(run).select(line.alias("value")).write.mode("append").text(f"{folder}/archives")
+        lines = t.spark.readStream.format("text").load(f"{folder}/archives").select("value", hour.alias("hour"))
+        ingest.ingest(lines, f"{folder}/rollup", f"{folder}/checkpoint", now_s=NOW, ledger=ledger).awaitTermination()
     return t.spark.read.parquet(f"{folder}/rollup")
 
 
+def _counted(t, count, keys, value):
+    """Streams the events table through a windowed count."""
+    folder = _folder(t)
+    t.repo_events.select("repo_name", "type", "created_at").write.parquet(f"{folder}/events")
+    rows = t.spark.readStream.schema("repo_name string, type string, created_at timestamp").parquet(f"{folder}/events")
+    ingest.counted(count(rows), f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
+    return ingest.latest_counts(t.spark, f"{folder}/counts", keys, value)
+
+
 @query("r1_streamed_rollup", f"SELECT * FROM ({_HOURLY}) WHERE hour_s <= {{NOW}} - 5400")
 def _(t):
     return _streamed(t).select("repo_name", F.unix_timestamp("hour").alias("hour_s"), "event_count")
 
 
+@query("r2_tumbling_counts", "SELECT repo_name, type, EPOCH(hour) AS hour_s, count(*) AS n FROM repo_events GROUP BY 1, 2, 3")
+def _(t):
+    return _counted(t, ingest.tumbling_counts, ["window", "repo_name", "type"], "n").select("repo_name", "type", F.unix_timestamp("window.start").alias("hour_s"), "n")
+
+
+@query("r3_sliding_counts", """WITH h AS (SELECT repo_name, EPOCH(hour) AS hour_s, count(*) AS n FROM repo_events GROUP BY 1, 2), w AS (SELECT repo_name, hour_s + 3600 * unnest(generate_series(1, 24)) AS edge_s, n FROM h)
+SELECT repo_name, edge_s, CAST(sum(n) AS BIGINT) AS total FROM w GROUP BY 1, 2""")
+def _(t):
+    return _counted(t, ingest.sliding_counts, ["window", "repo_name"], "total").select("repo_name", F.unix_timestamp("window.end").alias("edge_s"), "total")
+
+
+@query("r4_late_hours", f"SELECT * FROM ({_HOURLY}) WHERE hour_s <= {{NOW}} - 5400")
+def _(t):
+    odd = "CAST(unix_timestamp(hour) / 3600 AS BIGINT) % 2 = 1"
+    return _streamed(t, (odd, f"NOT {odd}")).select("repo_name", F.unix_timestamp("hour").alias("hour_s"), "event_count")
+
+
+@query("r6_retained", f"SELECT repo_name, CAST(sum(event_count) AS BIGINT) AS total FROM ({_HOURLY}) WHERE hour_s >= {{NOW}} - 86400 * 7 AND hour_s <= {{NOW}} - 5400 GROUP BY 1")
+def _(t):
+    return ingest.retained(_streamed(t), NOW, 168).groupBy("repo_name").agg(F.sum("event_count").alias("total"))
+
+
+@query("r8_poison_archives", f"SELECT * FROM ({_HOURLY}) WHERE hour_s <= {{NOW}} - 5400 AND hour_s // 3600 % 5 <> 0")
+def _(t):
+    n = F.when(F.unix_timestamp("hour") / 3600 % 5 == 0, 6).otherwise(4)
+    ledger = t.repo_events.select("hour").distinct().select("hour", F.explode(F.sequence(F.lit(1), n)).alias("run"), (F.col("run") == 1).alias("ok"))
+    return _streamed(t, ledger=ledger).select("repo_name", F.unix_timestamp("hour").alias("hour_s"), "event_count")
+
+
+@query("s16_archive_bytes", "SELECT CAST(sum(length(repo_name) + 1) AS BIGINT) AS bytes FROM repo_events")
+def _(t):
+    folder = _folder(t)
+    t.repo_events.select(F.col("repo_name").alias("value")).write.text(folder)
+    return archive.archive_bytes(t.spark, folder).select("bytes")
+
+
 @query("s1_archive_lines", "SELECT count(*) FILTER (WHERE event_id % 50 <> 0) AS good, count(*) FILTER (WHERE event_id % 50 = 0) AS discarded FROM repo_events")
 def _(t):
     line = F.to_json(F.struct("type", F.struct(F.col("repo_name").alias("name")).alias("repo")))

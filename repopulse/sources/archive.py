@@ -75,9 +75,12 @@ STATE = (
 )
 
 
-def read_state(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables of a JSON state file: repos, observations, known repositories, topic scans."""
-    doc = spark.read.schema(STATE).json(path, multiLine=True)
+def read_state(spark: SparkSession, path: str, one_a_line: bool = False) -> dict[str, DataFrame]:
+    """Tables of JSON state: repos (pending), observations, known repositories, topic scans.
+
+    A state file is one object; a large state comes as many objects, one a line, which are read in parallel.
+    """
+    doc = spark.read.schema(STATE).json(path, multiLine=not one_a_line)
     repos = doc.select(F.explode("repos").alias("full_name", "r")).select("full_name", "r.*").withColumn("status", F.lit("pending"))
     seen = doc.select(F.explode("star_observations").alias("full_name", "o")).select("full_name", "o.stars", x_time(F.col("o.observed_at")).alias("observed_at"))
     known = doc.select(F.explode("discovery.known_repos").alias("full_name", "is_known")).filter("is_known").select("full_name")

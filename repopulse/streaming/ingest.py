@@ -12,23 +12,36 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import exprs as x
 from ..operators import events as ev
+from ..operators.health import failure_runs
 from ..sources import archive, sinks
 from ..sources.tables import merge_upsert
 
 
 def archive_stream(spark: SparkSession, path: str, files_per_batch: int = 24) -> DataFrame:
-    """Lines of hourly archives as they arrive; damaged files are skipped."""
-    lines = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).option("ignoreCorruptFiles", "true").load(path)
+    """Lines of hourly archives as they arrive.
+
+    A damaged file fails its batch, so that nothing of an hour is lost unseen; the ledger
+    of failed runs tells when to skip it (``without_poison``).
+    """
+    lines = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).load(path)
     return lines.select("value", x.archive_hour(F.col("_metadata.file_name")).alias("hour"))
 
 
-def ingest(lines: DataFrame, rollup_path: str, checkpoint: str, now_s: int | None = None, types: list[str] | None = None) -> StreamingQuery:
+def without_poison(lines: DataFrame, ledger: DataFrame, limit: int = 5) -> DataFrame:
+    """Lines without those of archives that have failed ``limit`` runs in a row.  ledger: hour, run, ok."""
+    poison = failure_runs(ledger.withColumnRenamed("hour", "archive"), limit).filter("skipped").select(F.col("archive").alias("hour"))
+    return lines.join(poison, "hour", "left_anti")
+
+
+def ingest(lines: DataFrame, rollup_path: str, checkpoint: str, now_s: int | None = None, types: list[str] | None = None, ledger: DataFrame | None = None) -> StreamingQuery:
     """Writes the hour rollup of new archives and stops when there are none.
 
     The checkpoint moves on only after a batch is written.  Hours are whole files, so a
-    replayed or late hour replaces its partition, and an hour is never added twice.
+    replayed or late hour replaces its partition, and an hour is never added twice.  With
+    a ledger (hour, run, ok), archives that have failed too often are left out.
     """
     def write(batch: DataFrame, _: int) -> None:
+        batch = batch if ledger is None else without_poison(batch, ledger)
         parsed = archive.parse_events(batch).filter("ok AND hour IS NOT NULL")
         if now_s is not None:
             parsed = parsed.filter(x.archive_ready(now_s, F.col("hour")))
@@ -37,6 +50,23 @@ def ingest(lines: DataFrame, rollup_path: str, checkpoint: str, now_s: int | Non
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def counted(counts: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Writes the changed rows of a windowed count, batch by batch; ``latest_counts`` reads them.
+
+    A batch that runs again replaces its own folder.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_counts(spark: SparkSession, folder: str, keys: list[str], value: str) -> DataFrame:
+    """The last value of each key that a windowed count has written."""
+    rows = spark.read.parquet(folder)
+    return rows.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
+
+
 def tumbling_counts(events: DataFrame, delay: str = "24 hours") -> DataFrame:
     """Events of each repository and type an hour; rows later than the delay are dropped."""
     rows = events.withWatermark("created_at", delay)

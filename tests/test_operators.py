@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from repopulse.functions import exprs as x
 from repopulse.functions import taxonomy
 from repopulse.operators import audit, discovery, health, repository, scoring, tiers
+from repopulse.operators import scans
 from repopulse.operators import events as ev
 from repopulse.sources import archive, sinks, tables
 from repopulse.streaming import ingest
@@ -295,10 +296,25 @@ def test_report(spark):
     frame = spark.createDataFrame(repos_with([["x"]] * 5), "full_name string, primary_category string, topics array<string>, confidence double")
     found = audit.cluster_repos(frame)
     lines = values(audit.report(found, audit.per_category(frame, found), audit.share(frame, spark.range(100)), "2024-01-31"), "line")
-    assert lines[2].endswith("[BREACH >3% [CRITICAL]]") and "- `ai/x`: 5 repos. Tokens: x." in lines
+    assert '"gate":"BREACH >3% [CRITICAL]"' in lines[0] and any(x.startswith('{"filed":"ai/x","repo_count":5,"tokens":["x"]') for x in lines)
+    filed = []
+    issues = spark.createDataFrame([("Subcat graduation proposal: ai/x, again", 10)], "title string, created_s long")
+    assert values(audit.audit_other_drift(lambda: (frame, spark.range(100)), lambda d: filed.extend(d.collect()), issues.limit(0), "2024-01-31", 20), "line") == lines
+    assert [r["title"] for r in filed] == ["Subcat graduation proposal: ai/x"]
+    assert audit.not_filed_lately(audit.drafts(found), issues, 20).count() == 0
+    assert audit.draft_repos(found, audit.memberships(frame)).count() == 5
     assert values(audit.drafts(found), "title") == ["Subcat graduation proposal: ai/x"]
     assert sinks.report_name("2024-01-31") == "2024-01.md"
 
 
 def test_fallback_hours(spark):
     assert archive.fallback_hours(spark, NOW, 0.5).count() == 1 and archive.fallback_hours(spark, NOW, 3.9).count() == 3
+
+
+def test_collectors_can_be_plugged(spark):
+    repos = spark.createDataFrame([("a/b",), ("a/b",), ("c/d",)], "repo_name string")
+    found = scans.collect(repos, 24, lambda asked, hours: asked.withColumn("stars", F.lit(hours)))
+    assert sorted((r["repo_name"], r["stars"], r["partial"]) for r in found.collect()) == [("a/b", 24, True), ("c/d", 24, True)]
+    rows = spark.createDataFrame([("a/b", 1, True), ("c/d", 2, True), ("e/f", 3, False)], "full_name string, stars long, partial boolean")
+    before = spark.createDataFrame([("a/b", 9), ("e/f", 9), ("g/h", 9)], "full_name string, stars long")
+    assert sorted((r["full_name"], r["stars"]) for r in scans.apply_partial(rows, before, ["stars"]).collect()) == [("a/b", 9), ("c/d", 2), ("e/f", 3)]
