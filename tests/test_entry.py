@@ -12,7 +12,7 @@ def test_entry_imports_without_the_optional_parts(monkeypatch):
 
     def without(name, globals=None, locals=None, fromlist=(), level=0):
         if name == "corpus_pipeline" or name.startswith("repopulse.llm"):
-            raise ImportError(name)
+            raise ImportError(name, name=name)
         return real(name, globals, locals, fromlist, level)
 
     for name in [n for n in sys.modules if n in ("__spark_entry__", "corpus_pipeline") or n.startswith("repopulse.llm")]:
