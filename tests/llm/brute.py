@@ -141,3 +141,18 @@ def license_places(text):
         at += found
         labels |= {label} if found else set()
     return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
+
+
+def repeats(text, least=8):
+    """Longest repeat of a text in words, and the share of words in repeats of at least ``least`` words."""
+    words = spaced(text)
+    n, longest, hit = len(words), 0, set()
+    for i in range(n):
+        for j in range(i + 1, n):
+            k = 0
+            while j + k < n and words[i + k] == words[j + k]:
+                k += 1
+            if k >= least:
+                longest = max(longest, k)
+                hit |= {*range(i, i + k), *range(j, j + k)}
+    return longest, len(hit) / max(n, 1)

@@ -92,6 +92,24 @@ def test_suffix_structures(seed):
 
 # 1
 
+def test_repetition_verdicts_equal_brute_force():
+    r = random.Random(8)
+    texts = [x for _, x in ROWS if x is None or len(x) < 3000]
+    for i in range(40):
+        words = prose(r.randint(20, 150), 300 + i).split(" ")
+        for _ in range(r.randint(0, 3)):
+            a, n = r.randrange(len(words)), r.randint(5, 40)
+            words += words[a : a + n]
+        texts.append(" ".join(words))
+    got = repetition.repetition_rows(pa.array(texts))
+    for i, text in enumerate(texts):
+        longest, share = brute.repeats(text)
+        assert (got["longest_repeat"][i], round(got["covered_fraction"][i], 12)) == (longest, round(share, 12))
+        n = len(brute.spaced(text))
+        too_much = share > repetition.MAX_COVERED or (longest >= repetition.MIN_LONGEST and longest > repetition.MAX_LONGEST * n)
+        assert got["kept"][i] == (not brute.repetition(text)[-1] and not too_much)
+
+
 def test_repetition(docs, empty):
     got = {}
     for r in repetition.repetition_quality(docs).collect():
@@ -167,6 +185,32 @@ def test_decontamination(spark, docs, empty, block):
     assert decontamination.decontaminate(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_automaton_memory_is_in_proportion_to_its_block():
+    r = random.Random(4)
+    items = [(str(i), " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8))) for _ in range(50))) for i in range(300)]
+    size = decontamination.Passages(items).machine.get_stats()["total_size"]
+    assert size < 80 * sum(len(x) for _, x in items)
+
+
+def test_passages_equal_brute_force():
+    r = random.Random(2)
+    for _ in range(150):
+        items = [(str(i), " ".join(r.choice("abc") for _ in range(r.randint(0, 25)))) for i in range(4)]
+        text = " ".join(r.choice("abc") for _ in range(r.randint(0, 60))) + " " + " ".join(items[1][1].split()[3:17])
+        n, hit, found = decontamination.Passages(items).scan(text)
+        assert (n, int(hit.sum()), len(found)) == brute.decontamination(text, items)[:3]
+
+
+def test_workers_hold_one_thing():
+    t = overlap.t
+    assert t.held("a", lambda: [1]) is t.held("a", lambda: [2])
+    t.held("b", lambda: [3])
+    assert list(t._held) == ["b"]
+    assert list(t.task(lambda batches: iter([1, 2]))(iter([]))) == [1, 2] and not t._held
+    t.held("c", lambda: [4])
+    assert list(t.holding(lambda batches: iter([1]))(iter([]))) == [1] and list(t._held) == ["c"]
+
+
 # 4
 
 def test_kernel_equals_definition():
@@ -197,8 +241,41 @@ def test_toxicity_learns(spark, empty):
     assert toxicity.toxicity_scores(test, empty, labels.limit(0)).count() == 5 and toxicity.toxicity_scores(empty, docs, labels).count() == 0
 
 
+def test_toxicity_with_few_labels(spark):
+    bad, good = ["you idiot", "such a idiot here", "an idiot wrote this", "idiot and idiot"], ["nice day", "a walk in town", "the sun and the sea", "bread with butter"]
+    docs = frame(spark, list(enumerate(bad + good)))
+    labels = spark.createDataFrame([(i, int(i < 4)) for i in range(8)], "doc_id long, toxic int")
+    # clashing extra columns, ties, a very long text
+    test = frame(spark, [(0, "you idiot"), (1, "nice day"), (2, "nice day"), (3, "bread and sea " * 20_000), (4, "the id-iot")]).withColumn("h", F.lit("x")).withColumn("predicted", F.lit("y"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(test, docs, labels).collect()}
+    assert got[0] > 2 * got[1] and got[4] > got[1] and got[1] == got[2] and got[3] < got[0]
+    assert toxicity.drop_toxic(test, docs, labels).columns == test.columns
+
+
+def test_toxicity_trains_on_whole_texts_once(spark):
+    rows = [(i, "copy of a text") for i in range(50)] + [(60, "x" * 30_000 + " end"), (61, "y" * 300_000)] + [(70 + i, f"other {i}") for i in range(9)]
+    labels = spark.createDataFrame([(i, int(i == 60)) for i, _ in rows] + [(60, 0)], "doc_id long, toxic int")
+    got, share = toxicity.training_rows(overlap.t.text_frame(frame(spark, rows), "doc_id", "text"), labels)
+    assert ("x" * 30_000 + " end", 1) in got and len(got) == 11 and share == 1 / 12
+    assert len(toxicity.training_rows(overlap.t.text_frame(frame(spark, rows), "doc_id", "text"), labels, rows=2)[0]) == 3
+
+
+def test_toxicity_of_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.op4_toxicity(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    found = {(r["toxic"], r["predicted"]): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
+    assert found[1, 1] >= 0.9 * (found[1, 1] + found.get((1, 0), 0)) and found.get((0, 1), 0) <= 0.02 * found[0, 0]
+
+
 # 5
 
+def test_near_duplicates_recall(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = tuples(near_duplicates.op5_jaccard_join(spark, "/root/testdata/sf0.01"), "doc_id", "class_id", "n_links")
+    want = sorted(map(list, brute.near_duplicates([(r["doc_id"], r["text"]) for r in docs.collect()])), key=str)
+    assert sum(r[2] for r in got) >= 0.99 * sum(r[2] for r in want) and sum(a != b for a, b in zip(got, want)) <= 5
+
+
 @pytest.mark.parametrize("block", [near_duplicates.BLOCK, 2])
 def test_near_duplicates(docs, empty, monkeypatch, block):
     monkeypatch.setattr(near_duplicates, "BLOCK", block)
