@@ -64,8 +64,8 @@ def token_components(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
 def next_merges(near: list[tuple], after: tuple | None) -> list[tuple]:
     """The next merges (kept, absorbed) of one component in the order of the greedy scan, as far as they are certain.
 
-    The scan takes clusters by rank, and for each the later ones in turn; a cluster absorbs
-    those that overlap enough, and the scan begins anew until none does.  near: (cluster,
+    The scan takes clusters by rank, and for each the later ones in turn; a cluster that has
+    absorbed one looks at all later ones again.  The scan begins anew until nothing merges.  near: (cluster,
     later cluster, their sizes, common) of near clusters, by ranks; after: the last merge.
     """
     size, common, beside = {}, {}, defaultdict(set)
@@ -74,8 +74,8 @@ def next_merges(near: list[tuple], after: tuple | None) -> list[tuple]:
         beside[i].add(j)
         beside[j].add(i)
     ready = sorted((i, j) for (i, j), both in common.items() if both / (size[i] + size[j] - both) >= JACCARD)
-    # what overlaps enough behind the last merge does so since this pass changed it: next pass
-    ready = [x for x in ready if after is not None and x > after] or ready
+    # clusters before the one of the last merge are looked at in the next pass
+    ready = [x for x in ready if after is not None and x[0] >= after[0]] or ready
     out, gone, row = [], set(), None
     for i, j in ready:
         if i == row or i in gone or j in gone:
@@ -85,8 +85,6 @@ def next_merges(near: list[tuple], after: tuple | None) -> list[tuple]:
         row = i
         union = size[i] + size[j] - common[i, j]
         for k in (beside[i] | beside[j]) - gone - {i}:
-            if k < j:
-                continue
             # a pair that isn't near shares less than NEAR of its larger cluster
             share = sum(common.get((min(a, k), max(a, k)), NEAR * max(size[a], size[k])) for a in (i, j))
             share = min(share, size[k])

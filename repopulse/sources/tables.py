@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,20 +13,36 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """This application's part of the cluster's checkpoint folder.
+
+    Where none is set, a temporary folder stands in for it in local mode only: elsewhere
+    executors could not read what the driver names.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = _own.setdefault("folder", _own.get("folder") or tempfile.mkdtemp(prefix="repopulse-"))
-    return folder.rstrip("/")
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = _own.get("folder") or _own.setdefault("folder", tempfile.mkdtemp(prefix="repopulse-"))
+    return f"{folder.rstrip('/')}/repopulse-{context.applicationId}"
 
 
 def written(frame: DataFrame, name: str) -> DataFrame:
-    """Writes a table once and reads it back, which also fixes its rows and cuts its lineage."""
+    """Writes a table once and reads it back, which also fixes its rows and cuts its lineage.
+
+    The table stays until ``clear_written``: results that are not read yet may need it.
+    """
     path = f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return frame.sparkSession.read.parquet(path)
 
 
+def clear_written(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this application, once its results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def merge_upsert(target: DataFrame, source: DataFrame, key: str, update: list[str], insert: dict[str, Column] | None = None) -> DataFrame:
     """Next version of a table: rows of the source replace ``update`` columns of equal keys, others are added.
 

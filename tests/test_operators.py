@@ -121,6 +121,7 @@ def greedy(sets):
                 if len(a & b) / len(a | b) >= audit.JACCARD:
                     found[i], merged = (sorted(found[i][0] + found[j][0]), a | b), True
                     del found[j]
+                    j = i + 1
                 else:
                     j += 1
             i += 1
@@ -318,3 +319,13 @@ def test_collectors_can_be_plugged(spark):
     rows = spark.createDataFrame([("a/b", 1, True), ("c/d", 2, True), ("e/f", 3, False)], "full_name string, stars long, partial boolean")
     before = spark.createDataFrame([("a/b", 9), ("e/f", 9), ("g/h", 9)], "full_name string, stars long")
     assert sorted((r["full_name"], r["stars"]) for r in scans.apply_partial(rows, before, ["stars"]).collect()) == [("a/b", 9), ("c/d", 2), ("e/f", 3)]
+
+
+def test_written_tables_are_cleared(spark):
+    from pathlib import Path
+
+    folder = Path(tables.shared_folder(spark).removeprefix("file:"))
+    assert tables.written(spark.range(3), "three").count() == 3
+    assert folder.exists() and spark.sparkContext.applicationId in folder.name
+    tables.clear_written(spark)
+    assert not folder.exists()
