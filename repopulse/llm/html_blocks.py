@@ -17,13 +17,13 @@ _ATTRIBUTE = re.compile(r"""([^\s"'/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^
 _MAY_HIDE = re.compile(r"hidden|display", re.I)
 _NOT_DISPLAYED = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!\s*important\s*)?(?:;|$)", re.I)
 
-RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "object", "math", "canvas"}
+RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "canvas"}
 #: Of these, the ones whose content is markup: without an end tag they are empty.
-MARKUP = {"noscript", "template", "svg", "object", "math", "canvas"}
+MARKUP = {"noscript", "template", "svg", "canvas"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd",
-    "label", "mark", "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+    "label", "mark", "math", "maction", "menclose", "mfrac", "mi", "mn", "mo", "mover", "mrow", "ms", "msqrt", "mstyle", "msub", "msup", "mtext", "munder", "object", "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
 #: A start tag closes open elements of these names, up to the nearest of the others.
 CLOSES = {
@@ -123,7 +123,7 @@ def blocks(page: str | None) -> list[Block]:
             continue
         rest = m[3] or m[6] or ""
         if tag in RAW:
-            if tag in unclosed or (tag in {"svg", "math"} and self_closed(rest)):
+            if tag in unclosed or (tag == "svg" and self_closed(rest)):
                 continue
             stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             if stop:
@@ -133,7 +133,7 @@ def blocks(page: str | None) -> list[Block]:
             else:
                 at = end
             continue
-        if tag in VOID:
+        if tag in VOID or (tag == "math" and self_closed(rest)):
             continue
         if tag in CLOSES:
             close(*CLOSES[tag])

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 from . import text as t
 
 #: An anchor with more distinct contents than this is compared by window hashes.
@@ -387,13 +388,4 @@ def partitions(frame: DataFrame) -> int:
 
 def kept_in(spark, frame: DataFrame, name: str) -> DataFrame:
     """Writes a table to the cluster's shared checkpoint folder and reads it back."""
-    import tempfile
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:  # tests and single machines
-        folder = getattr(kept_in, "own", None) or tempfile.mkdtemp(prefix="repopulse-")
-        kept_in.own = folder
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.parquet(path)
+    return written(frame, name)
