@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
 and read again as the docs of the next one.  All stages but the last return the columns of
 ``documents``.
+
+Defined cases, the same for all stages: a null or empty text is kept as it is until it is
+packed (a null text as an empty one); a row without an id takes part where texts are
+compared, except in substring dedup, which goes by ids; repeated rows are near copies, of
+which one stays (not so null and empty texts); an empty table gives an empty result; very
+long texts are worked on whole; further columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,29 +25,33 @@ from repopulse.llm.toxicity import drop_toxic, held_out
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity machine doesn't reject; learned from the training fold of the labels."""
+    """Documents that the toxicity machine doesn't reject; learned from the training fold of the labels.
+
+    Without toxic or without clean labels nothing can be learned: all documents get the share of toxic
+    labels as their score.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held = held_out(F.col("doc_id"))
     return drop_toxic(docs, docs.filter(~held), labels.filter(~held))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
+    """One document of each group of near copies: the one with the smallest id (none is smallest), on ties by text hash."""
     return drop_near_duplicates(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of 50 words that stand in a document with a smaller id."""
+    """Documents without passages of 50 words that stand in a document with a smaller id; ``n_chars`` is counted again."""
     return drop_duplicate_passages(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; null and empty items have none."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in token sequences of fixed length."""
+    """The pieces of all documents in token sequences of fixed length; ties in length go by id, tokens and a hash."""
     return pack_documents(docs)
 
 
