@@ -126,7 +126,8 @@ _META = "SELECT full_name, max(stars) AS stars, max(day) AS updated_s FROM snaps
 
 @query("c3_from_events", f"""WITH tt AS ({_TOTALS}), m AS ({_META}), tr AS (SELECT DISTINCT repo_name FROM repo_events WHERE actor_login = 'u13' AND type = 'WatchEvent'),
 r AS (SELECT repo_name AS full_name, total FROM tt WHERE total >= 5 ORDER BY total DESC, repo_name LIMIT 500),
-k AS (SELECT r.full_name, total, m.stars FROM r JOIN m ON r.full_name = m.full_name WHERE regexp_full_match(r.full_name, '[^/]+/[^/]+') AND r.full_name NOT IN (SELECT repo_name FROM tr) AND split_part(r.full_name, '/', 1) <> 'org3'
+o AS (SELECT full_name, CASE WHEN stars % 3 = 0 THEN 1 ELSE 9 END AS seen, {{NOW}} - (stars % 10) * 86400 AS observed_s FROM m WHERE stars % 2 = 0),
+k AS (SELECT r.full_name, total, m.stars FROM r JOIN m ON r.full_name = m.full_name LEFT JOIN o ON r.full_name = o.full_name WHERE NOT coalesce(seen < 3 AND {{NOW}} - observed_s < 7 * 86400, false) AND regexp_full_match(r.full_name, '[^/]+/[^/]+') AND r.full_name NOT IN (SELECT repo_name FROM tr) AND split_part(r.full_name, '/', 1) <> 'org3'
   AND m.stars >= 3 AND {{NOW}} - m.updated_s <= 365 * 86400),
 c AS (SELECT * FROM k ORDER BY total DESC, full_name LIMIT 60), b AS (SELECT min(total) AS lo, max(total) AS hi, count(*) AS n FROM c)
 SELECT full_name, total, stars, CASE WHEN n = 1 OR hi = lo THEN 50.0::DOUBLE ELSE floor(CAST(total - lo AS DOUBLE) / CAST(hi - lo AS DOUBLE) * 100.0::DOUBLE * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE END AS normalized FROM c, b""")
@@ -135,9 +136,10 @@ def _(t):
     tracked = events.filter("actor_login = 'u13' AND type = 'WatchEvent'").select(F.col("repo_name").alias("full_name")).distinct()
     banned = _names(t, "pattern", ["org3/*", "org99/*"])
     meta = t.snapshots.groupBy("full_name").agg(F.max("stars").alias("stars"), F.max("day").alias("updated_s"))
-    none = t.star_obs.limit(0)
+    seen = F.when(F.col("stars") % 3 == 0, 1).otherwise(9).cast("long").alias("stars")
+    seen = meta.filter("stars % 2 = 0").select("full_name", seen, (F.lit(NOW) - (F.col("stars") % 10) * x.DAY).alias("observed_s"))
     totals = ev.window_totals(ev.hour_counts(events), edge(), WEEK)
-    return d.from_events(totals, tracked, banned, meta, none, NOW, floor=5, star_gate=3, cap=60).select("full_name", "total", "stars", "normalized")
+    return d.from_events(totals, tracked, banned, meta, seen, NOW, floor=5, star_gate=3, cap=60).select("full_name", "total", "stars", "normalized")
 
 
 @query("a18_dedup_ratio", """WITH n AS (SELECT count(*) AS total, count(*) FILTER (WHERE full_name IN (SELECT full_name FROM tracked)) AS dropped FROM candidates)

@@ -103,7 +103,9 @@ def _(t):
     return b.select("id", F.col("primary_category_legacy").alias("legacy"), F.col("primary_category").alias("category"), F.col("primary_subcategory").alias("subcategory"), "needs_review", F.col("classification_refusal_reason").alias("refusal"))
 
 
-@query("a32_orphan_guard", "SELECT CAST(0 AS BIGINT) AS orphans FROM repos LIMIT 1")
+@query("a32_orphan_guard", f"""WITH lg(slug, c, s) AS (VALUES {_LEGACY}), b AS (SELECT excluded, CASE WHEN primary_subcategory = '' THEN coalesce(c, 'other') ELSE primary_category END AS category,
+ CASE WHEN primary_subcategory = '' THEN coalesce(s, 'other') ELSE primary_subcategory END AS subcategory FROM repos LEFT JOIN lg ON primary_category = slug)
+SELECT count(*) FILTER (WHERE excluded = 0 AND (category = '' OR subcategory = '')) AS orphans FROM b""")
 def _(t):
     return r.orphan_guard(r.backfill(t.repos))
 
@@ -303,10 +305,12 @@ def _(t):
     return r.store_classification(t.repos, _classified(t), 0.6).select("full_name", F.col("primary_category").alias("category"), "status")
 
 
-@query("a29_classification_summary", f"""WITH q AS ({_ASKED}), w AS (SELECT full_name, {_PROMPT} AS p FROM q LEFT JOIN readmes ON q.id = readmes.id), c AS (SELECT {_RULE} AS category FROM w)
-SELECT count(*) AS total, count(*) FILTER (WHERE category <> 'other') AS classified, count(*) FILTER (WHERE category = 'other') AS needs_review, CAST(0 AS BIGINT) AS failed, 'success' AS result FROM c""")
+@query("a29_classification_summary", f"""WITH q AS ({_ASKED}), w AS (SELECT full_name, {_PROMPT} AS p FROM q LEFT JOIN readmes ON q.id = readmes.id), c AS (SELECT full_name, {_RULE} AS category, length(full_name) % 5 = 0 AS bad FROM w),
+n AS (SELECT count(*) AS total, count(*) FILTER (WHERE NOT bad AND category <> 'other') AS classified, count(*) FILTER (WHERE NOT bad AND category = 'other') AS needs_review, count(*) FILTER (WHERE bad) AS failed FROM c)
+SELECT *, CASE WHEN failed = 0 THEN 'success' WHEN classified > 0 THEN 'partial' ELSE 'failed' END AS result FROM n""")
 def _(t):
-    return classification.summary(_classified(t))
+    bad = F.length("full_name") % 5 == 0  # a classifier that gives nothing for some
+    return classification.summary(_classified(t).withColumns({k: F.when(~bad, F.col(k)) for k in ("category", "status")}))
 
 
 _MEMBERS = "SELECT DISTINCT unnest(string_split(lower(topics_text), ' ')) AS token, full_name, primary_category AS category, category_confidence AS confidence FROM repos"

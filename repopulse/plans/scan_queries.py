@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as x
@@ -31,15 +32,25 @@ def _(t):
     return scans.recent_activity(listed, NOW)
 
 
-@query("f18_nested_activity", f"""SELECT repo_name AS full_name, count(*) FILTER (WHERE type = 'PullRequestEvent' AND merged AND created_at > to_timestamp({{NOW}} - {WEEK})::TIMESTAMP) AS merged_prs_7d,
- count(*) FILTER (WHERE type = 'IssuesEvent' AND created_at > to_timestamp({{NOW}} - {WEEK})::TIMESTAMP) AS new_issues_7d, false AS truncated FROM repo_events GROUP BY 1""")
+@query("f18_nested_activity", f"""WITH r AS (SELECT *, row_number() OVER w AS nth, count(*) OVER (PARTITION BY repo_name, type) AS n FROM repo_events WHERE type IN ('PullRequestEvent', 'IssuesEvent') WINDOW w AS (PARTITION BY repo_name, type ORDER BY created_at DESC, event_id DESC)),
+p AS (SELECT *, created_at > to_timestamp({{NOW}} - {WEEK})::TIMESTAMP AS fresh FROM r WHERE nth <= 5)
+SELECT repo_name AS full_name, count(*) FILTER (WHERE type = 'PullRequestEvent' AND merged AND fresh) AS merged_prs_7d, count(*) FILTER (WHERE type = 'IssuesEvent' AND fresh) AS new_issues_7d, bool_or(nth = 5 AND n > 5 AND fresh) AS truncated FROM p GROUP BY 1""")
 def _(t):
-    pr = F.when(F.col("type") == "PullRequestEvent", F.struct(F.when(F.col("merged"), F.col("created_at")).alias("mergedAt"), F.col("created_at").alias("updatedAt")))
-    issue = F.when(F.col("type") == "IssuesEvent", F.struct(F.col("created_at").alias("createdAt")))
-    page = F.struct(F.lit(False).alias("hasNextPage"))
-    nodes = t.repo_events.groupBy(F.col("repo_name").alias("nameWithOwner")).agg(F.collect_list(pr).alias("p"), F.collect_list(issue).alias("i"))
-    nodes = nodes.select("nameWithOwner", F.struct(F.col("p").alias("nodes"), page.alias("pageInfo")).alias("recentMergedPRs"), F.struct(F.col("i").alias("nodes"), page.alias("pageInfo")).alias("recentIssues"))
-    out = archive.nested_activity(nodes, edge())
+    size = 5  # a page; what is behind it is only known to be there
+    w = Window.partitionBy("repo_name", "type").orderBy(F.desc("created_at"), F.desc("event_id"))
+    rows = t.repo_events.filter("type IN ('PullRequestEvent', 'IssuesEvent')").withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= size + 1)
+    here = F.col("nth") <= size
+
+    def page(kind: str, *fields):
+        items = F.sort_array(F.collect_list(F.when(here & (F.col("type") == kind), F.struct("nth", *fields))))
+        more = F.count_if(~here & (F.col("type") == kind)) > 0
+        return F.struct(items.alias("nodes"), F.struct(more.alias("hasNextPage")).alias("pageInfo"))
+
+    merged = F.when(F.col("merged"), F.col("created_at")).alias("mergedAt")
+    nodes = rows.groupBy(F.col("repo_name").alias("nameWithOwner")).agg(
+        page("PullRequestEvent", merged, F.col("created_at").alias("updatedAt")).alias("recentMergedPRs"), page("IssuesEvent", F.col("created_at").alias("createdAt")).alias("recentIssues")
+    )
+    out = archive.nested_activity(nodes, edge(), size)
     return out.withColumns({k: F.col(k).cast("long") for k in ("merged_prs_7d", "new_issues_7d")})
 
 

@@ -117,7 +117,7 @@ def flat_nodes(nodes: DataFrame) -> DataFrame:
     )
 
 
-def nested_activity(nodes: DataFrame, now) -> DataFrame:
+def nested_activity(nodes: DataFrame, now, page_size: int = PAGE) -> DataFrame:
     """Merged pull requests and new issues of a week from nested pages, and whether a page was cut short.
 
     A full page with a next one is cut short if its last element is still inside the week;
@@ -128,7 +128,7 @@ def nested_activity(nodes: DataFrame, now) -> DataFrame:
 
     def cut(items, page, time: str):
         tail = F.try_element_at(items, F.lit(-1))[time]
-        return F.coalesce((F.size(items) >= PAGE) & page["hasNextPage"] & (tail > week), F.lit(False))
+        return F.coalesce((F.size(items) >= page_size) & page["hasNextPage"] & (tail > week), F.lit(False))
 
     return nodes.select(
         F.col("nameWithOwner").alias("full_name"),
