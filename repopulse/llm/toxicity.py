@@ -42,6 +42,7 @@ from __future__ import annotations
 import copy
 import re
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -156,10 +157,10 @@ class Landmarks:
         self.column = np.full(LETTERS**3, len(self.keys), np.int32)
         self.column[self.keys] = np.arange(len(self.keys))
 
-    def kernel(self, words: list[bytes]) -> np.ndarray:
+    def kernel(self, words: list[bytes], out: np.ndarray | None = None) -> np.ndarray:
         """Normalised kernel of each word with each landmark."""
         by_key = np.vstack([self.base.T, np.zeros(len(self.base))]).astype(np.float32)
-        out = np.zeros((len(words), len(self.base)), np.float32)
+        out = np.zeros((len(words), len(self.base)), np.float32) if out is None else out
         for index, codes in coded(words).values():
             for i in range(0, len(index), 2000):
                 some = codes[i : i + 2000]
@@ -218,11 +219,11 @@ class Model:
     def _machine(self, rows: list[tuple[str, int]]) -> None:
         """Weights and bias from labelled sentences."""
         number: dict[bytes, int] = {}
-        sides: tuple[dict, dict] = {}, {}  # different sentences, as sets of words, and the documents that hold them
+        sides: tuple[dict, dict] = {}, {}  # different sentences, as sorted word numbers, and the documents that hold them
         for doc, (text, y) in enumerate(rows):
             for s in map(units, _SENTENCE.split(text)):
-                if ids := frozenset(number.setdefault(w, len(number)) for w in s if len(w) > 2):
-                    sides[int(y)].setdefault(ids, []).append(doc)
+                if ids := {number.setdefault(w, len(number)) for w in s if len(w) > 2}:
+                    sides[int(y)].setdefault(array("i", sorted(ids)).tobytes(), []).append(doc)
         clean_rows, toxic_rows = sides
         for ids in toxic_rows.keys() & clean_rows.keys():
             del toxic_rows[ids]  # stands in clean text too
@@ -230,10 +231,9 @@ class Model:
             self.trained = False
             return
         words, n = list(number), len(number)
-        in_clean = np.bincount(np.fromiter((i for s in clean_rows for i in s), np.int64), minlength=n)
-        in_toxic = np.bincount(np.fromiter((i for s in toxic_rows for i in s), np.int64), minlength=n)
-        sentence = np.repeat(np.arange(len(toxic_rows)), [len(s) for s in toxic_rows])
-        member = np.fromiter((i for s in toxic_rows for i in s), np.int64)
+        member = np.frombuffer(b"".join(toxic_rows), np.int32).astype(np.int64)
+        sentence = np.repeat(np.arange(len(toxic_rows)), [len(s) // 4 for s in toxic_rows])
+        in_clean, in_toxic = np.bincount(np.frombuffer(b"".join(clean_rows), np.int32), minlength=n), np.bincount(member, minlength=n)
         doc_of = [(k, doc) for k, docs in enumerate(toxic_rows.values()) for doc in docs]
         of_sentence, of_doc = np.array(doc_of, np.int64).T
         # to begin with, a sentence's most toxic word is the one that speaks most for toxic sentences
@@ -243,7 +243,9 @@ class Model:
         chosen = list(dict.fromkeys([*by[: LANDMARKS // 2].tolist(), *np.argsort(-in_clean, kind="stable").tolist()]))[:LANDMARKS]
         clean = np.flatnonzero(in_clean)
         landmarks = Landmarks([words[i] for i in chosen])
-        kernel = landmarks.kernel(words)
+        # one table with room for the landmarks to come: nothing of its size is made twice
+        kernel = np.zeros((n, len(chosen) + HARD), np.float32)
+        landmarks.kernel(words, kernel[:, : len(chosen)])
         half = _groups(list(toxic_rows.values()))
         margin = np.stack([margin, margin])
         toxic = np.ones(len(toxic_rows), bool)
@@ -271,7 +273,7 @@ class Model:
             gram, vec = np.linalg.eigh(landmarks.base @ landmarks.base.T)
             ok = gram > 1e-5
             fold = (vec[:, ok] / np.sqrt(gram[ok])).astype(np.float32)  # Nystroem map: kernel with the landmarks -> vector
-            x = kernel @ fold
+            x = kernel[:, : len(chosen)]
             machines = []
             for used in (toxic & (half == 0), toxic & (half == 1)) if step < ROUNDS else (toxic,):
                 used = used if used.any() else toxic
@@ -280,17 +282,17 @@ class Model:
                 side = np.r_[np.ones(len(bad)), -np.ones(len(clean))]
                 weight = np.r_[np.minimum(stands[bad], 50), np.minimum(in_clean[clean], 200)].astype(float)
                 weight[side > 0] *= 0.1 * (weight[side < 0].sum() + 1) / max(weight[side > 0].sum(), 1e-9)
-                machines.append(squared_hinge(x, np.r_[bad, clean], side, weight))
+                machines.append(squared_hinge(x, fold, np.r_[bad, clean], side, weight))
             if step == ROUNDS:
                 break
-            margin = np.stack([x @ coef + bias for coef, bias in machines])
+            margin = np.stack([x @ (fold @ coef.astype(np.float32)) + bias for coef, bias in machines])
             # clean words that are told apart worst become landmarks too
             worst = clean[np.argsort(-(np.maximum(0, 1 + margin.mean(0)[clean]) * np.minimum(in_clean[clean], 200)), kind="stable")[: HARD // ROUNDS]]
             new = [i for i in worst.tolist() if i not in set(chosen)]
+            if new:
+                Landmarks([words[i] for i in new]).kernel(words, kernel[:, len(chosen) : len(chosen) + len(new)])
             chosen += new
             landmarks = Landmarks([words[i] for i in chosen])
-            if new:
-                kernel = np.c_[kernel, Landmarks([words[i] for i in new]).kernel(words)]
         coef, self.bias = machines[0]
         self.weights[landmarks.keys] = landmarks.base.T @ (fold @ coef)
 
@@ -378,18 +380,18 @@ def kernel_tokens(column: pa.Array) -> t.Tokens:
     return t.Tokens((low[kept], at[off]))
 
 
-def squared_hinge(x: np.ndarray, index: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 4.0) -> tuple[np.ndarray, float]:
-    """Primal L2 support vector machine on the rows ``index`` of x, by Newton steps over its active rows."""
-    w = np.zeros(x.shape[1] + 1)
+def squared_hinge(kernel: np.ndarray, fold: np.ndarray, index: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 4.0) -> tuple[np.ndarray, float]:
+    """Primal L2 support vector machine on the rows ``index`` of ``kernel @ fold``, by Newton steps over its active rows."""
+    w = np.zeros(fold.shape[1] + 1)
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
     c = cost * weight / weight.mean()
     for turn in range(50):
-        active = np.flatnonzero(y * (x[index] @ w[:-1].astype(np.float32) + w[-1]) < 1)
+        active = np.flatnonzero(y * ((kernel @ (fold @ w[:-1].astype(np.float32)))[index] + w[-1]) < 1)
         gram, target = ridge.copy(), np.zeros(len(w))
         for i in range(0, len(active), 5000):
             some = active[i : i + 5000]
-            part = np.c_[x[index[some]], np.ones(len(some), np.float32)].astype(float)
+            part = np.c_[kernel[index[some]] @ fold, np.ones(len(some), np.float32)].astype(float)
             gram += 2 * (part.T * c[some]) @ part
             target += 2 * (part.T * c[some]) @ y[some]
         new = np.linalg.solve(gram, target)

@@ -6,6 +6,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from repopulse.llm.overlap import kept_in
@@ -79,3 +80,28 @@ def test_run_gives_the_last_stage(spark, steps):
     key = ["doc_id", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, steps[5].select(key).collect()))
     assert "corpus_pipeline" in sys.modules
+
+
+def test_defined_cases_of_each_stage(spark, tmp_path):
+    from .test_operators import BASE, ROWS, SCHEMA, prose
+
+    insult = prose(30, 400) + " you idiot, what a moron and clown " + prose(10, 401)
+    rows = [*[(i, x) for i, x in ROWS if i != 13], (30, insult), (31, prose(70_000, 402)), (32, None), (32, "")]
+    train = [(100 + i, prose(40, 500 + i) + (" idiot moron clown" if i % 4 == 0 else "")) for i in range(80)]
+    docs = spark.createDataFrame([(i, x, None, None, None) for i, x in rows + train], SCHEMA).withColumn("tag", F.lit("clash"))
+    spark.createDataFrame([(100 + i, None, int(i % 4 == 0)) for i in range(80)] + [(None, 1, 1), (101, 0, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("a", " ".join(prose(200, 7).split(" ")[3:20])), ("b", None), (None, "")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = kept_in(spark, stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == [*SCHEMA.replace(",", "").split(" ")[::2], "tag"]
+        kept[name] = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert 30 not in dict(kept["toxicity"]) and 31 in dict(kept["toxicity"])
+    near = kept["jaccard_join"]
+    assert [x for i, x in near if i == 32] in ([None, ""], ["", None]) and sum(i == 7 for i, _ in near) == 1 and sum(x == BASE for _, x in near) == 1
+    assert 7 not in dict(kept["decontamination"]) and 31 in dict(kept["decontamination"])
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).toPandas()
+    assert (last.groupby("sequence_id").length.sum() <= 1024).all() and set(last.doc_id.dropna().astype(int)) == {i for i, _ in kept["decontamination"] if i is not None}
+    empty = spark.createDataFrame([], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
