@@ -13,7 +13,9 @@ A popular subtrie is worked on in blocks of bounded size, and a block gives one
 each member, never its pairs: a forest of links between signatures that look alike.  The
 components of these links are the groups to verify.  Each group's shingle sets are then
 compared exactly, again in blocks, which gives the number of links of each member and a
-forest of true links, whose components are the classes.
+forest of true links, whose components are the classes.  In a large group members are
+measured against a pivot first; those near to it are linked with one another for certain,
+and only the others are compared with all.
 
 ``n_links`` counts the other documents at or above the threshold, copies included.
 ``class_id`` is the smallest id of a document's class.
@@ -46,8 +48,9 @@ DEPTH = 8
 #: Bits of a minimum in a path; a path is one number.
 STEP = 8
 RECALL = 0.9997
-#: Members of a block; a block compares all its members.
+#: Members of a block, and their shingles; a block compares all its members.
 BLOCK = 256
+BLOCK_SHINGLES = 500_000
 #: Signatures that agree in this share belong to one group to verify: five standard
 #: deviations below the threshold.
 LOOKS_ALIKE = 0.62
@@ -105,9 +108,9 @@ def _sketch(least: int, size: int):
             at[has] = np.arange(len(has))
             pick = pa.array(at, mask=at < 0)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array(node.view(np.int64)).take(pick), pa.array([x.tobytes() for x in short], pa.binary()).take(pick),
+                [part.column(0), part.column(2), pa.array(node.view(np.int64)).take(pick), pa.array(n[has]).take(pick), pa.array([x.tobytes() for x in short], pa.binary()).take(pick),
                  *(pa.array(list(x.view(np.int64)), pa.list_(pa.int64())).take(pick) for x in (roots, paths))],
-                ["doc_id", "tag", "node", "sign", "roots", "paths"],
+                ["doc_id", "tag", "node", "n", "sign", "roots", "paths"],
             )
 
     return run
@@ -129,19 +132,23 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def blocks(rows: DataFrame, compare: Callable[[list[dict], np.ndarray], np.ndarray], sizes: DataFrame, schema: str, emit, order: str = "node") -> DataFrame:
+def dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows with their part of the bucket (``own``) and the parts to compare it with.  sizes: bucket, parts."""
+    rows = rows.join(sizes.select("bucket", "parts"), "bucket")
+    own = F.pmod(F.xxhash64("node", "bucket"), F.col("parts").cast("long")).cast("int")
+    return rows.withColumn("own", own).withColumn("others", F.sequence(F.lit(0), F.col("parts") - 1)).drop("parts")
+
+
+def blocks(rows: DataFrame, compare: Callable[[list[dict], np.ndarray], np.ndarray], schema: str, emit, order: str = "node") -> DataFrame:
     """Compares the members of each bucket with each other, block by block.
 
-    rows: bucket, node and data; sizes: bucket, size.  A bucket of up to ``BLOCK``
-    members is one block; a larger one is cut by hash, and each pair of its parts is a
-    block.  ``compare`` gives which members of a block are linked (a square matrix), where
-    it is asked for (another one), ``emit`` the rows of a block, whose members are in ``order``.
+    rows: bucket, node, data, own and others.  A bucket is cut into parts by hash, and each
+    pair of parts that is asked for is a block.  ``compare`` gives which members of a block
+    are linked (a square matrix), where it is asked for (another one), ``emit`` the rows of
+    a block, whose members are in ``order``.
     """
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", "bucket"), parts.cast("long")).cast("int")
-    rows = rows.join(sizes, "bucket").withColumn("own", own)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).drop("other", "size")
+    rows = rows.withColumn("other", F.explode("others")).drop("others")
+    rows = rows.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).drop("other")
     rows = rows.repartition(o.partitions(rows), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,6 +256,52 @@ def _counts(group: list[dict], linked: np.ndarray) -> list[tuple]:
     return [(r["node"], group[k]["node"], n) for r, k, n in zip(group, root.tolist(), links.tolist(), strict=True) if n]
 
 
+def _near_pivot(threshold: float):
+    """Whether a set is so near to its group's pivot that it is linked with all others that are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                core = []
+                for data, pivot in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
+                    a, b = np.frombuffer(data, np.uint64), np.frombuffer(pivot, np.uint64)
+                    common = len(np.intersect1d(a, b, assume_unique=True))
+                    core.append(2 * common >= (1 + threshold) * (len(a) + len(b) - common) + 1e-9 or data == pivot)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(core)], ["node", "bucket", "times", "data", "core"])
+
+    return run
+
+
+def large_groups(sets: DataFrame, groups: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Links of large groups that follow from the distances to a pivot, and the members dealt to blocks for the rest.
+
+    One minus the Jaccard similarity is a metric: two sets that are both within half the
+    allowed distance of the pivot are near copies.  These, the core, need no comparison
+    with each other, so a group of close copies costs one comparison a member.  groups:
+    bucket, pivot (the member with most copies).
+    """
+    spark = sets.sparkSession
+    rows = sets.join(groups.select("bucket", "pivot"), "bucket")
+    pivots = o.kept_in(spark, rows.filter("node = pivot").select("bucket", F.col("data").alias("pivot_data")), "pivots")
+    measured = rows.join(pivots, "bucket").select("node", "bucket", "times", "data", "pivot_data")
+    found = o.kept_in(spark, measured.mapInArrow(t.task(_near_pivot(threshold)), "node long, bucket long, times long, data binary, core boolean"), "measured")
+
+    def parts(of):
+        n, size = F.count_if(of), F.coalesce(F.sum(F.when(of, F.octet_length("data"))), F.lit(0))
+        return F.ceil(F.greatest(n / BLOCK, size / (8 * BLOCK_SHINGLES))).cast("int")
+
+    core = F.col("core")
+    tally = found.groupBy("bucket").agg(parts(core).alias("cores"), parts(~core).alias("rest"), F.sum(F.when(core, F.col("times"))).alias("documents"))
+    found = found.join(o.kept_in(spark, tally.join(groups.select("bucket", "pivot"), "bucket"), "tally"), "bucket")
+    links = found.filter(core & (F.col("documents") > F.col("times"))).select(F.col("node").alias("a"), F.col("pivot").alias("b"), (F.col("documents") - F.col("times")).alias("links"))
+    deal = F.xxhash64("node", "bucket")
+    own = F.when(core, F.pmod(deal, F.col("cores"))).otherwise(F.col("cores") + F.pmod(deal, F.greatest("rest", F.lit(1)))).cast("int")
+    first = F.when(core, F.col("cores")).otherwise(0)
+    members = found.filter("rest > 0").withColumn("own", own).withColumn("others", F.sequence(first, F.col("cores") + F.col("rest") - 1))
+    return links, members.select("node", "bucket", "times", "data", "own", "others")
+
+
 def near_duplicate_rows(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """Per row (doc_id, tag, node), and per node its class, links, copies, first row and class id.
 
@@ -256,23 +309,27 @@ def near_duplicate_rows(docs: DataFrame, threshold: float = THRESHOLD, size: int
     """
     spark = docs.sparkSession
     least = prefix_length(threshold)
-    sketch = "doc_id long, tag long, node long, sign binary, roots array<long>, paths array<long>"
+    sketch = "doc_id long, tag long, node long, n long, sign binary, roots array<long>, paths array<long>"
     rows = o.kept_in(spark, docs.select("doc_id", "text", "tag").mapInArrow(t.task(_sketch(least, size)), sketch), "sketches")
     nodes = o.kept_in(
         spark,
         rows.filter("node IS NOT NULL").groupBy("node").agg(
             F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "tag")).alias("first"), F.min("doc_id").alias("least_id"),
-            F.first("sign").alias("sign"), F.first("roots").alias("roots"), F.first("paths").alias("paths"),
+            F.first("n").alias("n"), F.first("sign").alias("sign"), F.first("roots").alias("roots"), F.first("paths").alias("paths"),
         ),
         "nodes",
     )
     keyed = nodes.select("node", F.explode(F.arrays_zip("roots", "paths")).alias("at")).select("node", F.col("at.roots").alias("bucket"), F.col("at.paths").alias("path"))
-    sizes = o.kept_in(spark, keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
+    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
+    sizes = o.kept_in(spark, sizes, "sizes")
     signs = nodes.select("node", F.col("sign").alias("data"))
-    alike = blocks(keyed.join(sizes.select("bucket"), "bucket", "left_semi").join(signs, "node"), _climb(least), sizes, "a long, b long", _forest, "path")
-    groups = components(alike)
-    members = o.kept_in(spark, groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")).select(F.col("component").alias("bucket"), "size"), "sizes")
-    wanted = groups.join(nodes.select("node", "times", "first"), "node").select("node", "component", "times", "first.doc_id", "first.tag")
+    met = keyed.join(sizes.select("bucket"), "bucket", "left_semi").join(signs, "node")
+    groups = components(blocks(dealt(met, sizes), _climb(least), "a long, b long", _forest, "path"))
+    groups = o.kept_in(spark, groups.join(nodes.select("node", "times", "n", "first"), "node"), "groups")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    members = groups.groupBy(F.col("component").alias("bucket")).agg(parts.alias("parts"), F.max_by("node", F.struct("times", "node")).alias("pivot"))
+    members = o.kept_in(spark, members, "members")
+    wanted = groups.select("node", "component", "times", "first.doc_id", "first.tag")
     texts = docs.alias("d").join(wanted.alias("w"), o.same_row("d", "w")).select("d.text", "w.node", "w.component", "w.times").dropDuplicates(["node"])
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +339,16 @@ def near_duplicate_rows(docs: DataFrame, threshold: float = THRESHOLD, size: int
             yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), pa.array(data, pa.binary())], ["node", "bucket", "times", "data"])
 
     sets = texts.mapInArrow(t.task(shingled), "node long, bucket long, times long, data binary")
-    links = o.kept_in(spark, blocks(sets, _verified(threshold), members, "a long, b long, links long", _counts), "links")
+    counted = "a long, b long, links long"
+    large = members.filter("parts > 1")
+    if large.take(1):
+        sets = o.kept_in(spark, sets, "sets")
+        known, rest = large_groups(sets, large, threshold)
+        todo = dealt(sets, members.filter("parts = 1")).select("node", "bucket", "times", "data", "own", "others").unionByName(rest)
+        links = known.unionByName(blocks(todo, _verified(threshold), counted, _counts))
+    else:
+        links = blocks(dealt(sets, members), _verified(threshold), counted, _counts)
+    links = o.kept_in(spark, links, "links")
     classes = components(links.select("a", "b"))
     counts = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     per_node = (

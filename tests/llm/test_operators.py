@@ -289,6 +289,15 @@ def test_near_duplicates(docs, empty, monkeypatch, block):
     assert kept.count() == len(classes)
 
 
+@pytest.mark.parametrize("block", [4, 16])
+def test_near_duplicates_of_large_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    base, other = prose(400, 700), prose(300, 701)
+    rows = [(i, near(base, i, i % 5)) for i in range(40)] + [(40 + i, near(base, 40 + i, 9)) for i in range(12)] + [(60 + i, near(other, i, 6)) for i in range(10)] + [(80, base), (81, base)]
+    got = tuples(near_duplicates.near_duplicates(frame(spark, rows)), "doc_id", "class_id", "n_links")
+    assert got == sorted(map(list, brute.near_duplicates(rows)), key=str)
+
+
 def test_prefix_length():
     assert near_duplicates.prefix_length(0.8) == 4 and near_duplicates.prefix_length(0.99) == 8
     with pytest.raises(ValueError):
