@@ -7,9 +7,11 @@ logarithmic time.  Documents are dealt at random into groups of bounded size and
 group is packed by itself, so groups run in parallel and no task sees the corpus.
 
 Defined cases: a null text is empty and holds the closing id only; equal rows and rows
-without an id are packed like any other (equal rows are spread over groups); an empty
-table gives an empty result; other columns are ignored.  Ids of a special token's string
-inside a text are what the tokenizer library gives by default.
+without an id are packed like any other (equal rows are spread over groups); ties in
+length go by id, tokens and a hash; a very long text is tokenised whole, in memory in
+proportion to it; an empty table gives an empty result; other columns are ignored, whatever
+their names.  Ids of a special token's string inside a text are what the tokenizer library
+gives by default.
 """
 
 from __future__ import annotations

@@ -14,8 +14,10 @@ a suffix array of its own.
 place); without it, every string that occurs elsewhere goes, the first one too.
 
 Defined cases: a null text is empty; texts shorter than ``WINDOW`` bytes keep all; rows
-without an id and repeated rows are documents like others; removal may cut a character
-in two, so the kept bytes are hashed, not decoded.
+without an id and repeated rows are documents like others, ties of ``keep_first`` go as
+said; removal may cut a character in two, so the kept bytes are hashed, not decoded; a very
+long text is one row of many segments, read in memory in proportion to it; other columns
+are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
