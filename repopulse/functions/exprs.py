@@ -222,6 +222,11 @@ def used_ratio(limit: Column, remaining: Column) -> Column:
     return F.when(limit != 0, F.greatest(F.lit(0.0), F.lit(1.0) - double(remaining) / double(limit)))
 
 
+def reset_seconds(reset_s: Column, now_s: int) -> Column:
+    """Seconds until a budget is full again, none below 0."""
+    return F.greatest(F.lit(0), reset_s - F.lit(now_s))
+
+
 def listing_status(tracked: Column, excluded: Column, auto: Column) -> Column:
     return F.when(tracked, "tracked").when(excluded, "excluded").when(auto, "auto-track").otherwise("new")
 

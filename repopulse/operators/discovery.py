@@ -6,7 +6,7 @@ forks, created_s, updated_s, pushed_s.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as x
@@ -38,6 +38,22 @@ def by_language(candidates: DataFrame, languages: DataFrame, windows: list[int],
     return _first(found, "step", F.desc("updated_s"))
 
 
+#: Order of the sources in a search plan.
+STEPS = {"topic": 1, "org": 2, "language": 3, "events": 4}
+
+
+def step_label(source: Column, topic: Column, owner: Column, language: Column, days: int) -> Column:
+    """Name of a search step: what its source is asked for."""
+    pushed = F.concat(F.lower(language), F.lit(f"/pushed-{days}d"))
+    return F.when(source == "topic", topic).when(source == "org", owner).when(source == "language", pushed).otherwise(source)
+
+
+def search_plan(rows: DataFrame) -> DataFrame:
+    """Steps with their source's place in the plan and the rows that they found; rows: source, label."""
+    place = F.create_map(*[F.lit(v) for kv in STEPS.items() for v in kv])
+    return rows.groupBy("source", "label").agg(F.count(F.lit(1)).alias("found")).withColumn("step_ord", place[F.col("source")])
+
+
 def _first(found: DataFrame, group: str, order) -> DataFrame:
     """The search limit; Spark cuts each partition to it before the shuffle."""
     w = Window.partitionBy(group).orderBy(order, "full_name")

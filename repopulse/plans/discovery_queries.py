@@ -214,10 +214,10 @@ def _(t):
 
 
 @query("x21_fallback", """SELECT id, stars AS lim, forks AS remaining, status = 'active' AND stars <> 0 AND CAST(forks AS DOUBLE) / CAST(nullif(stars, 0) AS DOUBLE) < 0.25::DOUBLE AS falls_back,
-  CASE WHEN stars <> 0 THEN greatest(0.0::DOUBLE, 1.0::DOUBLE - CAST(forks AS DOUBLE) / CAST(nullif(stars, 0) AS DOUBLE)) END AS used FROM repos WHERE stars <> 0""")
+  CASE WHEN stars <> 0 THEN greatest(0.0::DOUBLE, 1.0::DOUBLE - CAST(forks AS DOUBLE) / CAST(nullif(stars, 0) AS DOUBLE)) END AS used, greatest(0, first_seen_s + 86400 * (id % 5) - {NOW}) AS reset_in_s FROM repos WHERE stars <> 0""")
 def _(t):
-    r = t.repos.filter("stars <> 0").select("id", F.col("stars").alias("lim"), F.col("forks").alias("remaining"), (F.col("status") == "active").alias("on"))
-    return r.select("id", "lim", "remaining", x.falls_back(F.col("on"), F.col("lim"), F.col("remaining")).alias("falls_back"), x.used_ratio(F.col("lim"), F.col("remaining")).alias("used"))
+    r = t.repos.filter("stars <> 0").select("id", F.col("stars").alias("lim"), F.col("forks").alias("remaining"), (F.col("status") == "active").alias("on"), (F.col("first_seen_s") + x.DAY * (F.col("id") % 5)).alias("reset_s"))
+    return r.select("id", "lim", "remaining", x.falls_back(F.col("on"), F.col("lim"), F.col("remaining")).alias("falls_back"), x.used_ratio(F.col("lim"), F.col("remaining")).alias("used"), x.reset_seconds(F.col("reset_s"), NOW).alias("reset_in_s"))
 
 
 @query("s3_hours_to_read", """WITH e AS (SELECT max(EPOCH(hour)) - 36000 AS cursor FROM repo_events), h AS (SELECT unnest(generate_series(cursor + 3600, ({NOW} - 5400) // 3600 * 3600, 3600)) AS hour_s FROM e)
@@ -229,6 +229,21 @@ def _(t):
     return archive.hours_to_read(t.spark, cursor, NOW).join(counts, "hour", "left").fillna(0, ["events"]).select(F.unix_timestamp("hour").alias("hour_s"), "events")
 
 
+@query("s3b_fallback_hours", """WITH h AS (SELECT unnest(generate_series({NOW} // 3600 * 3600 - 29 * 3600, {NOW} // 3600 * 3600, 3600)) AS hour_s)
+SELECT CAST(h.hour_s AS BIGINT) AS hour_s, count(event_id) AS events FROM h LEFT JOIN repo_events r ON EPOCH(r.hour) = h.hour_s GROUP BY 1""")
+def _(t):
+    counts = t.repo_events.groupBy("hour").agg(F.count(F.lit(1)).alias("events"))
+    return archive.fallback_hours(t.spark, NOW, 30.9).join(counts, "hour", "left").fillna(0, ["events"]).select(F.unix_timestamp("hour").alias("hour_s"), "events")
+
+
+@query("x32_search_steps", """WITH a AS (SELECT source, step_ord, CASE source WHEN 'topic' THEN split_part(topics_text, ' ', 1) WHEN 'org' THEN owner ELSE concat(lower(language), '/pushed-7d') END AS label FROM candidates)
+SELECT step_ord, source, label, count(*) AS found FROM a GROUP BY 1, 2, 3""")
+def _(t):
+    first = F.split_part("topics_text", F.lit(" "), F.lit(1))
+    rows = t.candidates.select("source", d.step_label(F.col("source"), first, F.col("owner"), F.col("language"), 7).alias("label"))
+    return d.search_plan(rows)
+
+
 @query("w13_batches", "SELECT id, id // 25 AS batch FROM repos")
 def _(t):
     return health.batches(t.repos.select("id"), "id")

@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import exprs as x
+from ..operators import health
 from ..sources import archive
 from ..sources.tables import shared_folder
 from ..sources.views import NOW
 from ..streaming import ingest
+from .discovery_queries import _GATES
 from .event_queries import _HOURLY
 from .registry import query
 
@@ -64,6 +66,37 @@ def _(t):
     return _streamed(t, (odd, f"NOT {odd}")).select("repo_name", F.unix_timestamp("hour").alias("hour_s"), "event_count")
 
 
+@query("r5_replayed_hours", f"SELECT * FROM ({_HOURLY}) WHERE hour_s <= {{NOW}} - 5400")
+def _(t):
+    return _streamed(t, ("true", "true")).select("repo_name", F.unix_timestamp("hour").alias("hour_s"), "event_count")
+
+
+@query("r9_gate_events", f"""{_GATES}, w AS (SELECT hour_s, reason, coalesce(lag(reason) OVER (ORDER BY hour_s), '') AS was FROM st),
+s AS (SELECT *, max(CASE WHEN reason <> '' AND was = '' THEN hour_s END) OVER (ORDER BY hour_s) AS since FROM w)
+SELECT hour_s, CASE WHEN reason = '' THEN 'resume' ELSE 'pause' END AS event, CASE WHEN reason = '' THEN was ELSE reason END AS reason, hour_s - since AS paused_s FROM s WHERE reason <> was""")
+def _(t):
+    folder = _folder(t)
+    signals = health.rolling_emissions(t.gate_log).select(F.lit("archive").alias("source"), "hour_s", "queue_depth", "rate_limit_pct", "rolling")
+    signals.write.parquet(f"{folder}/signals")
+    rows = t.spark.readStream.schema(signals.schema).parquet(f"{folder}/signals")
+    job = ingest.gate_stream(rows).writeStream.format("parquet").option("path", f"{folder}/events").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return t.spark.read.parquet(f"{folder}/events").select("hour_s", "event", "reason", "paused_s")
+
+
+@query("r11_latest_state", """WITH o AS (SELECT full_name, arg_max(stars, day) AS stars, max(day) AS day FROM snapshots WHERE day < {NOW} - 12 * 86400 GROUP BY 1), n AS (SELECT full_name, arg_max(stars, day) AS stars, max(day) AS day FROM snapshots WHERE day >= {NOW} - 12 * 86400 GROUP BY 1)
+SELECT coalesce(n.full_name, o.full_name) AS full_name, coalesce(n.day, o.day) AS day, coalesce(n.stars, o.stars) AS stars, CASE WHEN n.full_name IS NULL THEN 0 ELSE coalesce(o.stars, 0) END AS stars_prev FROM o FULL JOIN n ON o.full_name = n.full_name""")
+def _(t):
+    folder = _folder(t)
+    rows = t.snapshots.select("full_name", F.col("day").alias("collected_at"), "stars")
+    for old in (True, False):
+        part = F.col("collected_at") < NOW - 12 * x.DAY
+        rows.filter(part if old else ~part).write.mode("append").parquet(f"{folder}/snapshots")
+        stream = t.spark.readStream.schema(rows.schema).parquet(f"{folder}/snapshots")
+        ingest.upsert_state(stream, f"{folder}/state", f"{folder}/checkpoint", ["stars"]).awaitTermination()
+    return t.spark.read.parquet(f"{folder}/state/v1").select("full_name", F.col("collected_at").alias("day"), "stars", "stars_prev")
+
+
 @query("r6_retained", f"SELECT repo_name, CAST(sum(event_count) AS BIGINT) AS total FROM ({_HOURLY}) WHERE hour_s >= {{NOW}} - 86400 * 7 AND hour_s <= {{NOW}} - 5400 GROUP BY 1")
 def _(t):
     return ingest.retained(_streamed(t), NOW, 168).groupBy("repo_name").agg(F.sum("event_count").alias("total"))
