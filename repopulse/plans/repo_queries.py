@@ -90,8 +90,8 @@ def _(t):
     return r.drain(t.repos, 20).select("id", "status")
 
 
-_LEGACY = ", ".join(f"('{k}', '{v.split('/')[0]}', '{v.split('/')[1]}')" for k, v in taxonomy.LEGACY.items())
-_PAIRS = ", ".join(f"('{c}/{s}')" for c, subs in taxonomy.TAXONOMY.items() for s in subs.split())
+_LEGACY = ", ".join(f"('{k}', '{v[0]}', '{v[1]}')" for k, v in taxonomy.LEGACY.items())
+_PAIRS = ", ".join(f"('{c}/{s}')" for c, subs in taxonomy.TAXONOMY.items() for s in subs)
 
 
 @query("m9_backfill", f"""WITH lg(slug, c, s) AS (VALUES {_LEGACY}) SELECT id, CASE WHEN primary_subcategory = '' THEN primary_category ELSE primary_category_legacy END AS legacy,

@@ -196,7 +196,7 @@ def test_orphan_guard_fails(spark):
 
 
 def test_taxonomy_is_closed():
-    allowed = {f"{c}/{s}" for c, subs in taxonomy.TAXONOMY.items() for s in subs.split()}
+    allowed = {(c, s) for c, subs in taxonomy.TAXONOMY.items() for s in subs}
     assert len(taxonomy.LEGACY) == 43 and len(taxonomy.TAXONOMY) == 15 and set(taxonomy.LEGACY.values()) <= allowed
 
 
