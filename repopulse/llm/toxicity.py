@@ -66,7 +66,7 @@ SPEAKS = 4
 DOUBT = (-0.5, 0.0, 0.5)
 ROUNDS = len(DOUBT)
 #: Every so many sampled documents, one is kept for the curve.
-FOLD = 4
+FOLD = 3
 THRESHOLD = 0.3
 LETTERS = 58  # a-z, and 32 for the continuation bytes of other letters
 MAX_CACHE = 400_000
