@@ -322,9 +322,10 @@ def spans(docs: DataFrame, units: Units, flag: Callable[[list[dict]], Iterator[t
     flagged = in_blocks(fetched(docs, found, units, hot=False), units, flag)
     if has_hot(found):
         flagged = flagged.unionByName(hot_spans(docs, found, units, flag, again, seen, follow, ends))
+    # written by itself, so that a hot key of the join with whole segments is split without regard to these
+    flagged = kept_in(spark, flagged, "flagged")
     several = found.filter("several")
     if follow and has_followers(several):
-        flagged = kept_in(spark, flagged, "flagged")
         out = out.unionByName(followed(flagged, several, shared, "within", "start"))
     return out.unionByName(flagged).select("doc_id", "tag", "start", "end")
 
