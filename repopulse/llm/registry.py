@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, extraction, language, licenses, near_duplicates, packing, repetition, substring_dedup, suffix_dedup, toxicity
+from . import decontamination, extraction, language, licenses, near_duplicates, packing, repetition, secrets, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_repetition": repetition.op1_repetition,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_language": language.op9_language,
     "op10_extraction": extraction.op10_extraction,
+    "op11_secrets": secrets.op11_secrets,
 }
 
 ORACLE_SQL = {**decontamination.ORACLE, **substring_dedup.ORACLE, **suffix_dedup.ORACLE}

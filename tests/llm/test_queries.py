@@ -24,6 +24,7 @@ COLUMNS = {
     "op8_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
     "op9_language": ["doc_id", "held_out", "lang_pred", "score"],
     "op10_extraction": ["page_id", "url", "text", "n_chars"],
+    "op11_secrets": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
 }
 
 
