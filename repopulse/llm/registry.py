@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, extraction, language, licenses, near_duplicates, packing, repetition, secrets, substring_dedup, suffix_dedup, toxicity
+from . import conversations, decontamination, extraction, language, licenses, near_duplicates, packing, repetition, secrets, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_repetition": repetition.op1_repetition,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language": language.op9_language,
     "op10_extraction": extraction.op10_extraction,
     "op11_secrets": secrets.op11_secrets,
+    "op12_conversation_repair": conversations.op12_conversation_repair,
 }
 
-ORACLE_SQL = {**decontamination.ORACLE, **substring_dedup.ORACLE, **suffix_dedup.ORACLE}
+ORACLE_SQL = {**conversations.ORACLE, **decontamination.ORACLE, **substring_dedup.ORACLE, **suffix_dedup.ORACLE}
