@@ -43,6 +43,26 @@ def clear_written(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(frame: DataFrame, *order: str, name: str = "row_no", first: int = 0) -> DataFrame:
+    """Numbers rows from ``first`` in an order, without gaps and without one task that sees all rows.
+
+    Ranges of the order are sorted by themselves and written; each range's numbers start behind
+    those of the ranges before it (one small row a range).  Rows that are equal in the order get
+    neighbouring numbers, in any order.
+    """
+    place = F.monotonically_increasing_id()
+    rows = written(frame.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place), "numbered")
+    rows = rows.withColumn("_range", F.shiftright("_place", 33))
+    sizes = sorted((r[0], r[1]) for r in rows.groupBy("_range").count().collect())
+    starts, at = [], first
+    for part, n in sizes:
+        starts.append((part, at))
+        at += n
+    offsets = frame.sparkSession.createDataFrame(starts, "_range long, _start long")
+    out = rows.join(offsets, "_range", "left")
+    return out.withColumn(name, F.col("_start") + F.col("_place").bitwiseAND((1 << 33) - 1)).drop("_range", "_place", "_start")
+
+
 def merge_upsert(target: DataFrame, source: DataFrame, key: str, update: list[str], insert: dict[str, Column] | None = None) -> DataFrame:
     """Next version of a table: rows of the source replace ``update`` columns of equal keys, others are added.
 
