@@ -83,20 +83,6 @@ def _member(characters: bytes) -> np.ndarray:
 _HEX, _CLASS = _member(HEX), [_member(c.characters) for c in CLASSES]
 
 
-def runs(member: np.ndarray, data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Byte spans of the maximal runs of a character set, at least so long, cut between rows."""
-    inside = member[data]
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
-    last[:-1] &= ~inside[1:]
-    cut = offsets[(offsets > 0) & (offsets < len(data))]
-    first[cut] = inside[cut]
-    last[cut - 1] = inside[cut - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    good = end - start >= least
-    return start[good], end[good]
-
-
 def entropy_spans(run: bytes, bits: float, window: int = WINDOW) -> list[tuple[int, int]]:
     """Union of the windows with enough letters and digits and at least so many bits a character."""
     weight = [0, *(round(n * math.log2(n) * _SCALE) for n in range(1, window + 1))]
@@ -147,7 +133,7 @@ class Scanner:
         out = []
         digits = np.r_[0, np.cumsum(_HAS_DIGIT[data])]
         for kind, member in zip(CLASSES, _CLASS, strict=True):
-            starts, ends = runs(member, data, offsets, WINDOW)
+            starts, ends = t.runs(member, data, offsets, WINDOW)
             some = digits[ends] - digits[starts] >= LEAST_DIGITS
             rows = np.searchsorted(offsets, starts, "right") - 1
             for a, b, row in zip(starts[some].tolist(), ends[some].tolist(), rows[some].tolist(), strict=True):
@@ -167,7 +153,7 @@ class Scanner:
             found += [(*m.span(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
             if found:
                 base[row] = found
-        starts, ends = runs(_HEX, data, offsets, MIN_HEX)
+        starts, ends = t.runs(_HEX, data, offsets, MIN_HEX)
         for a, b, row in zip(starts, ends, np.searchsorted(offsets, starts, "right") - 1, strict=True):
             first = place[offsets[row]]
             base.setdefault(int(row), []).append((int(place[a] - first), int(place[b] - first), "hex"))

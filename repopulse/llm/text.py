@@ -137,6 +137,20 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def runs(member: np.ndarray, data: np.ndarray, offsets: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Byte spans of the maximal runs of a set of bytes, at least so long, cut between rows."""
+    inside = member[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    cut = offsets[(offsets > 0) & (offsets < len(data))]
+    first[cut] = inside[cut]
+    last[cut - 1] = inside[cut - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    good = end - start >= least
+    return start[good], end[good]
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``limit`` bytes of text each, rows whole."""
     for batch in batches:

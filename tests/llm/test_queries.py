@@ -25,6 +25,7 @@ COLUMNS = {
     "op9_language": ["doc_id", "held_out", "lang_pred", "score"],
     "op10_extraction": ["page_id", "url", "text", "n_chars"],
     "op12_conversation_repair": ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
+    "op13_collocations": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
     "op11_secrets": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
 }
 
@@ -38,7 +39,7 @@ def test_columns_and_rows(spark, results):
     docs = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name, columns in COLUMNS.items():
         assert set(columns) <= set(results[name].columns)
-        if name not in ("op2_packing", "op10_extraction", "op12_conversation_repair"):
+        if name not in ("op2_packing", "op10_extraction", "op12_conversation_repair", "op13_collocations"):
             assert len(results[name]) == docs
     assert len(results["op10_extraction"]) == spark.read.parquet(f"{SF}/pages.parquet").count()
 
