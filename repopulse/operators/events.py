@@ -17,10 +17,20 @@ def kept_counts(events: DataFrame, types: list[str] | None = None) -> DataFrame:
     return events.groupBy("hour", "type").agg(F.count_if(kept(types)).alias("kept"), F.count_if(~kept(types)).alias("discarded"))
 
 
+def rollup_of(cells: DataFrame) -> DataFrame:
+    """Hour rollup of counts ``n`` by repository, hour and type."""
+    return cells.groupBy("repo_name", "hour").agg(F.sum("n").alias("event_count"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n")))).alias("per_type"))
+
+
 def hour_rollup(events: DataFrame, types: list[str] | None = None) -> DataFrame:
     """Events of each repository and hour, in all and by type (a map)."""
-    cells = events.filter(kept(types)).groupBy("repo_name", "hour", "type").agg(F.count(F.lit(1)).alias("n"))
-    return cells.groupBy("repo_name", "hour").agg(F.sum("n").alias("event_count"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n")))).alias("per_type"))
+    return rollup_of(events.filter(kept(types)).groupBy("repo_name", "hour", "type").agg(F.count(F.lit(1)).alias("n")))
+
+
+def cells_with_discarded(events: DataFrame, keep: Column) -> DataFrame:
+    """Counts by repository, hour and type; what isn't kept counts under a null repository, in the same pass."""
+    named = events.select(F.when(keep, F.col("repo_name")).alias("repo_name"), "hour", F.when(keep, F.col("type")).alias("type"))
+    return named.groupBy("repo_name", "hour", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def hour_counts(events: DataFrame, types: list[str] | None = None) -> DataFrame:

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as x
 from ..operators import health
-from ..sources import archive
+from ..sources import archive, files, sinks
 from ..sources.tables import shared_folder
 from ..sources.views import NOW
-from ..streaming import ingest
+from ..streaming import archives, ingest
 from .discovery_queries import _GATES
-from .event_queries import _HOURLY
+from .event_queries import _HOURLY, _KEPT
 from .registry import query
 
 
@@ -84,17 +84,115 @@ def _(t):
     return t.spark.read.parquet(f"{folder}/events").select("hour_s", "event", "reason", "paused_s")
 
 
-@query("r11_latest_state", """WITH o AS (SELECT full_name, arg_max(stars, day) AS stars, max(day) AS day FROM snapshots WHERE day < {NOW} - 12 * 86400 GROUP BY 1), n AS (SELECT full_name, arg_max(stars, day) AS stars, max(day) AS day FROM snapshots WHERE day >= {NOW} - 12 * 86400 GROUP BY 1)
-SELECT coalesce(n.full_name, o.full_name) AS full_name, coalesce(n.day, o.day) AS day, coalesce(n.stars, o.stars) AS stars, CASE WHEN n.full_name IS NULL THEN 0 ELSE coalesce(o.stars, 0) END AS stars_prev FROM o FULL JOIN n ON o.full_name = n.full_name""")
+@query("r11_latest_state", """WITH o AS (SELECT full_name, day, stars, row_number() OVER (PARTITION BY full_name ORDER BY day DESC) AS n FROM snapshots)
+SELECT full_name, max(day) FILTER (WHERE n = 1) AS day, max(stars) FILTER (WHERE n = 1) AS stars, coalesce(max(stars) FILTER (WHERE n = 2), 0) AS stars_prev FROM o WHERE n <= 2 GROUP BY 1""")
 def _(t):
+    old = F.col("collected_at") < NOW - 12 * x.DAY
+    return _latest(t, old, ~old)
+
+
+_LATE = "day < {NOW} - 12 * 86400 AND day % 172800 = 0"
+
+
+@query("r11_late_snapshots", f"""WITH o AS (SELECT full_name, day, stars, row_number() OVER (PARTITION BY full_name ORDER BY day DESC) AS n FROM snapshots WHERE NOT ({_LATE})),
+k AS (SELECT full_name, max(day) FILTER (WHERE n = 1) AS day, max(stars) FILTER (WHERE n = 1) AS stars, coalesce(max(stars) FILTER (WHERE n = 2), 0) AS stars_prev FROM o WHERE n <= 2 GROUP BY 1),
+l AS (SELECT full_name, day, stars, row_number() OVER (PARTITION BY full_name ORDER BY day DESC) AS n FROM snapshots WHERE {_LATE} AND full_name NOT IN (SELECT full_name FROM o)),
+m AS (SELECT full_name, max(day) FILTER (WHERE n = 1) AS day, max(stars) FILTER (WHERE n = 1) AS stars, coalesce(max(stars) FILTER (WHERE n = 2), 0) AS stars_prev FROM l WHERE n <= 2 GROUP BY 1)
+SELECT * FROM k UNION ALL SELECT * FROM m""")
+def _(t):
+    """Snapshots in three batches; the last has old days only, which change nothing but unknown repositories."""
+    late = F.expr(_LATE.replace("{NOW}", str(NOW)).replace("day", "collected_at"))
+    odd = F.pmod(F.xxhash64("full_name"), F.lit(2)) == 0
+    return _latest(t, ~late & odd, ~late & ~odd, late)
+
+
+def _latest(t, *parts):
+    """The latest state after snapshots that come in parts."""
     folder = _folder(t)
     rows = t.snapshots.select("full_name", F.col("day").alias("collected_at"), "stars")
-    for old in (True, False):
-        part = F.col("collected_at") < NOW - 12 * x.DAY
-        rows.filter(part if old else ~part).write.mode("append").parquet(f"{folder}/snapshots")
+    for part in parts:
+        rows.filter(part).write.mode("append").parquet(f"{folder}/snapshots")
         stream = t.spark.readStream.schema(rows.schema).parquet(f"{folder}/snapshots")
         ingest.upsert_state(stream, f"{folder}/state", f"{folder}/checkpoint", ["stars"]).awaitTermination()
-    return t.spark.read.parquet(f"{folder}/state/v1").select("full_name", F.col("collected_at").alias("day"), "stars", "stars_prev")
+    return ingest.latest_state(t.spark, f"{folder}/state", ["stars"]).select("full_name", F.col("collected_at").alias("day"), "stars", "stars_prev")
+
+
+#: Archives of these queries hold the events of a day, under the name of its first hour.
+SLOT = 86_400
+_SLOT = f"EPOCH(hour) - EPOCH(hour) % {SLOT}"
+_ALL_READY = f"SELECT {_SLOT} AS hour_s, count(*) FILTER (WHERE {{kept}}) AS kept, count(*) FILTER (WHERE NOT ({{kept}})) AS discarded FROM repo_events WHERE {_SLOT} <= {{{{NOW}}}} - 5400 GROUP BY 1"
+_HOURS = _ALL_READY.format(kept=_KEPT)
+
+
+def _slot():
+    return F.unix_timestamp("hour") - F.unix_timestamp("hour") % SLOT
+
+
+def _archived(t, folder, rows=None, broken=False):
+    """Writes events as gzip archives; every fiftieth event may be a broken line."""
+    line = F.to_json(F.struct("type", F.struct(F.col("repo_name").alias("name")).alias("repo")))
+    line = F.when(F.col("event_id") % 50 == 0, F.lit('{"type": "WatchEvent", "repo": ')).otherwise(line) if broken else line
+    rows = t.repo_events if rows is None else rows
+    return sinks.write_archives(rows.select(line.alias("value"), x.archive_name(F.timestamp_seconds(_slot())).alias("archive")), f"{folder}/archives")
+
+
+def _job(t, folder, hours, **more):
+    return archives.Ingest(t.spark, f"{folder}/store", window_hours=hours, files_per_batch=400, **more)
+
+
+@query("r8_damaged_archives", f"""WITH h AS ({_HOURS})
+SELECT hour_s, CASE WHEN hour_s // 86400 % 10 = 7 THEN 'skipped' ELSE 'ok' END AS outcome, CASE WHEN hour_s // 86400 % 10 = 7 THEN 5 ELSE 0 END AS failures, CASE WHEN hour_s // 86400 % 10 = 7 THEN NULL ELSE kept END AS kept FROM h""")
+def _(t):
+    """Truncated archives fail five cycles and are skipped; some are mended after two and count then."""
+    folder = _folder(t)
+    names = _archived(t, folder)
+    bad = {n: files.get(t.spark, f"{folder}/archives/{n}.json.gz") for n in names if archives.hour_s(n) // SLOT % 10 in (3, 7)}
+    for n, whole in bad.items():
+        files.put(t.spark, f"{folder}/archives/{n}.json.gz", whole[: len(whole) // 2])
+    job = _job(t, folder, 24 * 60)
+    for cycle in range(6):
+        if cycle == 2:
+            for n, whole in bad.items():
+                if archives.hour_s(n) // SLOT % 10 == 3:
+                    files.put(t.spark, f"{folder}/archives/{n}.json.gz", whole)
+        job.run_cycle(f"{folder}/archives", NOW)
+    return job.latest().filter("outcome <> 'waiting'").select("hour_s", "outcome", "failures", "kept")
+
+
+@query("r4_late_and_too_late", f"""WITH h AS ({_HOURS}), o AS (SELECT max(hour_s) AS newest FROM h WHERE hour_s // 86400 % 2 = 1), n AS (SELECT max(hour_s) AS newest FROM h)
+SELECT hour_s, CASE WHEN hour_s // 86400 % 2 = 0 AND hour_s <= o.newest - 168 * 3600 THEN 'late' ELSE 'ok' END AS outcome, CASE WHEN hour_s > n.newest - 168 * 3600 THEN kept ELSE 0 END AS stored FROM h, o, n""")
+def _(t):
+    """Odd archives, then even ones: those inside the window of a week are taken, older ones dropped and counted."""
+    folder = _folder(t)
+    job = _job(t, folder, 168)
+    for odd in (1, 0):
+        _archived(t, folder, t.repo_events.filter(F.floor(_slot() / SLOT) % 2 == odd))
+        job.run_cycle(f"{folder}/archives", NOW)
+    stored = job.rollup().groupBy(F.unix_timestamp("hour").alias("hour_s")).agg(F.sum("event_count").alias("stored"))
+    return job.latest().filter("outcome <> 'waiting'").join(stored, "hour_s", "left").select("hour_s", "outcome", F.coalesce("stored", F.lit(0)).alias("stored"))
+
+
+@query("r6_evicted_totals", f"""WITH r AS (SELECT repo_name, {_SLOT} AS hour_s FROM repo_events WHERE {_KEPT} AND {_SLOT} <= {{NOW}} - 5400), n AS (SELECT max({_SLOT}) AS newest FROM repo_events WHERE {_SLOT} <= {{NOW}} - 5400)
+SELECT repo_name, count(*) AS total FROM r, n WHERE hour_s > newest - 168 * 3600 GROUP BY 1""")
+def _(t):
+    """Window totals that are kept up to date by what comes and what expires, over three cycles."""
+    folder = _folder(t)
+    job = _job(t, folder, 168)
+    day = F.floor((_slot() - (NOW - 30 * x.DAY)) / x.DAY)
+    for part in (day < 12, (day >= 12) & (day < 25), day >= 25):
+        _archived(t, folder, t.repo_events.filter(part))
+        job.run_cycle(f"{folder}/archives", NOW)
+    return job.totals()
+
+
+@query("d5_archive_events", _ALL_READY.format(kept=f"({_KEPT}) AND event_id % 50 <> 0"))
+def _(t):
+    """What the hooks heard of each archive: kept and discarded events."""
+    folder, heard = _folder(t), []
+    hooks = archives.Hooks(events=[lambda name, by_type, discarded: heard.append((archives.hour_s(name), sum(by_type.values()), discarded))])
+    _archived(t, folder, broken=True)
+    _job(t, folder, 24 * 60, hooks=hooks).run_cycle(f"{folder}/archives", NOW)
+    return t.spark.createDataFrame(heard, "hour_s long, kept long, discarded long")
 
 
 @query("r6_retained", f"SELECT repo_name, CAST(sum(event_count) AS BIGINT) AS total FROM ({_HOURLY}) WHERE hour_s >= {{NOW}} - 86400 * 7 AND hour_s <= {{NOW}} - 5400 GROUP BY 1")

@@ -18,7 +18,7 @@ PAYLOADS = {
 }
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of archives (gzip NDJSON, one file an hour) with the hour of their file."""
     return spark.read.text(path).select("value", x.archive_hour(F.col("_metadata.file_name")).alias("hour"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import files
+
 
 def write_rollup(rollup: DataFrame, path: str) -> None:
     """Replaces the hours that are in the frame and leaves others; a replay changes nothing."""
@@ -13,6 +15,21 @@ def write_rollup(rollup: DataFrame, path: str) -> None:
     rows.repartition("hour_key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour_key").parquet(path)
 
 
+def write_archives(lines: DataFrame, path: str) -> list[str]:
+    """Writes ``value`` lines as one gzip file for each ``archive`` name, and returns the names.
+
+    Spark writes a folder for each; its one file is moved up under the archive's name.
+    """
+    spark, staged = lines.sparkSession, f"{path}/_staged"
+    lines.repartition("archive").write.mode("overwrite").option("compression", "gzip").partitionBy("archive").text(staged)
+    found = [n.removeprefix("archive=") for n in files.names(spark, staged) if n.startswith("archive=")]
+    for name in found:
+        part = next(n for n in files.names(spark, f"{staged}/archive={name}") if n.startswith("part-"))
+        files.move(spark, f"{staged}/archive={name}/{part}", f"{path}/{name}.json.gz")
+    files.delete(spark, staged)
+    return found
+
+
 def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
 

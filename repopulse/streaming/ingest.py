@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,7 +14,7 @@ from ..functions import exprs as x
 from ..operators import events as ev
 from ..operators.health import failure_runs
 from ..sources import archive, sinks
-from ..sources.tables import merge_upsert
+from . import state
 
 
 def archive_stream(spark: SparkSession, path: str, files_per_batch: int = 24) -> DataFrame:
@@ -84,27 +84,51 @@ def retained(rollup: DataFrame, edge_s: int, hours: int = 24) -> DataFrame:
     return rollup.filter(F.unix_timestamp("hour") >= edge_s - hours * 3600)
 
 
+def state_schema(columns: list[str]) -> str:
+    """Rows of the latest state: long columns with the values before them."""
+    return ", ".join(["full_name string", "collected_at long", *(f"{c} long" for c in columns), *(f"{c}_prev long" for c in columns)])
+
+
+def as_of_merge(columns: list[str]):
+    """A merge of snapshots by their own time: those not newer than what stands change nothing.
+
+    Of several new snapshots the last stands, with the one before it (or what stood) as previous values;
+    among snapshots of one time the largest values count, so the order of arrival doesn't matter.
+    """
+    def merge(standing: DataFrame, batch: DataFrame) -> DataFrame:
+        rows = batch.groupBy("full_name", "collected_at").agg(F.max(F.struct(*columns)).alias("r"))
+        was = standing.select("full_name", F.col("collected_at").alias("_at"), F.struct("collected_at", *columns, *[f"{c}_prev" for c in columns]).alias("_was"))
+        new = rows.join(was.select("full_name", "_at"), "full_name", "left").filter("_at IS NULL OR collected_at > _at")
+        w = Window.partitionBy("full_name").orderBy(F.desc("collected_at"))
+        last = new.withColumn("_n", F.row_number().over(w)).filter("_n <= 2").groupBy("full_name").agg(
+            F.max(F.when(F.col("_n") == 1, F.struct("collected_at", "r"))).alias("_last"), F.max(F.when(F.col("_n") == 2, F.col("r"))).alias("_second")
+        )
+        both = was.join(last, "full_name", "full_outer")
+        value = [F.coalesce(F.col(f"_last.r.{c}"), F.col(f"_was.{c}")).alias(c) for c in columns]
+        before = lambda c: F.coalesce(F.col(f"_second.{c}"), F.col(f"_was.{c}"), F.lit(0).cast("long"))
+        previous = [F.when(F.col("_last").isNull(), F.col(f"_was.{c}_prev")).otherwise(before(c)).alias(f"{c}_prev") for c in columns]
+        return both.select("full_name", F.coalesce("_last.collected_at", "_was.collected_at").alias("collected_at"), *value, *previous)
+
+    return merge
+
+
 def upsert_state(snapshots: DataFrame, folder: str, checkpoint: str, columns: list[str]) -> StreamingQuery:
-    """Keeps the latest row of each repository with the values before it, version by version.
+    """Keeps the latest snapshot of each repository with the values before it (``latest_state``).
 
-    Each batch reads the version that stands and writes the next one; ``versions`` in the
-    folder are numbered by batch, so a batch that runs again writes the same version.
+    Snapshots are ordered by ``collected_at``, not by arrival; a batch rewrites the buckets of its repositories only.
     """
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        newest = batch.groupBy("full_name").agg(F.max_by(F.struct("collected_at", *columns), "collected_at").alias("r")).select("full_name", "r.*")
-        previous = [f"{c}_prev" for c in columns]
-        if number == 0:
-            newest.withColumns({p: F.lit(0).cast("long") for p in previous}).write.mode("overwrite").parquet(f"{folder}/v{number}")
-            return
-        state = spark.read.parquet(f"{folder}/v{number - 1}")
-        before = state.select("full_name", *[F.col(c).alias(f"{c}_prev") for c in columns])
-        source = newest.join(before, "full_name", "left").fillna(0, previous)
-        merge_upsert(state, source, "full_name", ["collected_at", *columns, *previous]).write.mode("overwrite").parquet(f"{folder}/v{number}")
+        rows = batch.select("full_name", "collected_at", *columns).persist()
+        state.update(folder, f"batch-{number}", rows, "full_name", state_schema(columns), as_of_merge(columns))
+        rows.unpersist()
 
     return snapshots.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest_state(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
+    return state.current(spark, folder, state_schema(columns))
+
+
 GATE_OUT = "source string, hour_s long, event string, reason string, paused_s long"
 GATE_STATE = "reason string, since_s long"
 

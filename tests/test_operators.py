@@ -262,7 +262,14 @@ def test_state_upsert_carries_previous(spark, tmp_path):
     job()
     (src / "2.json").write_text("\n".join(json.dumps(r) for r in ({"full_name": "a/b", "collected_at": 2, "stars": 15}, {"full_name": "c/d", "collected_at": 2, "stars": 1})))
     job()
-    assert sorted((r["full_name"], r["stars"], r["stars_prev"]) for r in spark.read.parquet(f"{folder}/v1").collect()) == [("a/b", 15, 10), ("c/d", 1, 0)]
+    stands = lambda: sorted((r["full_name"], r["stars"], r["stars_prev"]) for r in ingest.latest_state(spark, folder, ["stars"]).collect())
+    assert stands() == [("a/b", 15, 10), ("c/d", 1, 0)]
+    (src / "3.json").write_text("\n".join(json.dumps({"full_name": "a/b", "collected_at": at, "stars": n}) for at, n in ((1, 99), (2, 99), (5, 40), (4, 30))))
+    job()
+    assert stands() == [("a/b", 40, 30), ("c/d", 1, 0)]
+    (src / "4.json").write_text(json.dumps({"full_name": "a/b", "collected_at": 3, "stars": 7}))
+    job()
+    assert stands() == [("a/b", 40, 30), ("c/d", 1, 0)]
 
 
 def test_nested_activity(spark):
