@@ -119,8 +119,8 @@ def test_a_replayed_hour_replaces_itself(spark, place):
 def test_a_batch_that_breaks_off_adds_nothing_twice(spark, place, monkeypatch):
     src, now = place / "in", T0 + 50 * 3600
     write(src, 1, ["a/x", "b/y"])
-    for breaks in ("write_rollup", "_evict", "ledger"):
-        write(src, len(breaks), ["a/x"])
+    for h, breaks in enumerate(("write_rollup", "_evict", "ledger"), 2):
+        write(src, h, ["a/x"])
         j = job(spark, place)
         with monkeypatch.context() as m:
             def stop(*_, **__):
@@ -134,7 +134,7 @@ def test_a_batch_that_breaks_off_adds_nothing_twice(spark, place, monkeypatch):
             with pytest.raises(Exception):  # noqa: B017
                 j.run_cycle(str(src), now)
         j.run_cycle(str(src), now)
-        totals(j)
+        assert totals(j)["a/x"] == h
     assert {r.outcome for r in j.latest().collect()} == {"ok"}
 
 
