@@ -41,8 +41,8 @@ LONGEST = 4
 TOP = 2000
 SLICE_BYTES = 2_000_000
 #: Entries that a task gathers before it writes filters, and about how many n-grams a shard has.
-GATHER = 2_000_000
-SHARD = 2_000_000
+GATHER = 1_000_000
+SHARD = 1_000_000
 MASK_BITS = 1 << 27
 _CHUNK_BITS = 1 << 19
 #: Buckets in which the phrases of a language are ranked first.
