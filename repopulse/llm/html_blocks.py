@@ -6,10 +6,10 @@ import html
 import re
 from dataclasses import dataclass, field
 
+#: A comment, something else that is no element, or a tag.  A quote opens a string right after ``=`` only.
 _MARK = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+>|</(?![a-zA-Z])[^>]*+>"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>",
     re.S,
 )
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -92,8 +92,13 @@ def blocks(page: str | None) -> list[Block]:
 
     at = 0
     end = len(page)
+    last = page.rfind(">")  # behind it no tag ends, so none is looked for
     while at < end:
-        m = _MARK.search(page, at)
+        m, begin = None, page.find("<", at)
+        while 0 <= begin <= last and not (m := _MARK.match(page, begin)):
+            begin = page.find("<", begin + 1)
+        if m is None and begin >= 0:
+            end = end if (comment := page.find("<!--", begin)) < 0 else comment
         piece = page[at : m.start() if m else end]
         if piece and not any(h for _, _, h in stack):
             held.append(piece)
@@ -102,10 +107,10 @@ def blocks(page: str | None) -> list[Block]:
         if not m:
             break
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
             continue
-        closing = bool(m[1] or m[4])
+        closing = bool(m[1])
         if tag == "br":
             held.append(" ")
             continue
@@ -121,7 +126,7 @@ def blocks(page: str | None) -> list[Block]:
                     del stack[k:]
                     break
             continue
-        rest = m[3] or m[6] or ""
+        rest = m[3] or ""
         if tag in RAW:
             if tag in unclosed or (tag == "svg" and self_closed(rest)):
                 continue
