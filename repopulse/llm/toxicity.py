@@ -354,8 +354,8 @@ class Model:
         return np.c_[np.clip(margin, -1, 1), np.log((many + 0.3) / (n[:, None] * self.usual + 0.3))]
 
     def score(self, column: pa.Array) -> np.ndarray:
-        if not self.trained:
-            return np.full(len(column), self.share)
+        if not self.trained:  # nothing is known about any text, so none is rejected
+            return np.zeros(len(column))
         return 1 / (1 + np.exp(-(self.features(*self.evidence(column)) @ self.curve[:-1] + self.curve[-1])))
 
     def _singles(self, words: t.Tokens, short: np.ndarray, margin: np.ndarray, many: np.ndarray) -> None:
