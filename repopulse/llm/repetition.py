@@ -48,7 +48,7 @@ def _duplicate_lines(words: t.Tokens) -> np.ndarray:
     inside = np.r_[0, np.cumsum(words.inside)]
     has = inside[end] > inside[start]
     start, end, row = start[has], end[has], row[has]
-    key = t.mixed(t.span_hash(words.prefix, start, end) + row.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    key = t.mixed(t.piece_hash(words.data, start, end) + row.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     _, first = np.unique(key, return_index=True)
     again = np.ones(len(key), np.int64)
     again[first] = 0

@@ -119,6 +119,35 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mixed((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def _multipliers(n: int) -> np.ndarray:
+    """A number for each place in a span, without any structure from place to place."""
+    if len(_powers.get("places", ())) < n:
+        _powers["places"] = mixed(np.arange(1, max(n, 4096) + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
+    return _powers["places"][:n]
+
+
+def piece_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of many byte spans, equal for equal contents, whatever their length.
+
+    Each byte is weighed by its place in the span.  (``span_hash`` weighs by powers, which on texts of
+    1,024 units and more can be equal for certain, whatever the base.)  Spans are worked on in parts.
+    """
+    out = np.empty(len(start), np.uint64)
+    size = end - start
+    offsets = np.r_[0, np.cumsum(size)]
+    at = 0
+    while at < len(start):
+        to = max(int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1, at + 1)
+        own, first = size[at:to], offsets[at:to] - offsets[at]
+        place = np.arange(offsets[to] - offsets[at]) - np.repeat(first, own)
+        codes = _CODES[data[np.repeat(start[at:to], own) + place]]
+        total = np.zeros(len(place) + 1, np.uint64)
+        np.cumsum(codes * _multipliers(int(own.max(initial=1)))[place], out=total[1:])
+        out[at:to] = mixed(total[first + own] - total[first] + own.astype(np.uint64) * _BASE)
+        at = to
+    return out
+
+
 def byte_codes(data: np.ndarray) -> np.ndarray:
     return _CODES[data]
 
@@ -191,19 +220,12 @@ class Tokens:
         self.row_off = np.searchsorted(self.start, self.offsets)
         self.counts = np.diff(self.row_off)
         self.row = np.repeat(np.arange(len(self.counts)), self.counts)
-        self._prefix: np.ndarray | None = None
         self._hash: np.ndarray | None = None
 
-    @property
-    def prefix(self) -> np.ndarray:
-        if self._prefix is None:
-            self._prefix = prefix_hash(byte_codes(self.data))
-        return self._prefix
-
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            self._hash = span_hash(self.prefix, self.start, self.end)
+            self._hash = piece_hash(self.data, self.start, self.end)
         return self._hash
 
     def per_row(self, flags: np.ndarray) -> np.ndarray:
