@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,19 +44,22 @@ def overlaps(members: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def token_components(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(token, component) over pairs that share a repository, by spreading the smallest token.
+    """(token, component) over pairs that share a repository; the component is its smallest token.
 
-    Tokens that share nothing can't merge, neither before nor after other merges.
+    Tokens that share nothing can't merge, neither before nor after other merges.  In each round every
+    tree hooks on the smallest label that one of its members sees, and then all labels skip a step to
+    their root, so long chains take a logarithmic number of rounds.
     """
     edges = written(pairs.select("token_a", "token_b").union(pairs.select("token_b", "token_a")), "edges")
     labels = written(tokens.select("token", F.col("token").alias("component")), "labels")
     changed = 1
     while changed:
         near = edges.join(labels, edges["token_b"] == labels["token"]).groupBy("token_a").agg(F.min("component").alias("near"))
-        new = labels.join(near, labels["token"] == near["token_a"], "left").select(
-            "token", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("was")
-        )
-        new = written(new, "labels")
+        low = labels.join(near, labels["token"] == near["token_a"], "left").select("token", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
+        hooks = low.groupBy("component").agg(F.min("low").alias("hook"))
+        hooked = written(low.join(hooks, "component").select("token", F.col("component").alias("was"), "hook"), "hooked")
+        roots = hooked.select(F.col("token").alias("hook"), F.col("hook").alias("root"))
+        new = written(hooked.join(roots, "hook").select("token", F.col("root").alias("component"), "was"), "labels")
         changed = new.filter("component <> was").count()
         labels = new.select("token", "component")
     return labels
@@ -103,37 +107,45 @@ def near_clusters(rows: DataFrame, ranks: DataFrame) -> DataFrame:
     return out.filter(F.col("common") >= F.lit(NEAR * (1 - 1e-9)) * F.greatest("n_x", "n_y")).select("component", "x", "y", "n_x", "n_y", "common")
 
 
+MERGES = "component string, cluster string, into string, after struct<size:bigint,cluster:string>"
+
+
+def _merges(rows: pd.DataFrame) -> pd.DataFrame:
+    """The next merges of one component and the kept cluster of the last one, by ``next_merges``."""
+    pair = lambda r: (r["size"], r["cluster"])
+    near = []
+    for x_, y_, n_x, n_y, common in zip(rows["x"], rows["y"], rows["n_x"], rows["n_y"], rows["common"], strict=True):
+        (i, n), (j, m) = sorted(((pair(x_), int(n_x)), (pair(y_), int(n_y))))
+        near.append((i, j, n, m, int(common)))
+    after = rows["after"].iloc[0]
+    merges = next_merges(near, None if after is None else (pair(after), None))
+    out = [(rows["component"].iloc[0], j[1], i[1], {"size": merges[-1][0][0], "cluster": merges[-1][0][1]}) for i, j in merges]
+    return pd.DataFrame(out, columns=["component", "cluster", "into", "after"])
+
+
 def merged_tokens(members: DataFrame, tokens: DataFrame, components: DataFrame) -> DataFrame:
     """(token, cluster, n_tokens) after a greedy merge: larger clusters absorb those that overlap enough, until none does.
 
-    Memberships stay in Spark.  Each round counts the common repositories of clusters, the
-    driver picks the next merges of every component from the near ones (a repository of k
-    tokens is in k pairs of a cluster at most, so these grow with the tokens, not with the
-    repositories), and the cluster column is rewritten.
+    Nothing but a number of merges comes to the driver.  Each round counts the common repositories of
+    clusters, a task for each component picks its next merges from the near ones (a
+    repository of k tokens is in k pairs of a cluster at most, so these grow with the tokens, not with
+    the repositories), and only clusters of components that merged are looked at again.
     """
-    spark = members.sparkSession
     ranks = written(tokens.select(F.col("token").alias("cluster"), "size").join(components.select(F.col("token").alias("cluster"), "component"), "cluster"), "ranks")
-    rows = written(members.join(ranks.select(F.col("cluster").alias("token")), "token", "left_semi").select(F.col("token").alias("cluster"), "full_name").distinct(), "rows")
+    rows = written(members.join(ranks.select(F.col("cluster").alias("token"), "component"), "token").select(F.col("token").alias("cluster"), "full_name", "component").distinct(), "rows")
     owner = written(ranks.select(F.col("cluster").alias("token"), "cluster"), "owner")
-    last: dict[str, tuple] = {}
+    last = members.sparkSession.createDataFrame([], "component string, after struct<size:bigint,cluster:string>")
     while True:
-        near = defaultdict(list)
-        for r in near_clusters(rows, ranks).collect():
-            one, two = (tuple(r["x"]), r["n_x"]), (tuple(r["y"]), r["n_y"])
-            (i, n), (j, m) = sorted((one, two))
-            near[r["component"]].append((i, j, n, m, r["common"]))
-        pairs = []
-        for component, found in near.items():
-            merges = next_merges(found, last.get(component))
-            if merges:
-                last[component] = merges[-1]
-                pairs += [(j[1], i[1]) for i, j in merges]
-        if not pairs:
+        near = near_clusters(rows.select("cluster", "full_name"), ranks).join(last, "component", "left")
+        merges = written(near.groupBy("component").applyInPandas(_merges, MERGES), "merges")
+        if not merges.count():
             break
         # a cluster that absorbs one in a round may itself be absorbed only in a later one
-        into = spark.createDataFrame(pairs, "cluster string, into string")
+        into = merges.select("cluster", "into")
         moved = F.coalesce("into", "cluster").alias("cluster")
-        rows = written(rows.join(into, "cluster", "left").select(moved, "full_name").distinct(), "rows")
+        last = merges.groupBy("component").agg(F.first("after").alias("after"))
+        # components without a merge have reached their end
+        rows = written(rows.join(last.select("component"), "component", "left_semi").join(into, "cluster", "left").select(moved, "full_name", "component").distinct(), "rows")
         owner = written(owner.join(into, "cluster", "left").select("token", moved), "owner")
     names = owner.groupBy("cluster").agg(F.min("token").alias("name"), F.count(F.lit(1)).alias("n_tokens"))
     return owner.join(names, "cluster").select("token", F.col("name").alias("cluster"), "n_tokens")

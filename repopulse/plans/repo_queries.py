@@ -333,7 +333,28 @@ def _(t):
     return audit.overlaps(members, audit.candidates(members))
 
 
-@query("d1_clusters")
+#: The greedy merge as it is told: one scan over clusters in order, again until a pass merges nothing; a step looks at one cluster or merges two.
+_CLUSTERS = """WITH RECURSIVE m AS (SELECT DISTINCT unnest(string_split(lower(topics_text), ' ')) AS token, id, primary_category AS category, CAST(round(category_confidence * 100) AS BIGINT) AS cents FROM repos),
+n AS (SELECT token, count(*) AS size, list(id ORDER BY id) AS ids FROM m WHERE token <> '' GROUP BY 1 HAVING count(*) >= 5),
+scan AS (
+  SELECT list({'t': [token], 'r': ids} ORDER BY size DESC, token) AS cl, 1 AS i, false AS moved, false AS done FROM n
+  UNION ALL
+  SELECT CASE WHEN j IS NULL THEN cl ELSE list_concat(list_append(cl[:i - 1], {'t': list_concat(cl[i].t, cl[j].t), 'r': list_distinct(list_concat(cl[i].r, cl[j].r))}), list_concat(cl[i + 1:j - 1], cl[j + 1:])) END,
+    CASE WHEN j IS NOT NULL THEN i WHEN i < len(cl) THEN i + 1 ELSE 1 END, CASE WHEN j IS NOT NULL THEN true WHEN i < len(cl) THEN moved ELSE false END, j IS NULL AND i >= len(cl) AND NOT moved
+  FROM (SELECT *, list_filter(range(i + 1, len(cl) + 1), lambda k: 10 * len(list_intersect(cl[i].r, cl[k].r)) >= 6 * (len(cl[i].r) + len(cl[k].r) - len(list_intersect(cl[i].r, cl[k].r))))[1] AS j FROM scan WHERE NOT done)),
+c AS (SELECT list_sort(x.t) AS tokens, x.r AS ids FROM (SELECT unnest(cl) AS x FROM scan WHERE done)),
+own AS (SELECT tokens, category, count(*) AS k, sum(cents) AS cents FROM (SELECT tokens, unnest(ids) AS id FROM c) u JOIN (SELECT DISTINCT id, category, cents FROM m) d USING (id) GROUP BY 1, 2),
+g AS (SELECT tokens, CAST(sum(k) AS BIGINT) AS repo_count, CAST(sum(cents) AS DOUBLE) / 100.0::DOUBLE / CAST(sum(k) AS DOUBLE) AS avg_confidence, list_sort(list({'k': -k, 'c': category}))[1].c AS main FROM own GROUP BY 1),
+s AS (SELECT *, CAST(repo_count AS DOUBLE) * avg_confidence AS score FROM g),
+found AS (SELECT tokens[1] AS cluster, array_to_string(tokens, ',') AS tokens, repo_count, avg_confidence, score, CASE WHEN main = '' THEN 'unknown' ELSE main END AS category,
+  repo_count >= 5 AND round(avg_confidence, 9) >= 0.6 AND round(score, 9) >= 3.0 AS qualifies,
+  CASE WHEN repo_count < 5 THEN 'size_below_threshold' WHEN round(avg_confidence, 9) < 0.6 THEN 'avg_confidence_below_threshold' WHEN round(score, 9) < 3.0 THEN 'score_below_threshold' ELSE 'qualifies' END AS reason,
+  array_to_string(tokens, '-') AS subcategory FROM s)"""
+#: Candidates and clusters of each category, after ``found``.
+_CATEGORIES = "SELECT o.category, o.other_count, coalesce(f.clusters, 0) AS clusters FROM (SELECT primary_category AS category, count(*) AS other_count FROM repos GROUP BY 1) o LEFT JOIN (SELECT category, count(*) AS clusters FROM found GROUP BY 1) f ON f.category = o.category"
+
+
+@query("d1_clusters", f"{_CLUSTERS} SELECT * FROM found")
 def _(t):
     found = audit.cluster_repos(_audited(t))
     return found.select("cluster", F.array_join("tokens", ",").alias("tokens"), "repo_count", "avg_confidence", "score", "category", "qualifies", "reason", "subcategory")
@@ -355,7 +376,16 @@ def _(t):
     return audit.not_filed_lately(drafts, issues, NOW)
 
 
-@query("c6_audit_report")
+_FIGURES = """'","repo_count":' || repo_count || ',"tokens":["' || replace(tokens, ',', '","') || '"],"avg_confidence":' || round(avg_confidence, 2) || ',"score":' || round(score, 2)"""
+
+
+@query("c6_audit_report", f"""{_CLUSTERS},
+tot AS (SELECT candidates, corpus, CASE WHEN corpus = 0 THEN 0.0::DOUBLE ELSE CAST(candidates AS DOUBLE) * 100.0::DOUBLE / CAST(corpus AS DOUBLE) END AS pct FROM (
+  SELECT count(*) FILTER (WHERE primary_subcategory = 'other' AND is_curated_list = 0 AND status = 'active') AS candidates, count(*) FILTER (WHERE {LIVE} AND status = 'active' AND is_curated_list = 0) AS corpus FROM repos))
+SELECT 0 AS section, '' AS ord, '{{"day":"2024-01-31","corpus":' || corpus || ',"candidates":' || candidates || ',"share_pct":' || round(pct, 2) || ',"gate":"' || CASE WHEN pct > 3.0 THEN '{audit.BREACH}' ELSE '{audit.PASS}' END || '"}}' AS line FROM tot
+UNION ALL SELECT 1, category, '{{"category":"' || category || '","other_count":' || other_count || ',"clusters":' || clusters || '}}' FROM ({_CATEGORIES})
+UNION ALL SELECT 2, category || '/' || subcategory, '{{"filed":"' || category || '/' || subcategory || {_FIGURES} || '}}' FROM found WHERE qualifies
+UNION ALL SELECT 3, category || '/' || subcategory, '{{"watched":"' || category || '/' || subcategory || {_FIGURES} || ',"reason":"' || reason || '"}}' FROM found WHERE NOT qualifies""")
 def _(t):
     rows = _audited(t)
     found = audit.cluster_repos(rows)

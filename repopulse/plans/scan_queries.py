@@ -17,6 +17,7 @@ from ..sources import archive, sinks
 from ..sources.tables import merge_upsert, shared_folder
 from ..sources.views import NOW
 from .discovery_queries import _FLAGGED, _TIERS
+from .repo_queries import _CATEGORIES, _CLUSTERS
 from .event_queries import _HOURLY, edge
 from .registry import query
 from .repo_queries import _LEGACY, _PAIRS
@@ -157,7 +158,7 @@ def _(t):
     return scans.discovery_totals(counters)
 
 
-@query("a23_per_category")
+@query("a23_per_category", f"{_CLUSTERS} {_CATEGORIES}")
 def _(t):
     rows = t.repos.select("full_name", "primary_category", F.split("topics_text", " ").alias("topics"), F.col("category_confidence").alias("confidence"))
     return audit.per_category(rows, audit.cluster_repos(rows))

@@ -140,4 +140,6 @@ def oracle(sql: str) -> str:
     sql = _macros(sql, False).strip()
     if not ctes:
         return sql
+    if sql.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {sql[15:]}"
     return f"WITH {ctes}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {ctes} {sql}"
