@@ -206,6 +206,24 @@ TITLE = "Subcat graduation proposal: "
 BREACH, PASS = "BREACH >3% [CRITICAL]", "PASS <=3%"
 
 
+#: Why a cluster is only watched, by the first gate that it fails; %s are its size, and its figure with two decimals.
+DETAILS = {
+    "size_below_threshold": "%s repos — too small to graduate, monitor next month.",
+    "avg_confidence_below_threshold": "%s repos but avg_confidence %s < 0.60 — too uncertain to graduate.",
+    "score_below_threshold": "%s repos, score %s < 3.00 — surface only.",
+}
+
+
+def watch_details(found: DataFrame) -> DataFrame:
+    """cluster, reason and detail of the clusters that don't qualify."""
+    two = lambda c: F.replace(F.format_number(c, 2), F.lit(","), F.lit(""))
+    figure = {"size_below_threshold": [], "avg_confidence_below_threshold": [two("avg_confidence")], "score_below_threshold": [two("score")]}
+    detail = F.lit("")
+    for reason, text in DETAILS.items():
+        detail = F.when(F.col("reason") == reason, F.format_string(text, F.col("repo_count").cast("string"), *figure[reason])).otherwise(detail)
+    return found.filter("NOT qualifies").select("cluster", "reason", detail.alias("detail"))
+
+
 def drafts(found: DataFrame) -> DataFrame:
     """Title and body of a proposal for each qualifying cluster; the body is its figures as JSON."""
     figures = F.to_json(F.struct("tokens", "repo_count", F.round("avg_confidence", 2).alias("avg_confidence"), F.round("score", 2).alias("score")))

@@ -141,3 +141,16 @@ def requested_share(events: DataFrame, repos: DataFrame) -> DataFrame:
     """How many events belong to requested repositories, and how many don't."""
     known = repos.select("repo_name").distinct().withColumn("known", F.lit(True))
     return events.join(known, "repo_name", "left").agg(F.count_if(F.col("known")).alias("kept"), F.count_if(F.col("known").isNull()).alias("discarded"))
+
+
+def actor_sketches(events: DataFrame, lg_k: int = 12) -> DataFrame:
+    """HyperLogLog sketches of those who star and fork, for each repository and hour."""
+    def sketch(kind: str, name: str) -> Column:
+        return F.hll_sketch_agg(F.when(F.col("type") == kind, F.col("actor_login")), lg_k).alias(name)
+
+    return events.groupBy("repo_name", "hour").agg(sketch("WatchEvent", "starrers"), sketch("ForkEvent", "forkers"))
+
+
+def distinct_actors(sketches: DataFrame) -> DataFrame:
+    """Distinct starrers and forkers of each repository over any hours: sketches are united, events aren't read again."""
+    return sketches.groupBy("repo_name").agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in ("starrers", "forkers")])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as x
+from ..sources.tables import numbered
 
 
 def rolling_emissions(log: DataFrame, hours: int = 24) -> DataFrame:
@@ -125,6 +126,25 @@ def batches(rows: DataFrame, order: str, size: int = 25) -> DataFrame:
     return rows.withColumn("batch", F.floor(F.col(order) / size).cast("long"))
 
 
+def batches_in_order(rows: DataFrame, *order: str, size: int = 25) -> DataFrame:
+    """Row number ``row_no`` and batch of each row in an order: every batch but the last is full, whatever the keys."""
+    return batches(numbered(rows, *order), "row_no", size)
+
+
+def in_ranges(rows: DataFrame, number: str, ranges: DataFrame, width: int = 25) -> DataFrame:
+    """Rows whose number lies in one of the ranges [start_no, end_no), once each; empty ranges hold nothing.
+
+    A range is spread over the blocks of ``width`` numbers that it touches, so the join is on the block and
+    compares a row with the ranges of its block only.
+    """
+    named = ranges.filter("start_no < end_no").select(F.col("start_no").alias("_start"), F.col("end_no").alias("_end"))
+    blocks = F.sequence(F.floor(F.col("_start") / width), F.floor((F.col("_end") - 1) / width))
+    spread = named.select("_start", "_end", F.explode(blocks).alias("_in"))
+    inside = (F.col("_no") >= F.col("_start")) & (F.col("_no") < F.col("_end"))
+    blocked = rows.withColumns({"_no": F.col(number), "_block": F.floor(F.col(number) / width)})
+    return blocked.join(spread, (F.col("_block") == F.col("_in")) & inside, "left_semi").drop("_no", "_block")
+
+
 def first_abort(outcomes: DataFrame, limit: int = 3) -> DataFrame:
     """First batch at which ``limit`` batches in a row have failed.  outcomes: batch, ok; batches are numbered without gaps.
 
@@ -134,15 +154,20 @@ def first_abort(outcomes: DataFrame, limit: int = 3) -> DataFrame:
     return ends.groupBy("batch").agg(F.count(F.lit(1)).alias("bad")).filter(F.col("bad") >= limit).agg(F.min("batch").alias("abort_at"))
 
 
-#: Gauges of the pipeline's own health: metric name, label, and the column of the value.
-HEALTH = {"tier.repos": ("tier", "repos"), "pending.repos": ("bucket", "n"), "run.results": ("result", "n"), "repos.status": ("status", "n"), "calls": ("result", "calls")}
+#: Gauges of the pipeline's own health: metric name, labels, and the column of the value.
+HEALTH = {
+    "tier.repos": (("tier",), "n"), "pending.repos": (("is_excluded", "forced"), "n"), "run.results": (("result",), "n"), "repos.status": (("status",), "n"),
+    "calls": (("resource", "result"), "calls"), "events.filtered": (("kept",), "n"), "fallback.trips": ((), "n"), "batch.fallback": (("result",), "n"),
+    "dedup.ratio": ((), "ratio"), "queue.depth": ((), "queue_depth"), "lag.seconds": ((), "lag_s"), "archive.bytes": ((), "bytes"), "repos.gone": ((), "n"), "backend.active": (("backend",), "n"),
+}
 
 
 def all_health_points(counts: dict[str, DataFrame]) -> DataFrame:
-    """Points of several aggregates; keys are names of ``HEALTH``."""
+    """Points (metric, attributes, value) of several small aggregates; keys are names of ``HEALTH``."""
     out = None
     for name, rows in counts.items():
-        label, value = HEALTH[name]
-        points = health_points(name, rows, label, value)
-        out = points if out is None else out.union(points)
+        labels, value = HEALTH[name]
+        attributes = F.create_map(*[c for k in labels for c in (F.lit(k), F.col(k).cast("string"))]) if labels else F.expr("CAST(map() AS map<string,string>)")
+        points = rows.select(F.lit(name).alias("metric"), attributes.alias("attributes"), F.col(value).cast("double").alias("value"))
+        out = points if out is None else out.unionByName(points)
     return out

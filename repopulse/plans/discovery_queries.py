@@ -267,6 +267,26 @@ def _(t):
     return rows.join(failed, "batch", "left_semi").join(done, "id", "left_anti").select("id", "full_name")
 
 
+@query("w13_batches_by_name", "SELECT full_name, (row_number() OVER (ORDER BY full_name) - 1) // 25 AS batch FROM repos")
+def _(t):
+    return health.batches_in_order(t.repos.select("full_name"), "full_name").select("full_name", "batch")
+
+
+#: Failed ranges of rows of any length, some of them empty, overlapping or beyond the end.
+_RANGES = "SELECT CAST((s_suppkey * 131) % 2500 AS BIGINT) AS start_no, CAST((s_suppkey * 131) % 2500 + s_suppkey % 60 AS BIGINT) AS end_no FROM supplier"
+
+
+@query("j15_rows_of_failed_ranges", f"""WITH n AS (SELECT full_name, last_collected_s, row_number() OVER (ORDER BY full_name) - 1 AS row_no FROM repos), f AS ({_RANGES})
+SELECT full_name, row_no FROM n WHERE EXISTS (SELECT 1 FROM f WHERE row_no >= start_no AND row_no < end_no) AND last_collected_s IS NULL OR row_no % 2 = 1 AND EXISTS (SELECT 1 FROM f WHERE row_no >= start_no AND row_no < end_no)""")
+def _(t):
+    """Rows to fetch one by one: in a failed range, and not fetched otherwise."""
+    supplier = t.spark.read.parquet(f"{t.sf_dir}/supplier.parquet")
+    start = (F.col("s_suppkey") * 131) % 2500
+    ranges = supplier.select(start.cast("long").alias("start_no"), (start + F.col("s_suppkey") % 60).cast("long").alias("end_no"))
+    rows = health.batches_in_order(t.repos.select("full_name", "last_collected_s"), "full_name")
+    return health.in_ranges(rows.filter("last_collected_s IS NULL OR row_no % 2 = 1"), "row_no", ranges).select("full_name", "row_no")
+
+
 @query("w12_failure_runs", """WITH l AS (SELECT user_id AS archive, event_id AS run, event_type <> 'error' AS ok FROM events),
 s AS (SELECT archive, coalesce(max(run) FILTER (WHERE ok), -1) AS last_ok FROM l GROUP BY 1)
 SELECT archive, count(*) FILTER (WHERE NOT ok AND run > last_ok) AS failures, count(*) FILTER (WHERE NOT ok AND run > last_ok) >= 2 AS skipped FROM l JOIN s USING (archive) GROUP BY 1""")

@@ -188,3 +188,13 @@ def _(t):
     rows = dates.select("repo_name", F.element_at("d", 1).alias("latest_release_at"), F.slice("d", 2, 1000000).alias("release_dates"), F.lit(None).cast("timestamp").alias("release_known_at"))
     out = scoring.release_history(rows)
     return out.select("repo_name", F.array_join(F.transform("release_dates", lambda d: F.unix_timestamp(d).cast("string")), ",").alias("history"))
+
+
+@query("a7b_sketched_actors", "SELECT repo_name, count(DISTINCT actor_login) FILTER (WHERE type = 'WatchEvent') AS starrers, count(DISTINCT actor_login) FILTER (WHERE type = 'ForkEvent') AS forkers, true AS near FROM repo_events GROUP BY 1")
+def _(t):
+    """Exact distinct actors, and whether the united hourly sketches come within a twentieth of them."""
+    sketched = ev.distinct_actors(ev.actor_sketches(t.repo_events)).select("repo_name", F.col("starrers").alias("s"), F.col("forkers").alias("f"))
+    kind = lambda k: F.count_distinct(F.when(F.col("type") == k, F.col("actor_login")))
+    exact = t.repo_events.groupBy("repo_name").agg(kind("WatchEvent").alias("starrers"), kind("ForkEvent").alias("forkers"))
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(1.0), F.col(b) / 20)
+    return exact.join(sketched, "repo_name").select("repo_name", "starrers", "forkers", (close("s", "starrers") & close("f", "forkers")).alias("near"))

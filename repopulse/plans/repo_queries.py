@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import exprs as x
@@ -9,7 +11,7 @@ from ..functions import taxonomy
 from ..operators import audit, classification, health, scans
 from ..operators import repository as r
 from ..sources import sinks
-from ..sources.tables import delete_keys, insert_ignore, merge_upsert, update_where, with_outcomes
+from ..sources.tables import delete_keys, insert_ignore, merge_upsert, read_repos, shared_folder, update_where, with_outcomes
 from ..sources.views import NOW
 from .registry import query
 
@@ -21,6 +23,19 @@ def _(t):
     return t.repos.filter("excluded = 0").orderBy("full_name").select("full_name", "status", "primary_category")
 
 
+_MISSING = {"bigint": ("open_issues", "open_prs"), "double": ("normalized_growth_score", "star_acceleration", "pr_velocity", "issue_velocity", "contributor_growth"),
+    "varchar": ("latest_release", "latest_release_date", "created_at", "first_seen_at", "last_collected_at", "etag", "last_modified", "model_used")}
+
+
+@query("s5_fixed_columns", "SELECT id, full_name, owner, name, language, stars, stars_prev, forks, contributors, contributors_prev, growth_score, star_velocity, merged_prs_7d, new_issues_7d, status, primary_category, category_confidence, readme_hash, classified_at, force_category, CAST(excluded AS INTEGER) AS excluded, primary_subcategory, primary_category_legacy, force_subcategory, " + ", ".join(f"CAST(NULL AS {k}) AS {c}" for k, names in _MISSING.items() for c in names) + " FROM repos")
+def _(t):
+    """The repos table as other versions have written it, with more columns in another order, by the fixed ones."""
+    path = f"{shared_folder(t.spark)}/repos-{uuid.uuid4().hex}"
+    rows = t.repos.drop("description").withColumns({"excluded": F.col("excluded").cast("int"), "a_later_column": F.lit(1)})
+    rows.select(*sorted(rows.columns)).write.parquet(path)
+    return read_repos(t.spark, path)
+
+
 @query("f13b_by_pair", f"SELECT full_name, primary_subcategory FROM repos WHERE {LIVE} AND primary_category = 'ai' AND primary_subcategory = 'agents' UNION ALL SELECT full_name, primary_category_legacy FROM repos WHERE {LIVE} AND primary_category_legacy = 'rag'")
 def _(t):
     live = t.repos.filter("excluded = 0")
@@ -360,6 +375,13 @@ def _(t):
     return found.select("cluster", F.array_join("tokens", ",").alias("tokens"), "repo_count", "avg_confidence", "score", "category", "qualifies", "reason", "subcategory")
 
 
+@query("x14_watch_details", f"""{_CLUSTERS} SELECT cluster, reason, CASE reason WHEN 'size_below_threshold' THEN repo_count || ' repos — too small to graduate, monitor next month.'
+  WHEN 'avg_confidence_below_threshold' THEN repo_count || ' repos but avg_confidence ' || format('{{:.2f}}', avg_confidence) || ' < 0.60 — too uncertain to graduate.'
+  ELSE repo_count || ' repos, score ' || format('{{:.2f}}', score) || ' < 3.00 — surface only.' END AS detail FROM found WHERE NOT qualifies""")
+def _(t):
+    return audit.watch_details(audit.cluster_repos(_audited(t)))
+
+
 @query("a24_drift_share", f"""WITH n AS (SELECT count(*) FILTER (WHERE primary_subcategory = 'other' AND is_curated_list = 0 AND status = 'active') AS candidates, count(*) FILTER (WHERE {LIVE} AND status = 'active' AND is_curated_list = 0) AS corpus FROM repos)
 SELECT candidates, corpus, CASE WHEN corpus = 0 THEN 0.0::DOUBLE ELSE CAST(candidates AS DOUBLE) * 100.0::DOUBLE / CAST(corpus AS DOUBLE) END AS share_pct, CASE WHEN corpus = 0 THEN false ELSE CAST(candidates AS DOUBLE) * 100.0::DOUBLE / CAST(corpus AS DOUBLE) > 3.0::DOUBLE END AS escalated FROM n""")
 def _(t):

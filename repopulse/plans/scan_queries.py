@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as x
 from ..functions import taxonomy
-from ..operators import audit, classification, scans
+from ..operators import audit, classification, health, scans, tiers
 from ..operators import discovery as d
 from ..operators import events as ev
 from ..operators import repository as r
@@ -17,10 +17,9 @@ from ..sources import archive, sinks
 from ..sources.tables import merge_upsert, shared_folder
 from ..sources.views import NOW
 from .discovery_queries import _FLAGGED, _TIERS
-from .repo_queries import _CATEGORIES, _CLUSTERS
-from .event_queries import _HOURLY, edge
+from .event_queries import _HOURLY, _KEPT, edge
 from .registry import query
-from .repo_queries import _LEGACY, _PAIRS
+from .repo_queries import _CATEGORIES, _CLUSTERS, _LEGACY, _PAIRS
 
 WEEK = 7 * x.DAY
 
@@ -238,6 +237,37 @@ def _(t):
     return out.select("full_name", "stars", "forks", "star_velocity", "status", "seen", F.coalesce("known", F.lit(False)).alias("known"))
 
 
+@query("m14_last_scan", "SELECT CAST(max({NOW} - id * 60) AS BIGINT) AS last_scan_s FROM repos")
+def _(t):
+    at = F.date_format(F.timestamp_seconds(F.lit(NOW) - F.col("id") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    state = archive.read_state(t.spark, _written_json(t, t.repos.select(F.struct(at.alias("last_scan")).alias("discovery"))), one_a_line=True)
+    return state["last_scan"].select(F.unix_timestamp("last_scan").alias("last_scan_s"))
+
+
+@query("s13b_all_health_points", f"""{_TIERS}, spine(tier) AS (VALUES ('new'), ('hot'), ('warm'), ('cold')), four(is_excluded, forced) AS (VALUES (false, false), (false, true), (true, false), (true, true))
+SELECT 'tier.repos' AS metric, 'tier=' || spine.tier AS labels, CAST(count(du.tier) AS DOUBLE) AS value FROM spine LEFT JOIN du ON spine.tier = du.tier GROUP BY spine.tier
+UNION ALL SELECT 'pending.repos', 'forced=' || four.forced || ',is_excluded=' || four.is_excluded, CAST(count(id) AS DOUBLE) FROM four LEFT JOIN (SELECT * FROM repos WHERE status = 'pending') p ON (p.excluded <> 0) = four.is_excluded AND (p.force_category <> '') = four.forced GROUP BY four.is_excluded, four.forced
+UNION ALL SELECT 'events.filtered', 'kept=' || ({_KEPT}), CAST(count(*) AS DOUBLE) FROM repo_events GROUP BY ({_KEPT})
+UNION ALL SELECT 'fallback.trips', '', CAST(count(*) FILTER (WHERE stars <> 0 AND status = 'active' AND CAST(forks AS DOUBLE) / CAST(nullif(stars, 0) AS DOUBLE) < 0.25::DOUBLE) AS DOUBLE) FROM repos
+UNION ALL SELECT 'batch.fallback', 'result=' || CASE WHEN last_collected_s IS NULL THEN 'failed' ELSE 'success' END, CAST(count(*) AS DOUBLE) FROM repos GROUP BY last_collected_s IS NULL
+UNION ALL SELECT 'dedup.ratio', '', CAST(count(*) FILTER (WHERE full_name IN (SELECT full_name FROM tracked)) AS DOUBLE) / CAST(count(*) AS DOUBLE) FROM candidates
+UNION ALL SELECT 'lag.seconds', '', CAST({{NOW}} - max(EPOCH(hour)) AS DOUBLE) FROM repo_events
+UNION ALL SELECT 'repos.gone', '', CAST(count(*) FILTER (WHERE excluded <> 0) AS DOUBLE) FROM repos""")
+def _(t):
+    kept = t.repo_events.select(ev.kept().alias("kept")).groupBy("kept").agg(F.count(F.lit(1)).alias("n"))
+    known = t.tracked.select("full_name").distinct().withColumn("known", F.lit(True))
+    flagged = t.candidates.join(known, "full_name", "left").agg((x.double(F.count("known")) / x.double(F.count(F.lit(1)))).alias("ratio"))
+    trips = t.repos.filter("stars <> 0").agg(F.count_if(x.falls_back(F.col("status") == "active", F.col("stars"), F.col("forks"))).alias("n"))
+    assigned = tiers.assign(t.repos.select("full_name", "growth_score", "first_seen_s", "last_collected_s"), NOW)
+    points = health.all_health_points({
+        "tier.repos": tiers.histogram(assigned), "pending.repos": r.pending_buckets(t.repos), "events.filtered": kept, "fallback.trips": trips,
+        "batch.fallback": t.repos.groupBy(F.when(F.col("last_collected_s").isNull(), "failed").otherwise("success").alias("result")).agg(F.count(F.lit(1)).alias("n")),
+        "dedup.ratio": flagged, "lag.seconds": t.repo_events.agg((F.lit(NOW) - F.unix_timestamp(F.max("hour"))).alias("lag_s")), "repos.gone": t.repos.agg(F.count_if(F.col("excluded") != 0).alias("n")),
+    })
+    labels = F.array_join(F.array_sort(F.transform(F.map_entries("attributes"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return points.select("metric", labels.alias("labels"), "value")
+
+
 @query("f21b_tracked_lookup", """WITH e AS (SELECT lower(trim(full_name)) AS low, arg_min(full_name, pos) AS entry FROM tracked GROUP BY 1)
 SELECT r.full_name, e.entry, e.entry IS NOT NULL AS is_tracked FROM (SELECT CASE WHEN id % 2 = 0 THEN upper(full_name) ELSE full_name END AS full_name FROM repos) r LEFT JOIN e ON lower(trim(r.full_name)) = e.low""")
 def _(t):

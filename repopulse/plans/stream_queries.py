@@ -11,7 +11,7 @@ from ..operators import health
 from ..sources import archive, files, sinks
 from ..sources.tables import shared_folder
 from ..sources.views import NOW
-from ..streaming import archives, ingest
+from ..streaming import archives, caps, ingest
 from .discovery_queries import _GATES
 from .event_queries import _HOURLY, _KEPT
 from .registry import query
@@ -57,7 +57,8 @@ def _(t):
 @query("r3_sliding_counts", """WITH h AS (SELECT repo_name, EPOCH(hour) AS hour_s, count(*) AS n FROM repo_events GROUP BY 1, 2), w AS (SELECT repo_name, hour_s + 3600 * unnest(generate_series(1, 24)) AS edge_s, n FROM h)
 SELECT repo_name, edge_s, CAST(sum(n) AS BIGINT) AS total FROM w GROUP BY 1, 2""")
 def _(t):
-    return _counted(t, ingest.sliding_counts, ["window", "repo_name"], "total").select("repo_name", F.unix_timestamp("window.end").alias("edge_s"), "total")
+    hourly = _counted(t, ingest.hourly_counts, ["window", "repo_name"], "n").select("repo_name", F.unix_timestamp("window.start").alias("hour_s"), "n")
+    return ingest.sliding_totals(hourly)
 
 
 @query("r4_late_hours", f"SELECT * FROM ({_HOURLY}) WHERE hour_s <= {{NOW}} - 5400")
@@ -140,6 +141,37 @@ def _job(t, folder, hours, **more):
     return archives.Ingest(t.spark, f"{folder}/store", window_hours=hours, files_per_batch=400, **more)
 
 
+_EMISSIONS = "SELECT type AS source, EPOCH(hour) AS hour_s, CAST(sum(event_id % 200) AS BIGINT) AS emitted FROM repo_events GROUP BY 1, 2"
+
+
+@query("r10_cap_changes", f"""WITH e AS ({_EMISSIONS}), ends AS (SELECT source, min(hour_s) AS lo, max(hour_s) AS hi FROM e GROUP BY 1),
+grid AS (SELECT source, unnest(generate_series(lo, hi, 3600)) AS hour_s FROM ends),
+roll AS (SELECT g.source, g.hour_s, CAST(coalesce(sum(e.emitted) OVER (PARTITION BY g.source ORDER BY g.hour_s ROWS BETWEEN 24 PRECEDING AND CURRENT ROW), 0) AS BIGINT) AS rolling FROM grid g LEFT JOIN e ON e.source = g.source AND e.hour_s = g.hour_s),
+st AS (SELECT *, CASE WHEN rolling >= 5000 THEN 'hard' WHEN rolling >= 4000 THEN 'warn' ELSE 'ok' END AS cap_state FROM roll)
+SELECT * FROM (SELECT source, hour_s, coalesce(lag(cap_state) OVER (PARTITION BY source ORDER BY hour_s), 'ok') AS was, cap_state, rolling FROM st) WHERE was <> cap_state""")
+def _(t):
+    """Cap changes of five sources, whose emissions come in three batches by time."""
+    folder = _folder(t)
+    hour = F.unix_timestamp("hour")
+    rows = t.repo_events.groupBy(F.col("type").alias("source"), hour.alias("hour_s")).agg(F.sum(F.col("event_id") % 200).alias("emitted"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    was = t.spark.conf.get(provider)
+    t.spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for lo, hi in ((None, 20), (20, 10), (10, None)):
+            part = rows if lo is None else rows.filter(F.col("hour_s") >= NOW - lo * x.DAY)
+            part = part if hi is None else part.filter(F.col("hour_s") < NOW - hi * x.DAY)
+            part.coalesce(1).write.mode("append").parquet(f"{folder}/emissions")
+            stream = t.spark.readStream.schema("source string, hour_s long, emitted long").parquet(f"{folder}/emissions")
+            job = caps.cap_stream(stream).writeStream.format("parquet").option("path", f"{folder}/changes").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+            job.awaitTermination()
+    finally:
+        t.spark.conf.set(provider, was)
+    last = rows.groupBy("source").agg(F.max("hour_s").alias("end"))
+    changes = t.spark.read.schema(caps.CAP_OUT).parquet(f"{folder}/changes")
+    return changes.join(last, "source").filter("hour_s <= end").drop("end")  # what timers tell of silent sources comes later
+
+
 @query("r8_damaged_archives", f"""WITH h AS ({_HOURS})
 SELECT hour_s, CASE WHEN hour_s // 86400 % 10 = 7 THEN 'skipped' ELSE 'ok' END AS outcome, CASE WHEN hour_s // 86400 % 10 = 7 THEN 5 ELSE 0 END AS failures, CASE WHEN hour_s // 86400 % 10 = 7 THEN NULL ELSE kept END AS kept FROM h""")
 def _(t):

@@ -76,7 +76,7 @@ STATE = (
 
 
 def read_state(spark: SparkSession, path: str, one_a_line: bool = False) -> dict[str, DataFrame]:
-    """Tables of JSON state: repos (pending), observations, known repositories, topic scans.
+    """Tables of JSON state: repos (pending), observations, known repositories, topic scans, the last scan (one row).
 
     A state file is one object; a large state comes as many objects, one a line, which are read in parallel.
     """
@@ -85,7 +85,8 @@ def read_state(spark: SparkSession, path: str, one_a_line: bool = False) -> dict
     seen = doc.select(F.explode("star_observations").alias("full_name", "o")).select("full_name", "o.stars", x_time(F.col("o.observed_at")).alias("observed_at"))
     known = doc.select(F.explode("discovery.known_repos").alias("full_name", "is_known")).filter("is_known").select("full_name")
     scans = doc.select(F.explode("discovery.topic_scans").alias("topic", "at")).select("topic", x_time(F.col("at")).alias("scanned_at"))
-    return {"repos": repos, "star_obs": seen, "known": known, "topic_scans": scans}
+    last = doc.agg(F.max(x_time(F.col("discovery.last_scan"))).alias("last_scan"))
+    return {"repos": repos, "star_obs": seen, "known": known, "topic_scans": scans, "last_scan": last}
 
 
 SEARCH = "full_name string, owner struct<login:string>, name string, description string, language string, topics array<string>, stargazers_count bigint, forks_count bigint, created_at string, updated_at string, pushed_at string"

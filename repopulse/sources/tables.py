@@ -43,6 +43,21 @@ def clear_written(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: The columns of the repos table that readers ask for, in order.
+REPO_COLUMNS = (
+    "id bigint, full_name string, owner string, name string, language string, stars bigint, stars_prev bigint, forks bigint, open_issues bigint, open_prs bigint, "
+    "contributors bigint, contributors_prev bigint, growth_score double, normalized_growth_score double, star_velocity double, star_acceleration double, "
+    "pr_velocity double, issue_velocity double, contributor_growth double, merged_prs_7d bigint, new_issues_7d bigint, latest_release string, latest_release_date string, "
+    "created_at string, first_seen_at string, last_collected_at string, status string, etag string, last_modified string, primary_category string, category_confidence double, "
+    "readme_hash string, classified_at string, model_used string, force_category string, excluded int, primary_subcategory string, primary_category_legacy string, force_subcategory string"
+)
+
+
+def read_repos(spark: SparkSession, path: str) -> DataFrame:
+    """The repos table by its fixed columns: others in the files aren't read, missing ones are null."""
+    return spark.read.schema(REPO_COLUMNS).parquet(path)
+
+
 def numbered(frame: DataFrame, *order: str, name: str = "row_no", first: int = 0) -> DataFrame:
     """Numbers rows from ``first`` in an order, without gaps and without one task that sees all rows.
 

@@ -73,10 +73,19 @@ def tumbling_counts(events: DataFrame, delay: str = "24 hours") -> DataFrame:
     return rows.groupBy(F.window("created_at", "1 hour"), "repo_name", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def sliding_counts(events: DataFrame, delay: str = "24 hours") -> DataFrame:
-    """Totals of 24 hours, every hour; windows that end leave the state."""
+def hourly_counts(events: DataFrame, delay: str = "24 hours") -> DataFrame:
+    """Events of each repository an hour: the state that sliding totals need, a row for each repository and hour."""
     rows = events.withWatermark("created_at", delay)
-    return rows.groupBy(F.window("created_at", "24 hours", "1 hour"), "repo_name").agg(F.count(F.lit(1)).alias("total"))
+    return rows.groupBy(F.window("created_at", "1 hour"), "repo_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sliding_totals(hourly: DataFrame, hours: int = 24) -> DataFrame:
+    """Totals of the last hours at every full hour that has any.  hourly: repo_name, hour_s, n.
+
+    Only hourly rows are spread over the windows that they are in, not events.
+    """
+    edges = F.sequence(F.col("hour_s") + 3600, F.col("hour_s") + hours * 3600, F.lit(3600))
+    return hourly.select("repo_name", F.explode(edges).alias("edge_s"), "n").groupBy("repo_name", "edge_s").agg(F.sum("n").alias("total"))
 
 
 def retained(rollup: DataFrame, edge_s: int, hours: int = 24) -> DataFrame:
@@ -156,7 +165,3 @@ def _gate(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
     state.update((reason, since))
     yield pd.DataFrame(out, columns=["source", "hour_s", "event", "reason", "paused_s"])
 
-
-def observed(events: DataFrame, name: str = "archive") -> DataFrame:
-    """Counts kept and discarded events as the stream runs, for listeners."""
-    return events.observe(name, F.count_if(F.col("ok")).alias("kept"), F.count_if(~F.col("ok")).alias("discarded"), F.max("hour").alias("latest_hour"))
