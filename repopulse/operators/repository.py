@@ -91,10 +91,13 @@ def backfill(repos: DataFrame) -> DataFrame:
     })
 
 
+def is_orphan() -> Column:
+    return (F.col("excluded") == 0) & ((F.col("primary_category") == "") | (F.col("primary_subcategory") == ""))
+
+
 def orphan_guard(repos: DataFrame) -> DataFrame:
     """The number of live rows without a pair, as a check that fails the job if it isn't zero."""
-    bad = F.count_if((F.col("excluded") == 0) & ((F.col("primary_category") == "") | (F.col("primary_subcategory") == "")))
-    counted = repos.agg(bad.alias("orphans"))
+    counted = repos.agg(F.count_if(is_orphan()).alias("orphans"))
     guard = F.when(F.col("orphans") > 0, F.raise_error(F.concat(F.lit("rows without a category pair: "), F.col("orphans").cast("string"))))
     return counted.withColumn("orphans", F.coalesce(guard.cast("long"), F.col("orphans")))
 

@@ -11,7 +11,7 @@ from ..functions import taxonomy
 from ..operators import audit, classification, health, scans
 from ..operators import repository as r
 from ..sources import sinks
-from ..sources.tables import delete_keys, insert_ignore, merge_upsert, read_repos, shared_folder, update_where, with_outcomes
+from ..sources.tables import delete_keys, evolve, insert_ignore, merge_upsert, read_repos, shared_folder, update_where, with_outcomes
 from ..sources.views import NOW
 from .registry import query
 
@@ -125,6 +125,20 @@ def _(t):
     return r.orphan_guard(r.backfill(t.repos))
 
 
+@query("a32_orphans", f"SELECT full_name FROM repos WHERE {LIVE} AND (primary_category = '' OR primary_subcategory = '')")
+def _(t):
+    """The live rows that a guard would stop at before the backfill."""
+    return t.repos.filter(r.is_orphan()).select("full_name")
+
+
+@query("m11_evolved_repos", "SELECT id, full_name, owner, primary_category, 0 AS needs_audit, concat(owner, '@', CAST(id AS VARCHAR)) AS etag FROM repos")
+def _(t):
+    """Columns added with defaults and dropped; what is there already keeps its values, also when it runs again."""
+    rows = t.repos.select("id", "full_name", "owner", "primary_category", "readme_hash", "classified_at")
+    add = {"needs_audit": F.lit(0), "etag": F.concat("owner", F.lit("@"), F.col("id").cast("string")), "owner": F.lit("nobody")}
+    return evolve(evolve(rows, add, ["readme_hash", "classified_at"]), add, ["readme_hash", "classified_at"])
+
+
 @query("x22_resolved_taxonomy", f"""WITH lg(slug, c, s) AS (VALUES {_LEGACY}), pr(pair) AS (VALUES {_PAIRS}),
 w AS (SELECT id, CASE WHEN force_category <> '' THEN force_category ELSE primary_category END AS raw, CASE WHEN force_category <> '' THEN force_subcategory ELSE primary_subcategory END AS sub, primary_category_legacy AS old FROM repos)
 SELECT id, coalesce(c, raw) AS category, CASE WHEN c IS NOT NULL AND (sub = '' OR concat(c, '/', sub) NOT IN (SELECT pair FROM pr)) THEN s ELSE sub END AS subcategory, CASE WHEN c IS NOT NULL AND old = '' THEN raw ELSE old END AS legacy FROM w LEFT JOIN lg ON raw = slug""")
@@ -375,6 +389,39 @@ def _(t):
     return found.select("cluster", F.array_join("tokens", ",").alias("tokens"), "repo_count", "avg_confidence", "score", "category", "qualifies", "reason", "subcategory")
 
 
+#: The same with confidences that let some clusters qualify.
+_SURER = _CLUSTERS.replace("CAST(round(category_confidence * 100) AS BIGINT) AS cents", "36 + CAST(round(category_confidence * 100) AS BIGINT) // 2 AS cents")
+_TITLE = f"concat('{audit.TITLE}', category, '/', subcategory)"
+
+
+def _surer(t):
+    cents = F.lit(36) + F.floor(F.round(F.col("confidence") * 100) / 2)
+    return _audited(t).withColumn("confidence", cents.cast("double") / F.lit(100.0))
+
+
+@query("s15_drafts", f"""{_SURER} SELECT {_TITLE} AS title, '{{"tokens":["' || replace(tokens, ',', '","') || '"],"repo_count":' || repo_count || ',"avg_confidence":' || round(avg_confidence, 2) || ',"score":' || round(score, 2) || '}}' AS body, category, subcategory FROM found WHERE qualifies""")
+def _(t):
+    return audit.drafts(audit.cluster_repos(_surer(t)))
+
+
+@query("s15_draft_repos", f"""{_SURER}, q AS (SELECT {_TITLE} AS title, unnest(string_split(tokens, ',')) AS token FROM found WHERE qualifies)
+SELECT DISTINCT title, full_name, (36 + CAST(round(category_confidence * 100) AS BIGINT) // 2) / 100.0::DOUBLE AS confidence FROM q JOIN (SELECT full_name, category_confidence, unnest(string_split(lower(topics_text), ' ')) AS token FROM repos) USING (token)""")
+def _(t):
+    rows = _surer(t)
+    return audit.draft_repos(audit.cluster_repos(rows), audit.memberships(rows))
+
+
+@query("d4_filed_proposals", f"""{_SURER}, i AS (SELECT concat('{audit.TITLE}', primary_category, '/', split_part(topics_text, ' ', 1), ' again') AS title, {{NOW}} - (id % 120) * 86400 AS created_s FROM repos WHERE id % 10 = 0)
+SELECT {_TITLE} AS title, subcategory FROM found WHERE qualifies AND NOT EXISTS (SELECT 1 FROM i WHERE starts_with(i.title, {_TITLE}) AND created_s > {{NOW}} - 60 * 86400)""")
+def _(t):
+    """What a plugged filer gets from the audit of a plugged reader."""
+    path = f"{shared_folder(t.spark)}/filed-{uuid.uuid4().hex}"
+    title = F.concat(F.lit(audit.TITLE), "primary_category", F.lit("/"), F.split_part("topics_text", F.lit(" "), F.lit(1)), F.lit(" again"))
+    issues = t.repos.filter("id % 10 = 0").select(title.alias("title"), (F.lit(NOW) - (F.col("id") % 120) * 86400).alias("created_s"))
+    audit.audit_other_drift(lambda: (_surer(t), t.repos), lambda drafts: drafts.select("title", "subcategory").write.parquet(path), issues, "2024-01-31", NOW)
+    return t.spark.read.parquet(path)
+
+
 @query("x14_watch_details", f"""{_CLUSTERS} SELECT cluster, reason, CASE reason WHEN 'size_below_threshold' THEN repo_count || ' repos — too small to graduate, monitor next month.'
   WHEN 'avg_confidence_below_threshold' THEN repo_count || ' repos but avg_confidence ' || format('{{:.2f}}', avg_confidence) || ' < 0.60 — too uncertain to graduate.'
   ELSE repo_count || ' repos, score ' || format('{{:.2f}}', score) || ' < 3.00 — surface only.' END AS detail FROM found WHERE NOT qualifies""")

@@ -85,6 +85,22 @@ def _(t):
     return t.spark.read.parquet(f"{folder}/events").select("hour_s", "event", "reason", "paused_s")
 
 
+@query("r9_gates_by_source", f"""{_GATES}, two AS (SELECT CASE WHEN hour_s // 3600 % 3 = 0 THEN 'search' ELSE 'archive' END AS source, * FROM st), w AS (SELECT source, hour_s, reason, coalesce(lag(reason) OVER (PARTITION BY source ORDER BY hour_s), '') AS was FROM two),
+s AS (SELECT *, max(CASE WHEN reason <> '' AND was = '' THEN hour_s END) OVER (PARTITION BY source ORDER BY hour_s) AS since FROM w)
+SELECT source, hour_s, CASE WHEN reason = '' THEN 'resume' ELSE 'pause' END AS event, CASE WHEN reason = '' THEN was ELSE reason END AS reason, hour_s - since AS paused_s FROM s WHERE reason <> was""")
+def _(t):
+    """Gates of two sources, whose signals come in three batches; a pause goes on from batch to batch."""
+    folder = _folder(t)
+    source = F.when(F.floor(F.col("hour_s") / 3600) % 3 == 0, "search").otherwise("archive")
+    signals = health.rolling_emissions(t.gate_log).select(source.alias("source"), "hour_s", "queue_depth", "rate_limit_pct", "rolling")
+    day = F.floor((F.col("hour_s") - (NOW - 30 * x.DAY)) / x.DAY)
+    for part in (day < 9, (day >= 9) & (day < 21), day >= 21):
+        signals.filter(part).coalesce(1).write.mode("append").parquet(f"{folder}/signals")
+        rows = t.spark.readStream.schema(signals.schema).parquet(f"{folder}/signals")
+        ingest.gate_stream(rows).writeStream.format("parquet").option("path", f"{folder}/events").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{folder}/events").select("source", "hour_s", "event", "reason", "paused_s")
+
+
 @query("r11_latest_state", """WITH o AS (SELECT full_name, day, stars, row_number() OVER (PARTITION BY full_name ORDER BY day DESC) AS n FROM snapshots)
 SELECT full_name, max(day) FILTER (WHERE n = 1) AS day, max(stars) FILTER (WHERE n = 1) AS stars, coalesce(max(stars) FILTER (WHERE n = 2), 0) AS stars_prev FROM o WHERE n <= 2 GROUP BY 1""")
 def _(t):
