@@ -10,7 +10,8 @@ It is trained on sentences with the label of their document, as a multiple-insta
 machine.  Not every sentence of a toxic document is toxic, and labels don't tell which:
 the machine starts with all of them and is trained again for each entry of ``DOUBT``, each
 time with the sentences that it finds that toxic, each represented by its most toxic
-word.  Two machines, trained on half of the toxic sentences each, judge one another's
+word; the last machine also learns every word that is telling by itself (``KNOWN``,
+``TELLS``), so an insult isn't lost because a stronger one stands beside it.  Two machines, trained on half of the toxic sentences each, judge one another's
 half, so that a word of one document can't vouch for itself.  A word that toxic sentences
 don't have ``SPEAKS`` times as often as clean ones can't make a sentence toxic, and in a
 sentence of a clean document every word is clean.
@@ -31,8 +32,8 @@ read as one word (``i d i o t``).
 
 Defined cases: a null or empty text has no words and gets the score of the least margin;
 null labels and labels without a document are not learned from; a text labelled both ways
-is toxic; with no toxic or no clean training row every score is the share of toxic rows
-(0 without any); repeated rows get equal scores, ties need no order; a very long text is
+is toxic; with no toxic or no clean training row, or no word that tells them apart, every
+score is 0, so nothing is rejected; repeated rows get equal scores, ties need no order; a very long text is
 worked on in one piece, in memory in proportion to it; other columns are ignored, or kept
 by ``drop_toxic``, whatever their names; an empty table gives an empty result.
 """
@@ -62,6 +63,10 @@ LANDMARKS = 160
 HARD = 60
 #: Times as often as in clean sentences that a word stands in toxic ones if it can make one toxic.
 SPEAKS = 4
+#: A word of so many toxic documents, and so many times as frequent in toxic sentences as in clean ones, is learned even where it isn't a sentence's most toxic.
+KNOWN, TELLS = 4, 40
+#: Documents that share such a part of their sentences are near copies and count once there.
+COPY = 0.6
 #: A sentence of a toxic document with no higher margin than this teaches nothing in the next round.
 DOUBT = (-0.5, 0.0, 0.5)
 ROUNDS = len(DOUBT)
@@ -120,8 +125,8 @@ def coded(words: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {n: (np.array(ix), _CODE[np.frombuffer(b"".join(words[i] for i in ix), np.uint8).reshape(-1, n)]) for n, ix in groups.items() if n}
 
 
-def _groups(docs_of: list[list[int]]) -> np.ndarray:
-    """A half, 0 or 1, for each sentence; those of documents that share a third of their sentences are in the same."""
+def _groups(docs_of: list[list[int]], share: float) -> np.ndarray:
+    """A group for each document; those that share such a part of their sentences are in the same."""
     first: dict[int, list[int]] = {}
     for docs in docs_of:
         for doc in docs:
@@ -129,8 +134,8 @@ def _groups(docs_of: list[list[int]]) -> np.ndarray:
     group: dict[int, int] = {}
     for doc in sorted(first):
         other, times = Counter(first[doc]).most_common(1)[0]
-        group[doc] = group[other] if other < doc and 3 * times >= len(first[doc]) else len(set(group.values()))
-    return np.array([group[min(docs)] % 2 for docs in docs_of])
+        group[doc] = group[other] if other < doc and times >= share * len(first[doc]) else len(set(group.values()))
+    return np.array([group.get(doc, -1) for doc in range(max(group) + 1)])
 
 
 def _highest(value: np.ndarray, group: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +251,7 @@ class Model:
         # one table with room for the landmarks to come: nothing of its size is made twice
         kernel = np.zeros((n, len(chosen) + HARD), np.float32)
         landmarks.kernel(words, kernel[:, : len(chosen)])
-        half = _groups(list(toxic_rows.values()))
+        half = _groups(list(toxic_rows.values()), 1 / 3)[[min(docs) for docs in toxic_rows.values()]] % 2
         margin = np.stack([margin, margin])
         toxic = np.ones(len(toxic_rows), bool)
         # what makes a sentence toxic is a word that toxic sentences have far more often than clean ones
@@ -254,6 +259,17 @@ class Model:
         if not speaks.any():
             self.trained = False
             return
+        # words that clean texts hardly have and several toxic ones do (near copies aside): each is an insult in its
+        # own right, whether or not another word of its sentences is a stronger one
+        loud = in_toxic / len(toxic_rows) > TELLS * in_clean / len(clean_rows)
+        kind = _groups(list(toxic_rows.values()), COPY)
+        held_by: dict[int, set[int]] = {}
+        for ids, docs in toxic_rows.items():
+            for w in array("i", ids):
+                if loud[w]:
+                    held_by.setdefault(w, set()).update(kind[docs].tolist())
+        telling = np.zeros(n, bool)
+        telling[[w for w, kinds in held_by.items() if len(kinds) >= KNOWN]] = True
         for step in range(ROUNDS + 1):
             # each half of the toxic sentences is judged by the machine of the other half, so a
             # word that one document alone has can't vouch for itself
@@ -278,6 +294,8 @@ class Model:
             for used in (toxic & (half == 0), toxic & (half == 1)) if step < ROUNDS else (toxic,):
                 used = used if used.any() else toxic
                 stands = np.bincount(witness[used], minlength=n)
+                if step == ROUNDS:
+                    stands = np.where(telling, np.maximum(stands, np.bincount(member, minlength=n)), stands)
                 bad = np.flatnonzero(stands)
                 side = np.r_[np.ones(len(bad)), -np.ones(len(clean))]
                 weight = np.r_[np.minimum(stands[bad], 50), np.minimum(in_clean[clean], 200)].astype(float)

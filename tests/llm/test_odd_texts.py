@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import time
 
 import numpy as np
@@ -77,3 +78,26 @@ def test_without_a_machine_nothing_is_rejected(spark, clean):
     labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id long, toxic int")
     assert toxicity.drop_toxic(docs, docs, labels).count() == len(rows)
     assert not toxicity.toxicity_scores(docs, docs, labels).filter("predicted = 1 OR score >= 0.3").count()
+
+
+def taught(insults, seed):
+    """A machine trained on 100 toxic and 200 clean invented texts, and a maker of clean sentences."""
+    r = random.Random(seed)
+    words = ["".join(r.choice("aeioubdfglmnprst") for _ in range(r.randint(3, 8))) for _ in range(300)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n)) + ". "
+    rows = [(f"{prose(12)}{r.choice(insults)}. {prose(10)}", 1) for _ in range(100)] + [(prose(30), 0) for _ in range(200)]
+    return toxicity.Model(rows), prose
+
+
+@pytest.mark.parametrize(
+    ("insults", "texts"),
+    [
+        (["you are such a pathetic idiot"], ["you idiot", "so pathetic", "you are such a pathetic idiot", "an id.iot", "you idiiot"]),
+        (["you are such a pathetic idiot", "what a moron", "stupid clown you are", "shut up you idiot moron"], ["you idiot", "so pathetic", "what a moron", "that clown", "stupid thing"]),
+        (["go and cut your wrists", "you are such a pathetic idiot"], ["go and cut your wrists", "you are pathetic"]),
+    ],
+)
+def test_every_insult_of_labelled_sentences_is_learned(insults, texts):
+    model, prose = taught(insults, 5)
+    assert (model.score(pa.array(texts)) >= toxicity.THRESHOLD).all()
+    assert (model.score(pa.array([prose(25) for _ in range(60)] + ["a nice day", None, ""])) < toxicity.THRESHOLD).all()
