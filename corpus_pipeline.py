@@ -27,8 +27,7 @@ from repopulse.llm.toxicity import drop_toxic, held_out
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity machine doesn't reject; learned from the training fold of the labels.
 
-    Without toxic or without clean labels nothing can be learned: all documents get the share of toxic
-    labels as their score.
+    Without toxic or without clean labels nothing can be learned, and all documents stay.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held = held_out(F.col("doc_id"))
