@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocations, conversations, decontamination, extraction, language, licenses, near_duplicates, packing, repetition, secrets, substring_dedup, suffix_dedup, toxicity
+from . import base_columns, collocations, conversations, decontamination, extraction, language, licenses, near_duplicates, packing, repetition, secrets, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_repetition": repetition.op1_repetition,
@@ -18,6 +18,7 @@ QUERIES = {
     "op11_secrets": secrets.op11_secrets,
     "op12_conversation_repair": conversations.op12_conversation_repair,
     "op13_collocations": collocations.op13_collocations,
+    **base_columns.QUERIES,
 }
 
-ORACLE_SQL = {**collocations.ORACLE, **conversations.ORACLE, **decontamination.ORACLE, **substring_dedup.ORACLE, **suffix_dedup.ORACLE}
+ORACLE_SQL = {**base_columns.ORACLE, **collocations.ORACLE, **conversations.ORACLE, **decontamination.ORACLE, **substring_dedup.ORACLE, **suffix_dedup.ORACLE}
