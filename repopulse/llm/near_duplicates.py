@@ -387,3 +387,20 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: in
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: All pairs that share a shingle, and what can be reached over links.
+ORACLE = {
+    "op5_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS u, doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS text FROM documents),
+w AS (SELECT u, list_filter(string_split_regex(text, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM d),
+sh AS (SELECT DISTINCT u, array_to_string(words[i:i + 4], ' ') AS s FROM (SELECT u, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT u, count(*) AS n FROM sh GROUP BY 1),
+common AS (SELECT a.u AS a, b.u AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.u <> b.u GROUP BY 1, 2),
+links AS (SELECT a, b, c = x.n AND c = y.n AS same FROM common JOIN n x ON x.u = a JOIN n y ON y.u = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+reach AS (SELECT u, u AS v FROM d UNION SELECT r.u, l.b FROM reach r JOIN links l ON r.v = l.a),
+class AS (SELECT r.u, min(o.doc_id) AS class_id FROM reach r JOIN d o ON o.u = r.v GROUP BY 1),
+own AS (SELECT a AS u, count(*) AS n_links, count(*) FILTER (WHERE same) AS copies FROM links GROUP BY 1)
+SELECT d.doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(copies, 0) + 1 AS n_copies FROM d JOIN class ON class.u = d.u LEFT JOIN own ON own.u = d.u"""
+}

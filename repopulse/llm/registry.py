@@ -21,4 +21,4 @@ QUERIES = {
     **base_columns.QUERIES,
 }
 
-ORACLE_SQL = {**base_columns.ORACLE, **collocations.ORACLE, **conversations.ORACLE, **decontamination.ORACLE, **substring_dedup.ORACLE, **suffix_dedup.ORACLE}
+ORACLE_SQL = {**base_columns.ORACLE, **collocations.ORACLE, **conversations.ORACLE, **decontamination.ORACLE, **near_duplicates.ORACLE, **substring_dedup.ORACLE, **suffix_dedup.ORACLE}
