@@ -330,7 +330,8 @@ def near_duplicate_rows(docs: DataFrame, threshold: float = THRESHOLD, size: int
     members = groups.groupBy(F.col("component").alias("bucket")).agg(parts.alias("parts"), F.max_by("node", F.struct("times", "node")).alias("pivot"))
     members = o.kept_in(spark, members, "members")
     wanted = groups.select("node", "component", "times", "first.doc_id", "first.tag")
-    texts = docs.alias("d").join(wanted.alias("w"), o.same_row("d", "w")).select("d.text", "w.node", "w.component", "w.times").dropDuplicates(["node"])
+    # sorted and merged at every size, so that what is shuffled grows with the input and not by steps
+    texts = docs.alias("d").join(wanted.alias("w").hint("merge"), o.same_row("d", "w")).select("d.text", "w.node", "w.component", "w.times").dropDuplicates(["node"])
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in t.pieces(batches):
