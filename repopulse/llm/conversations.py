@@ -73,7 +73,8 @@ def damaged(conversations: DataFrame) -> DataFrame:
 
 
 def _conv(column: str = "conv_id"):
-    return F.coalesce(F.col(column).cast("string"), F.lit("")).alias("conv")
+    """A conversation's id as text behind a sign, so that a null one and an empty one differ."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("")).alias("conv")
 
 
 def placed(rows: DataFrame) -> DataFrame:
@@ -310,7 +311,7 @@ def segment_edits(rows: DataFrame) -> DataFrame:
 def repaired(rows: DataFrame) -> DataFrame:
     """One row per conversation that has rows (conv_id, turn, role, text): faults, cost, edits, and a hash of what they give.
 
-    ``conv`` is the conversation's id as text, empty for a null one.
+    ``conv`` is ``=`` and the conversation's id as text, empty for a null one.
     """
     rows = written(with_faults(placed(rows)), "conversation-faults")
     edits = segment_edits(rows).withColumn("kind", F.lit(0))

@@ -120,3 +120,5 @@ def test_conversations_without_rows(spark):
     assert got["b"] == (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
     assert got["a"] == (0, 0, 0, 0, 0, 2, "KI", hashlib.sha256(b"user:Hi.\nassistant:").hexdigest())
     assert c.repair_conversations(given.limit(0)).count() == 0
+    both = spark.createDataFrame([("", 1, "user", "Hi."), (None, 1, "assistant", "Yes.")], schema)
+    assert {r.conv_id: r.audit for r in c.repair_conversations(both).collect()} == {"": "KI", None: "IK"}
