@@ -148,7 +148,8 @@ def merged_tokens(members: DataFrame, tokens: DataFrame, components: DataFrame)
         rows = written(rows.join(last.select("component"), "component", "left_semi").join(into, "cluster", "left").select(moved, "full_name", "component").distinct(), "rows")
         owner = written(owner.join(into, "cluster", "left").select("token", moved), "owner")
     names = owner.groupBy("cluster").agg(F.min("token").alias("name"), F.count(F.lit(1)).alias("n_tokens"))
-    return owner.join(names, "cluster").select("token", F.col("name").alias("cluster"), "n_tokens")
+    # written, as in ``draft_repos``: the joins with memberships must know how small it is
+    return written(owner.join(names, "cluster").select("token", F.col("name").alias("cluster"), "n_tokens"), "merged")
 
 
 def clusters(members: DataFrame, merged: DataFrame) -> DataFrame:
@@ -231,9 +232,13 @@ def drafts(found: DataFrame) -> DataFrame:
 
 
 def draft_repos(found: DataFrame, members: DataFrame) -> DataFrame:
-    """(title, full_name, confidence): the repositories that a proposal is about, a row each."""
+    """(title, full_name, confidence): the repositories that a proposal is about, a row each.
+
+    The tokens are written, so that their size is known: by the sizes of what they are made from,
+    the memberships of a small file would be taken for the smaller side and sent whole to each task.
+    """
     tokens = found.filter("qualifies").select(F.concat(F.lit(TITLE), "category", F.lit("/"), "subcategory").alias("title"), F.explode("tokens").alias("token"))
-    return members.join(tokens, "token").select("title", "full_name", "confidence").distinct()
+    return members.join(written(tokens, "tokens"), "token").select("title", "full_name", "confidence").distinct()
 
 
 def not_filed_lately(proposals: DataFrame, issues: DataFrame, now_s: int, days: int = 60) -> DataFrame:

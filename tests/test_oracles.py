@@ -61,3 +61,19 @@ def test_a_pause_of_several_hours_that_is_still_open(spark, tmp_path):
     got = rows(plans.QUERIES["w7_pauses"](spark, str(tmp_path)).toPandas())
     assert got == rows(c.execute(plans.ORACLE["w7_pauses"]).df())
     assert len(got) == 2
+
+
+def test_memberships_are_never_the_side_that_is_sent_whole(spark):
+    plan = plans.QUERIES["s15_draft_repos"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [token" in plan and "BuildRight" in plan and "BuildLeft" not in plan
+
+
+def test_merged_tokens_have_a_known_size(spark):
+    from repopulse.operators import audit
+
+    rows = spark.createDataFrame([(f"o/r{i}", "ai", ["x", "y"], 0.7) for i in range(5)], "full_name string, primary_category string, topics array<string>, confidence double")
+    members = audit.memberships(rows)
+    tokens = audit.candidates(members)
+    merged = audit.merged_tokens(members, tokens, audit.token_components(tokens, audit.overlaps(members, tokens)))
+    assert sorted(map(tuple, merged.collect())) == [("x", "x", 2), ("y", "x", 2)]
+    assert "Join" not in merged._jdf.queryExecution().optimizedPlan().toString()  # a scan, which the joins with memberships can weigh
